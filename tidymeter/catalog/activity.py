@@ -8,7 +8,9 @@ from tidymeter.catalog import inputs  # noqa: F401
 from tidymeter.catalog.base import duck, register, view
 from tidymeter.catalog.measurements import _RAW_WIDE, raw_long
 from tidymeter.operators import activity as A
+from tidymeter.operators.ranks import size_guard
 from tidymeter.plans.rebuild import activity_columns, rebuild_wide
+from tidymeter.session import materialize
 
 THRESHOLD = 0.8
 
@@ -46,11 +48,13 @@ _STATS = "median,iqr,min,max,relative_iqr,fold_range"
 
 
 def assays(spark, sf):
-    return A.assay_level(A.activity_features(view(spark, sf, "activities")), THRESHOLD)
+    rows = view(spark, sf, "activities")
+    return A.assay_level(A.activity_features(rows), THRESHOLD, size_guard(rows, ["CID"]))
 
 
 def targets(spark, sf):
-    return A.target_level(A.assay_qc(assays(spark, sf))[0], THRESHOLD)
+    guard = size_guard(view(spark, sf, "activities"), ["CID"])
+    return A.target_level(A.assay_qc(assays(spark, sf))[0], THRESHOLD, guard)
 
 
 @register("b01_activity_features", _features_sql(), "value")
@@ -119,7 +123,7 @@ def b05(spark, sf):
     "Median,IQR,RelativeIQR,Min,Max,FoldRange",
 )
 def b06(spark, sf):
-    level = assays(spark, sf)
+    level = materialize(assays(spark, sf), "assays")
     review = A.qc_review(level, A.target_level(A.assay_qc(level)[0], THRESHOLD))
     shown = F.transform(
         F.split("Values", ";"), lambda v: F.format_string("%.3f", v.cast("double"))
@@ -138,7 +142,7 @@ def b06(spark, sf):
 )
 def b06_values(spark, sf):
     features = A.activity_features(view(spark, sf, "activities"))
-    level = A.assay_level(features, THRESHOLD)
+    level = materialize(assays(spark, sf), "assays")
     return A.qc_values(features, level, A.target_level(A.assay_qc(level)[0], THRESHOLD))
 
 

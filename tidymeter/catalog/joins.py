@@ -40,7 +40,7 @@ SELECT CAST(o_custkey AS STRING) AS CID, o_orderkey AS priority, o_orderpriority
 FROM {orders}
 """
 VIEWS["results"] = """
-SELECT l_orderkey, l_linestatus = 'F' AS success, l_orderkey * 100 + l_linenumber * 10 + l_partkey / 1000000.0 AS at,
+SELECT l_orderkey, l_linestatus = 'F' AS success, l_orderkey * 100 + l_linenumber * 10 + l_partkey / 1000000.0 AS done_at,
   l_shipdate, l_partkey, l_suppkey, l_linenumber FROM {lineitem}
 """
 
@@ -210,12 +210,12 @@ def j09(spark, sf):
 @register(
     "j10_pending",
     f"""SELECT o_orderkey FROM orders ANTI JOIN (SELECT l_orderkey FROM {duck('results')} GROUP BY l_orderkey
-      HAVING arg_max(success, at)) d ON o_orderkey = d.l_orderkey""",
+      HAVING arg_max(success, done_at)) d ON o_orderkey = d.l_orderkey""",
 )
 def j10(spark, sf):
     inputs_ = table(spark, sf, "orders").select("o_orderkey")
     results = view(spark, sf, "results").withColumnRenamed("l_orderkey", "o_orderkey")
-    return J.pending(inputs_, results, "o_orderkey", "success", "at")
+    return J.pending(inputs_, results, "o_orderkey", "success", "done_at")
 
 
 @register(

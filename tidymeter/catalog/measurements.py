@@ -9,6 +9,7 @@ from tidymeter.catalog import inputs  # noqa: F401
 from tidymeter.catalog.base import duck, in_list, register, table, values, view
 from tidymeter.functions import numeric as N, text as X, units as U
 from tidymeter.operators import cleaning as C, wide as W
+from tidymeter.operators.ranks import size_guard
 from tidymeter.plans.clean import clean, clean_rows
 
 SHOWN = ["ordinal", "CID", "PropertyName", "PropertyValue"]
@@ -621,7 +622,8 @@ _ML_DOUBLES = ",".join(f"{p}_{s}" for p in _ML_NAMES for s in ("Median", "IQR"))
 
 @register("w01_pivot_ml", f"WITH {CLEAN} {_pivot_sql(_ML_NAMES, 'rows_')}", _ML_DOUBLES)
 def w01(spark, sf):
-    return W.pivot_ml(clean_rows(view(spark, sf, "measurements")))
+    raw = view(spark, sf, "measurements")
+    return W.pivot_ml(clean_rows(raw), hot_rows=size_guard(raw, ["CID"]))
 
 
 _RAW_WIDE = f"""
@@ -668,7 +670,8 @@ def raw_long(spark, sf):
     "value",
 )
 def w02(spark, sf):
-    wide = W.pivot_raw(raw_long(spark, sf))
+    long = raw_long(spark, sf)
+    wide = W.pivot_raw(long, hot_rows=size_guard(long, ["CID"]))
     rest = [c for c in wide.columns if c not in D.IDENTITY_COLUMNS]
     wide = wide.select(*D.IDENTITY_COLUMNS, *[F.col(f"`{c}`").cast("double").alias(c) for c in rest])
     long = wide.unpivot(D.IDENTITY_COLUMNS, [f"`{c}`" for c in rest], "column", "value")
@@ -697,4 +700,4 @@ def w03(spark, sf):
     ",".join(_ML_NAMES),
 )
 def w04(spark, sf):
-    return W.values_only(W.pivot_ml(clean_rows(view(spark, sf, "measurements"))))
+    return W.values_only(w01(spark, sf))

@@ -10,7 +10,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidymeter import dictionaries as D
 
 NUMBER = r"[-+]?[0-9]*\.?[0-9]+(?:[eE][-+]?[0-9]+)?"
-_EDGE_SPACE = r"(?U)^\s+|\s+$"
+# The characters that count as white space.
+SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def as_col(c) -> Column:
@@ -42,7 +46,7 @@ def dictionary(spark, rows: dict, columns: str) -> DataFrame:
 
 def strip(c) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(as_col(c), _EDGE_SPACE, "")
+    return F.btrim(as_col(c), F.lit(SPACES))
 
 
 def strip_to_null(c) -> Column:
@@ -52,7 +56,7 @@ def strip_to_null(c) -> Column:
 
 def collapse_ws(c) -> Column:
     """Runs of white space become one blank; edges are trimmed."""
-    return F.trim(F.regexp_replace(as_col(c), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(as_col(c), f"[{SPACES}]+", " "))
 
 
 def slugify(c) -> Column:

@@ -8,6 +8,7 @@ from tidymeter.functions import numeric as N, text as X
 from tidymeter.operators import ranks
 from tidymeter.operators.cleaning import drop_censored
 from tidymeter.operators.wide import column_names, halves_stats, spread
+from tidymeter.session import materialize
 
 STATISTICS = ["Median", "Count", "IQR", "RelativeIQR", "Min", "Max", "FoldRange", "AssayCount"]
 REVIEW_COLUMNS = [
@@ -61,7 +62,7 @@ def _qc(stats: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def assay_level(features: DataFrame, threshold: float = 2.0, hot_rows: int = ranks.HOT_ROWS) -> DataFrame:
+def assay_level(features: DataFrame, threshold: float = 2.0, hot_rows: int | None = ranks.HOT_ROWS) -> DataFrame:
     """Replicates collapsed per (entity, feature, assay), with the reject flag."""
     stats = halves_stats(
         features, ["CID", "FeatureName", "AssayID"], "value", hot_rows, keep_values="values"
@@ -75,7 +76,7 @@ def assay_qc(assays: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def target_level(
-    passing: DataFrame, threshold: float = 2.0, hot_rows: int = ranks.HOT_ROWS
+    passing: DataFrame, threshold: float = 2.0, hot_rows: int | None = ranks.HOT_ROWS
 ) -> DataFrame:
     """Median of the assay medians per (entity, feature), with the reject flag."""
     medians = passing.select("CID", "FeatureName", F.col("median").alias("value"))
@@ -96,7 +97,7 @@ def activity_long(targets: DataFrame) -> DataFrame:
 
 def activity_wide(targets: DataFrame) -> DataFrame:
     """One row per entity, eight columns per feature; the pivot comes last."""
-    rows = activity_long(targets)
+    rows = materialize(activity_long(targets), "activity-long")
     names = column_names(rows, "FeatureName")
     if not names:
         return rows.select("CID").where(F.lit(False))

@@ -142,7 +142,7 @@ def dedup_measurements(
     priority: dict[str, int] | None = None,
     entity: str = "CID",
     prop: str = "StandardPropertyName",
-    hot_rows: int = ranks.HOT_ROWS,
+    hot_rows: int | None = ranks.HOT_ROWS,
 ) -> DataFrame:
     """One row per (entity, property): referenced first, then best source, then first.
 
@@ -166,7 +166,7 @@ def summarize(
     entity: str = "CID",
     prop: str = "StandardPropertyName",
     value: str = "NumericValue",
-    hot_rows: int = ranks.HOT_ROWS,
+    hot_rows: int | None = ranks.HOT_ROWS,
 ) -> DataFrame:
     """Count, median, mean, std, min, max and interpolated IQR per (entity, property)."""
     stats = ranks.order_stats(

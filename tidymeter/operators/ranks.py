@@ -33,6 +33,15 @@ def hot_groups(df: DataFrame, keys: list[str], hot_rows: int) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > hot_rows)
 
 
+def size_guard(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> int | None:
+    """None when no group of these coarse keys is hot, else the limit.
+
+    Groups by more columns are never larger than groups by fewer, so one cheap
+    count over the raw key column can spare the finer checks downstream.
+    """
+    return None if hot_groups(df, keys, hot_rows).isEmpty() else hot_rows
+
+
 def _ordered(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -164,11 +173,13 @@ def order_stats(
     value: str,
     ranks: dict[str, Rank],
     extra: dict[str, Column] | None = None,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
     keep_values: str | None = None,
 ) -> DataFrame:
     """Exact interpolated order statistics per group, plus plain aggregates.
 
+    ``hot_rows=None`` states that the caller has bounded the groups (``size_guard``).
+
     ``ranks`` maps an output name to a function from the group size to a
     zero-based fractional position; null values are not counted, and a group
     without any value has n = 0. Output: keys, ``n``, the statistics and
@@ -179,8 +190,10 @@ def order_stats(
     work, flat = df, not keys
     if flat:
         work, keys = work.withColumn("_all", F.lit(0)), ["_all"]
-    hot = hot_groups(work.where(F.col(value).isNotNull()), keys, hot_rows)
-    any_hot = not hot.isEmpty()
+    hot, any_hot = None, False
+    if hot_rows is not None:
+        hot = hot_groups(work.where(F.col(value).isNotNull()), keys, hot_rows)
+        any_hot = not hot.isEmpty()
     cold = null_safe_join(work, hot, keys, "left_anti") if any_hot else work
 
     arrays = cold.groupBy(*keys).agg(

@@ -148,7 +148,7 @@ def histogram(df: DataFrame, col: str, bins: int = 24) -> DataFrame:
     )
 
 
-def column_median(df: DataFrame, col: str, hot_rows: int = ranks.HOT_ROWS) -> DataFrame:
+def column_median(df: DataFrame, col: str, hot_rows: int | None = ranks.HOT_ROWS) -> DataFrame:
     """The median drawn into a histogram."""
     values = df.select(_number(col).alias("v"))
     return ranks.order_stats(values, [], "v", {"median": ranks.median_rank}, hot_rows=hot_rows)
@@ -188,7 +188,7 @@ def box_stats(
     prop: str = "StandardPropertyName",
     value: str = "NumericValue",
     top: int = 6,
-    hot_rows: int = ranks.HOT_ROWS,
+    hot_rows: int | None = ranks.HOT_ROWS,
 ) -> DataFrame:
     """Quartiles and 1.5-IQR whiskers of the most frequent properties."""
     frequent = (

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidymeter import dictionaries as D
 from tidymeter.functions import text as X
 from tidymeter.operators import ranks
+from tidymeter.session import materialize
 
 
 def column_names(df: DataFrame, name: str, order: str | None = None) -> list[str]:
@@ -50,13 +51,14 @@ def pivot_ml(
     entity: str = "CID",
     prop: str = "StandardPropertyName",
     value: str = "NumericValue",
-    hot_rows: int = ranks.HOT_ROWS,
+    hot_rows: int | None = ranks.HOT_ROWS,
 ) -> DataFrame:
-    """One row per entity; Median, Count and interpolated IQR per property."""
+    """One row per entity; Median, Count and interpolated IQR per property.
+
+    The per-property statistics are written once, since the column names and the
+    pivot both read them.
+    """
     work = df if include is None else df.where(F.col(prop).isin(include))
-    names = preferred_order(column_names(work, prop))
-    if not names:
-        return df.select(entity).where(F.lit(False))
     stats = ranks.order_stats(
         work,
         [entity, prop],
@@ -71,6 +73,10 @@ def pivot_ml(
         entity, prop, "Median", F.col("n").alias("Count"),
         (F.col("_q3") - F.col("_q1")).alias("IQR"),
     )
+    stats = materialize(stats, "property-stats")
+    names = preferred_order(column_names(stats, prop))
+    if not names:
+        return stats.select(entity).where(F.lit(False))
     wide = spread(stats, [entity], prop, names, ["Median", "Count", "IQR"])
     return _select(wide, [entity] + [f"{p}_{s}" for p in names for s in ("Median", "Count", "IQR")])
 
@@ -84,10 +90,12 @@ def halves_stats(
     df: DataFrame,
     keys: list[str],
     value: str,
-    hot_rows: int = ranks.HOT_ROWS,
+    hot_rows: int | None = ranks.HOT_ROWS,
     keep_values: str | None = None,
+    extra: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Per group: n, median, median-of-halves IQR, min and max."""
+    extra = extra or {}
     stats = ranks.order_stats(
         df,
         keys,
@@ -97,11 +105,11 @@ def halves_stats(
             "_lower": ranks.lower_half_rank,
             "_upper": ranks.upper_half_rank,
         },
-        {"min": F.min(value), "max": F.max(value)},
+        {"min": F.min(value), "max": F.max(value), **extra},
         hot_rows,
         keep_values,
     )
-    kept = [keep_values] if keep_values else []
+    kept = [*extra, keep_values] if keep_values else [*extra]
     return stats.select(
         *keys, "n", "median", iqr_of_halves(F.col("_lower"), F.col("_upper")).alias("iqr"),
         "min", "max", *kept,
@@ -119,7 +127,7 @@ def raw_values(df: DataFrame) -> DataFrame:
 
 
 def pivot_raw(
-    df: DataFrame, ordinal: str = "ordinal", hot_rows: int = ranks.HOT_ROWS
+    df: DataFrame, ordinal: str = "ordinal", hot_rows: int | None = ranks.HOT_ROWS
 ) -> DataFrame:
     """Wide table straight from raw long rows.
 
@@ -128,7 +136,6 @@ def pivot_raw(
     """
     rows = raw_values(df)
     numeric = rows.where(F.col("number").isNotNull())
-    names = column_names(numeric, "column_base", ordinal)
     fields = [c for c in D.IDENTITY_COLUMNS if c != "CID"]
     identity = rows.groupBy("CID").agg(
         *[
@@ -138,10 +145,14 @@ def pivot_raw(
             for c in fields
         ]
     )
-    stats = halves_stats(numeric, ["CID", "column_base"], "number", hot_rows).select(
+    stats = halves_stats(
+        numeric, ["CID", "column_base"], "number", hot_rows, extra={"first": F.min(ordinal)}
+    ).select(
         "CID", "column_base", F.col("median").alias("Median"), F.col("n").alias("Count"),
-        F.col("iqr").alias("IQR"),
+        F.col("iqr").alias("IQR"), "first",
     )
+    stats = materialize(stats, "raw-stats")
+    names = column_names(stats, "column_base", "first")
     if not names:
         return identity.where(F.lit(False))
     wide = spread(stats, ["CID"], "column_base", names, ["Median", "Count", "IQR"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tidymeter.operators import cleaning as C, wide as W
+from tidymeter.operators.ranks import size_guard
 from tidymeter.session import materialize
 
 
@@ -26,25 +27,28 @@ def clean(
     the shared scratch folder once, because six outputs read them.
     """
     rows = materialize(clean_rows(raw, legacy), "clean-rows")
-    cleaned = C.dedup_measurements(rows, ordinal)
+    guard = size_guard(rows, ["CID"])
+    cleaned = C.dedup_measurements(rows, ordinal, hot_rows=guard)
     base = materialize(cleaned, "cleaned") if legacy else rows
     frequent, sparse = frequent_and_sparse(base, min_coverage)
     return {
         "rows": rows,
         "cleaned": cleaned,
-        "summary": C.summarize(base),
-        "ml": W.pivot_ml(frequent),
-        "sparse": _wide_or_long(sparse),
+        "summary": C.summarize(base, hot_rows=guard),
+        "ml": W.pivot_ml(frequent, hot_rows=guard),
+        "sparse": _wide_or_long(sparse, guard),
         "rare": C.rare_properties(base, min_coverage),
         "report": C.cleaning_report(raw, base, min_coverage),
     }
 
 
-def _wide_or_long(df: DataFrame) -> DataFrame:
+def _wide_or_long(df: DataFrame, guard: int | None) -> DataFrame:
     """Rare names can outnumber the columns a table may have; then the long summary stands in."""
     limit = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues"))
     names = df.select("StandardPropertyName").distinct().limit(limit + 1).count()
-    return W.pivot_ml(df) if names <= limit else C.summarize(df)
+    if names > limit:
+        return C.summarize(df, hot_rows=guard)
+    return W.pivot_ml(df, hot_rows=guard)
 
 
 def frequent_and_sparse(df: DataFrame, min_coverage: float) -> tuple[DataFrame, DataFrame]:
