@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidymeter.session import spread_rows
+
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -34,7 +36,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def view(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """A shared input view over the given tables, as Spark sees it."""
     sql = VIEWS[name]
-    used = {t: table(spark, sf, t) for t in TABLES if "{" + t + "}" in sql}
+    used = {t: spread_rows(table(spark, sf, t)) for t in TABLES if "{" + t + "}" in sql}
     return spark.sql(sql, **used)
 
 

@@ -64,3 +64,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def spread_rows(df: DataFrame) -> DataFrame:
+    """Spread a scan that has fewer partitions than the cluster has cores.
+
+    For stages that work hard on every row. A large table has more splits than
+    cores, and then this does nothing.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
