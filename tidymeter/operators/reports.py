@@ -317,7 +317,7 @@ def job_state(status) -> Column:
 def batch_status(df: DataFrame, total: int | None = None, status: str = "status", updated: str = "updated") -> DataFrame:
     """Done, failed, running and queued counts, throughput per hour and time left in seconds."""
     state = job_state(status)
-    seconds = F.unix_micros(F.col(updated)) / F.lit(1e6)
+    seconds = F.unix_micros(F.col(updated).cast("timestamp")) / F.lit(1e6)
     counts = df.agg(
         F.count_if(state == "done").alias("done"),
         F.count_if(state == "failed").alias("failed"),
