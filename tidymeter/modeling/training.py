@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, replace
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.feature import Imputer, VectorAssembler
@@ -75,20 +77,26 @@ def with_vectors(df: DataFrame, features: list[str], keep: list[str]) -> DataFra
     return Pipeline(stages=stages).fit(work).transform(work).select(*keep, "x")
 
 
-def oof_predictions(rows: DataFrame, factory: ModelFactory, n_folds: int) -> DataFrame:
-    """Out-of-fold predictions: one model per fold, trained on the other folds."""
-    parts = []
-    for f in range(n_folds):
-        model = factory().fit(rows.where(F.col("fold") != f))
-        parts.append(model.transform(rows.where(F.col("fold") == f)).drop("x"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def oof_predictions(
+    rows: DataFrame, factory: ModelFactory, n_folds: int, fold: str = "fold", parallelism: int = 4
+) -> DataFrame:
+    """Out-of-fold predictions: one model per fold, trained on the other folds.
+
+    The fits are independent Spark jobs, so a few run side by side.
+    """
+    def fit(f: int) -> DataFrame:
+        model = factory().fit(rows.where(F.col(fold) != f))
+        return model.transform(rows.where(F.col(fold) == f)).withColumn("fold", F.lit(f)).select(
+            *[c for c in rows.columns if c not in ("x", "fold")], "fold", "prediction"
+        )
 
+    with ThreadPool(min(parallelism, n_folds)) as pool:
+        parts = pool.map(fit, range(n_folds))
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
-def _folds(df: DataFrame) -> int:
-    return df.agg(F.max("fold")).first()[0] + 1
+
+def _folds(df: DataFrame, fold: str = "fold") -> int:
+    return df.agg(F.max(fold)).first()[0] + 1
 
 
 def random_cv(rows: DataFrame, factory: ModelFactory, key: str, max_folds: int = 5, seed: int = 42) -> DataFrame:
@@ -108,12 +116,19 @@ def grouped_cv(
     groups = rows.select(group).distinct().count()
     k = folds or min(max_folds, max(3, n // 10), groups)
     split = materialize(K.repeated_group_folds(rows, group, k, repeats), "repeated-folds")
-    out = None
-    for r in range(repeats):
-        part = oof_predictions(split.where(F.col("repeat") == r), factory, k)
-        part = part.withColumn("fold", F.col("fold") + F.lit(r * k))
-        out = part if out is None else out.unionByName(part)
-    return out
+    parts = [
+        oof_predictions(split.where(F.col("repeat") == r), factory, k).withColumn("fold", F.col("fold") + r * k)
+        for r in range(repeats)
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def assign_folds(rows: DataFrame, key: str, group: str | None, max_folds: int = 5) -> DataFrame:
+    """Both fold columns, written once: every model of one target is scored on the same split."""
+    split = K.random_folds(rows, key, max_folds=max_folds).withColumnRenamed("fold", "fold_random")
+    if group and rows.select(group).distinct().limit(2).count() > 1:
+        split = K.group_folds(split, group, max_folds).withColumnRenamed("fold", "fold_grouped")
+    return materialize(split, "folds")
 
 
 def evaluate(
@@ -128,21 +143,31 @@ def evaluate(
 ) -> DataFrame:
     """One row: random and grouped cross-validated scores, primary score, reliability.
 
-    ``rows`` has key, x, y and the group. One group only falls back to random.
+    ``rows`` has key, x, y and the group, and may carry the columns of
+    ``assign_folds``. One group only falls back to random.
     """
+    if repeats <= 1 and "fold_random" not in rows.columns:
+        rows = assign_folds(rows, key, group, max_folds)
     groups = F.countDistinct(group) if group else F.lit(0)
     counts = rows.agg(F.count(F.lit(1)).alias("n_samples"), groups.cast("bigint").alias("n_groups"))
     can_group = bool(group) and counts.first()["n_groups"] >= 2
     grouped = random_ = None
     if strategy in ("both", "grouped") and can_group:
-        grouped = S.cv_r2(grouped_cv(rows, factory, group, max_folds, repeats))
+        if repeats <= 1:
+            preds = oof_predictions(rows, factory, _folds(rows, "fold_grouped"), "fold_grouped")
+        else:
+            preds = grouped_cv(rows, factory, group, max_folds, repeats)
+        grouped = S.cv_r2(preds)
     if strategy in ("both", "random") or not can_group:
-        parts = None
-        for r in range(max(1, repeats)):
-            p = random_cv(rows, factory, key, max_folds, seed=42 + r)
-            p = p.withColumn("fold", F.col("fold") + F.lit(1000 * r))
-            parts = p if parts is None else parts.unionByName(p)
-        random_ = S.cv_r2(parts)
+        if repeats <= 1:
+            preds = oof_predictions(rows, factory, _folds(rows, "fold_random"), "fold_random")
+        else:
+            runs = [
+                random_cv(rows, factory, key, max_folds, 42 + r).withColumn("fold", F.col("fold") + 1000 * r)
+                for r in range(repeats)
+            ]
+            preds = reduce(lambda a, b: a.unionByName(b), runs)
+        random_ = S.cv_r2(preds)
     return S.evaluation(random_, grouped, counts, min_reliable)
 
 
@@ -158,10 +183,16 @@ def y_scramble(
     return out.agg(F.avg("cv_r2_mean").alias("scramble_r2"), F.count(F.lit(1)).alias("runs"))
 
 
+FOLDS = ["fold_random", "fold_grouped"]
+
+
 def _prepared(
-    df: DataFrame, target: str, features: list[str], keep: list[str], tp: TrainingParams
+    df: DataFrame, target: str, features: list[str], keep: list[str], tp: TrainingParams, folds: bool = True
 ) -> tuple[DataFrame, str] | None:
-    """Rows of one target in model space, written once; None with too few samples."""
+    """Rows of one target in model space with their folds, written once; None with too few samples.
+
+    ``keep`` starts with the key, then the group if there is one.
+    """
     rows = df.where(F.col(f"`{target}`").isNotNull())
     long = rows.select(F.lit(target).alias("target"), F.col(f"`{target}`").cast("double").alias("y"))
     found = T.decide_transforms(long, min_samples=tp.min_samples, dynamic_range=tp.log_dynamic_range).first()
@@ -170,7 +201,13 @@ def _prepared(
     kind = found["transform"]
     y = N.apply_transform(F.col(f"`{target}`").cast("double"), kind).alias("y")
     chosen = rows.select(*keep, *[F.col(f"`{c}`") for c in features], y)
-    return materialize(chosen, "target-rows"), kind
+    if not folds:
+        return materialize(chosen, "target-rows"), kind
+    return assign_folds(chosen, keep[0], keep[1] if len(keep) > 1 else None, tp.cv_max_folds), kind
+
+
+def _kept(rows: DataFrame, keep: list[str]) -> list[str]:
+    return [*keep, "y", *[c for c in FOLDS if c in rows.columns]]
 
 
 def train_target(
@@ -194,7 +231,7 @@ def train_target(
     names = features
     if selection is not None:
         names, _ = Sel.select_features(rows, features, "y", selection, trees=min(100, tp.n_estimators))
-    vectors = materialize(with_vectors(rows, names, [*keep, "y"]), "vectors")
+    vectors = materialize(with_vectors(rows, names, _kept(rows, keep)), "vectors")
     cv = evaluate(
         vectors, factory, key, group, "both" if tp.cv_strategy == "cluster" else tp.cv_strategy,
         tp.cv_max_folds, tp.cv_repeats, tp.min_reliable_samples,
@@ -321,7 +358,7 @@ def selection_benchmark(
     for block, features in blocks.items():
         for method in methods or METHODS:
             kept, found = Sel.select_features(rows, features, "y", method_params(method, base), trees=min(100, tp.n_estimators))
-            vectors = materialize(with_vectors(rows, kept, [*keep, "y"]), "benchmark-vectors")
+            vectors = materialize(with_vectors(rows, kept, _kept(rows, keep)), "benchmark-vectors")
             cv = evaluate(vectors, factory, key, group, "both", tp.cv_max_folds, 1, tp.min_reliable_samples)
             one = cv.select(
                 F.lit(target).alias("target"), F.lit(block).alias("block"), F.lit(method).alias("method"),
@@ -377,7 +414,7 @@ def ablate_block(
     sides, model, kept = {}, None, []
     for name, features in (("baseline", base_features), ("augmented", base_features + extra)):
         chosen = features if selection is None else Sel.select_features(rows, features, "y", selection)[0]
-        vectors = materialize(with_vectors(rows, chosen, [*keep, "y"]), f"{name}-vectors")
+        vectors = materialize(with_vectors(rows, chosen, _kept(rows, keep)), f"{name}-vectors")
         sides[name] = evaluate(vectors, factory, key, group, "both", tp.cv_max_folds, 1, tp.min_reliable_samples)
         if name == "augmented":
             model, kept = factory().fit(vectors), chosen
@@ -464,7 +501,7 @@ def search(
     """
     tp, space = tp or TrainingParams(), space or SPACE
     keep = [key] + ([group] if group and group != key else [])
-    prepared = _prepared(df, target, features, keep, tp)
+    prepared = _prepared(df, target, features, keep, tp, folds=False)
     if prepared is None:
         return None
     vectors = materialize(with_vectors(prepared[0], features, [*keep, "y"]), "search-vectors")

@@ -159,7 +159,7 @@ def neighbor_sets(sets: DataFrame, cutoff: float) -> DataFrame:
     prefix = materialize(
         ordered.select(
             "set_id", n.alias("n"),
-            F.explode(F.transform(F.slice("_o", F.lit(1), reach), lambda s: s["token"])).alias("token"),
+            F.posexplode(F.transform(F.slice("_o", F.lit(1), reach), lambda s: s["token"])).alias("pos", "token"),
         ),
         "prefixes",
     )
@@ -174,11 +174,15 @@ def neighbor_sets(sets: DataFrame, cutoff: float) -> DataFrame:
     low = placed.withColumn("other", F.explode(F.filter(every, lambda j: j >= F.col("block"))))
     high = placed.withColumn("other", F.explode(F.filter(every, lambda j: j <= F.col("block"))))
     left = low.select("token", F.col("block").alias("lo"), F.col("other").alias("hi"),
-                      F.col("set_id").alias("x"), F.col("n").alias("nx"))
+                      F.col("set_id").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"))
     right = high.select("token", F.col("other").alias("lo"), F.col("block").alias("hi"),
-                        F.col("set_id").alias("y"), F.col("n").alias("ny"))
+                        F.col("set_id").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"))
+    # at the first shared token no more than the shorter rest can still be shared
+    rest = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
+    needed = (F.col("nx") + F.col("ny")) * F.lit(level / (1.0 + level)) - F.lit(1e-9)
     close = (
-        (F.least("nx", "ny") >= F.greatest("nx", "ny") * F.lit(level) - F.lit(1e-9))
+        (rest >= needed)
+        & (F.least("nx", "ny") >= F.greatest("nx", "ny") * F.lit(level) - F.lit(1e-9))
         & ((F.col("lo") < F.col("hi")) | (F.col("x") < F.col("y")))
         & (F.col("x") != F.col("y"))
     )
