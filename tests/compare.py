@@ -14,6 +14,9 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from tidymeter.catalog.base import TABLES  # noqa: E402
 
 
+TYPES = {"BIGINT": "bigint", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean"}
+
+
 def kind(value) -> str:
     return type(value).__name__
 
@@ -50,6 +53,11 @@ def compare(spark, con, sf, name, run, sql):
     if sql is None:
         return f"rows-only {len(rows)}", took, len(rows) > 0
     cur = con.execute(sql)
+    spark_types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    for d in cur.description:
+        want = TYPES.get(str(d[1]))
+        if d[0] in spark_types and want != spark_types[d[0]]:
+            return f"type of {d[0]}: {spark_types[d[0]]} != {d[1]}", took, False
     other_columns = [d[0] for d in cur.description]
     other = cur.fetchall()
     if sorted(columns) != sorted(other_columns):

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidymeter import dictionaries as D
 
+# Number patterns.
+WHOLE_NUMBER = r"(?i)^\s*[-+]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[-+]?[0-9]+)?|inf(?:inity)?)\s*$"
 NUMBER = r"[-+]?[0-9]*\.?[0-9]+(?:[eE][-+]?[0-9]+)?"
 # The characters that count as white space.
 SPACES = (
@@ -65,9 +67,11 @@ def slugify(c) -> Column:
 
 
 def number_or_null(c: Column) -> Column:
-    """Cast text to double; unparseable text and NaN become null."""
-    d = c.try_cast("double")
-    return F.when(~F.isnan(d), d)
+    """Text to double; anything that does not look like a whole number text becomes null.
+
+    Looking first is much cheaper than a failing cast.
+    """
+    return F.when(c.rlike(WHOLE_NUMBER), c.try_cast("double"))
 
 
 def extract_numeric(c, coerce: bool = False) -> Column:

@@ -26,28 +26,31 @@ def cv_r2(preds: DataFrame, by: list[str] | None = None, y: str = "y", p: str =
     )
 
 
+def only_row(df: DataFrame) -> Column:
+    """The single row of a table as a struct column (a scalar subquery, no join)."""
+    return df.select(F.struct(*df.columns)).scalar()
+
+
 def evaluation(
     random: DataFrame | None, grouped: DataFrame | None, counts: DataFrame, min_samples: int = 50
 ) -> DataFrame:
     """One row with both scores; the grouped one is primary when there is one.
 
-    ``counts``: one row with n_samples and n_groups. All inputs are single rows,
-    tied by a constant key.
+    ``counts``: one row with n_samples and n_groups; the scores are rows of ``cv_r2``.
     """
-    def named(df: DataFrame | None, name: str) -> DataFrame:
-        if df is None:
-            df = counts.select(F.lit(None).cast("double").alias("cv_r2_mean"), F.lit(None).cast("double").alias("cv_r2_std"), F.lit(None).cast("bigint").alias("cv_folds"))
-        return df.select(
-            F.lit(0).alias("_k"), F.col("cv_r2_mean").alias(f"cv_r2_{name}"),
-            F.col("cv_r2_std").alias(f"cv_r2_{name}_std"), F.col("cv_folds").alias(f"_folds_{name}"),
-        )
-
-    one = (
-        counts.withColumn("_k", F.lit(0))
-        .join(named(random, "random"), "_k")
-        .join(named(grouped, "grouped"), "_k")
-        .drop("_k")
-    )
+    def fields(df: DataFrame | None, name: str) -> dict[str, Column]:
+        row = only_row(df) if df is not None else None
+
+        def field(c: str, kind: str) -> Column:
+            return (row[c] if row is not None else F.lit(None)).cast(kind)
+
+        return {
+            f"cv_r2_{name}": field("cv_r2_mean", "double"),
+            f"cv_r2_{name}_std": field("cv_r2_std", "double"),
+            f"_folds_{name}": field("cv_folds", "bigint"),
+        }
+
+    one = counts.withColumns(fields(random, "random") | fields(grouped, "grouped"))
     use_grouped = F.col("cv_r2_grouped").isNotNull()
     reliable = (F.col("n_samples") >= min_samples) & (F.col("n_groups") >= 5)
     note = F.concat(

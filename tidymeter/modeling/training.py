@@ -237,24 +237,24 @@ def train_target(
         tp.cv_max_folds, tp.cv_repeats, tp.min_reliable_samples,
     )
     model = factory().fit(vectors)
-    fit = S.regression_metrics(model.transform(vectors))
-    tie = F.lit(0).alias("_k")
+    fit = S.only_row(S.regression_metrics(model.transform(vectors)))
     report = cv.select(
-        tie, F.lit(target).alias("target"), F.lit(kind).alias("transform"),
+        F.lit(target).alias("target"), F.lit(kind).alias("transform"),
         F.lit(selection.method if selection else "none").alias("fs_method"),
         F.lit(len(names)).alias("n_features"), F.lit(tp.cv_strategy).alias("cv_strategy"),
         F.lit(tp.cv_repeats).alias("cv_repeats"), *cv.columns,
-    ).join(fit.select(tie, "*"), "_k")
+        *[fit[c].alias(c) for c in ("train_r2", "train_rmse", "train_mae")],
+    )
     if tp.conformal:
         oof = random_cv(vectors, factory, key, tp.cv_max_folds)
-        width = S.conformal(oof, tp.conformal_alpha)
-        report = report.join(
-            width.select(tie, F.col("halfwidth").alias("conformal_halfwidth"), F.col("level").alias("conformal_level")), "_k"
+        width = S.only_row(S.conformal(oof, tp.conformal_alpha))
+        report = report.withColumns(
+            {"conformal_halfwidth": width["halfwidth"], "conformal_level": width["level"]}
         )
     if tp.y_scramble_runs > 0:
         control = y_scramble(vectors, factory, key, tp.y_scramble_runs, tp.cv_max_folds)
-        report = report.join(control.select(tie, F.col("scramble_r2").alias("y_scramble_r2")), "_k")
-    return model, report.drop("_k"), importances(df, model, names, target)
+        report = report.withColumn("y_scramble_r2", S.only_row(control)["scramble_r2"])
+    return model, report, importances(df, model, names, target)
 
 
 def importances(df: DataFrame, model, names: list[str], target: str) -> DataFrame:
@@ -309,11 +309,11 @@ def train_targets_legacy(
             continue
         vectors = materialize(with_vectors(work, names, [key, "y"]), "legacy-vectors")
         cv = S.cv_r2(random_cv(vectors, factory, key, max_folds=min(5, max(3, n // 10))))
-        fit = S.regression_metrics(factory().fit(vectors).transform(vectors))
-        tie = F.lit(0).alias("_k")
-        one = cv.select(tie, F.lit(target).alias("target"), F.lit(n).alias("n_samples"), "cv_r2_mean", "cv_r2_std").join(
-            fit.select(tie, "*"), "_k"
-        ).drop("_k")
+        fit = S.only_row(S.regression_metrics(factory().fit(vectors).transform(vectors)))
+        one = cv.select(
+            F.lit(target).alias("target"), F.lit(n).alias("n_samples"), "cv_r2_mean", "cv_r2_std",
+            *[fit[c].alias(c) for c in ("train_r2", "train_rmse", "train_mae")],
+        )
         report = one if report is None else report.unionByName(one)
     return report
 
@@ -420,21 +420,20 @@ def ablate_block(
             model, kept = factory().fit(vectors), chosen
     imp = importances(df, model, kept, target).where(F.col("feature").isin(extra))
     covered = rows.agg(F.count_if(F.coalesce(*[F.col(f"`{c}`").cast("double") for c in extra]).isNotNull()).alias("n_covered"))
-    tie = F.lit(0).alias("_k")
-
-    def side(name: str) -> DataFrame:
-        return sides[name].select(
-            tie, F.col("cv_r2_mean").alias(f"{name}_cv_r2"), F.col("cv_r2_std").alias(f"{name}_cv_std"),
-            F.col("cv_r2_random").alias(f"{name}_cv_r2_random"), F.col("cv_r2_grouped").alias(f"{name}_cv_r2_grouped"),
-            *(["n_samples", "n_groups", "cv_folds", "reliable", "reliability_note"] if name == "baseline" else []),
-        )
-
-    total = imp.agg(F.coalesce(F.sum("importance"), F.lit(0.0)).alias("block_importance")).select(tie, "*")
-    both = side("baseline").join(side("augmented"), "_k").join(covered.select(tie, "*"), "_k").join(total, "_k")
+    after = S.only_row(sides["augmented"])
+    total = S.only_row(imp.agg(F.coalesce(F.sum("importance"), F.lit(0.0)).alias("block_importance")))
+    names = {"cv_r2": "cv_r2_mean", "cv_std": "cv_r2_std", "cv_r2_random": "cv_r2_random", "cv_r2_grouped": "cv_r2_grouped"}
+    both = sides["baseline"].select(
+        "n_samples", "n_groups", "cv_folds", "reliable", "reliability_note",
+        *[F.col(c).alias(f"baseline_{n}") for n, c in names.items()],
+        *[after[c].alias(f"augmented_{n}") for n, c in names.items()],
+        S.only_row(covered)["n_covered"].alias("n_covered"),
+        total["block_importance"].alias("block_importance"),
+    )
     deltas = {
         f"delta_{m}": F.col(f"augmented_{m}") - F.col(f"baseline_{m}") for m in ("cv_r2", "cv_r2_random", "cv_r2_grouped")
     }
-    scores = both.withColumns(deltas).drop("_k").select(F.lit(target).alias("target"), F.lit(kind).alias("transform"), "*")
+    scores = both.withColumns(deltas).select(F.lit(target).alias("target"), F.lit(kind).alias("transform"), "*")
     return scores, imp
 
 

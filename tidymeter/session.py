@@ -48,9 +48,20 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return os.path.join(scratch_root(spark), f"tidymeter-{spark.sparkContext.applicationId}")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the scratch root; nothing is ever overwritten."""
-    return os.path.join(scratch_root(spark), f"{name}-{uuid.uuid4().hex}")
+    """A fresh path in this application's scratch folder; nothing is ever overwritten."""
+    return os.path.join(_own_folder(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables, once its results are written."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
