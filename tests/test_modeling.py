@@ -119,3 +119,18 @@ def test_search(spark):
     found = M.search(df, "IC50", ["f"], "CID", "g", tp, {"max_depth": ("int", 1, 2)}, n_trials=2, outer_folds=2)
     assert found["folds"].count() == 2 and found["history"].count() == 2 and found["best"]["max_depth"] in (1, 2)
     assert found["best_score"] == max(r["score"] for r in found["history"].collect())
+
+
+def test_many_correlations_go_through_the_matrix(spark, monkeypatch):
+    monkeypatch.setattr(Sel, "AGGREGATES", 3)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 4))
+    gappy = [None if i % 5 == 0 else float(v) for i, v in enumerate(x[:, 0] + 0.1 * x[:, 1])]
+    df = frame(spark, a=x[:, 0], b=x[:, 1], c=x[:, 0] + 0.01 * x[:, 2], const=[2.0] * 60, gappy=gappy)
+    got = Sel.correlations(df, ["a", "b", "c", "const", "gappy"])
+    keep = [i for i in range(60) if i % 5]
+    want = np.corrcoef(x[keep, 0], [gappy[i] for i in keep])[0, 1]
+    assert got["a", "gappy"] == pytest.approx(want)
+    assert got["a", "b"] == pytest.approx(np.corrcoef(x[:, 0], x[:, 1])[0, 1])
+    assert got["a", "const"] is None and got["const", "gappy"] is None and len(got) == 10
+    assert Sel.correlation_filter(df, ["a", "b", "c", "const"], 0.95) == ["a", "b", "const"]
