@@ -24,15 +24,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import tiktoken
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 from tokenizers import Tokenizer
 
+from tidymeter.llm.numbering import numbered
 from tidymeter.session import materialize
 
 LIMIT = 1024
 END_ID = 2
 CACHE = 400_000  # word encodings kept per task
-SALT_ROWS = 200_000
 
 # A blank that more white space or the end follows: cut there, some texts would
 # be split otherwise than as a whole.
@@ -231,7 +231,7 @@ def _slots(settled: list[tuple[tuple[int, ...], int]], limit: int):
     return tuple(np.array(x, np.int64)[order] for x in (keys, sequences, offsets))
 
 
-def pack(cut: DataFrame, limit: int = LIMIT, salt_rows: int = SALT_ROWS) -> DataFrame:
+def pack(cut: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to a table of pieces with a ``length`` of 1 to ``limit``.
 
     ``cut`` is read three times: hand in a written table.
@@ -244,18 +244,8 @@ def pack(cut: DataFrame, limit: int = LIMIT, salt_rows: int = SALT_ROWS) -> Data
         histogram[r["length"]] = r["count"]
     table = _slots(plan(histogram), limit)
 
-    salts = max(8, int(histogram.sum()) // salt_rows)
-    salted = rows.select(
-        "row", F.col("row")["length"].alias("length"),
-        F.pmod(F.xxhash64("row"), F.lit(salts)).alias("salt"),
-    )
-    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    starts = salted.groupBy("length", "salt").count().select(
-        "length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first")
-    )
-    inside = Window.partitionBy("length", "salt").orderBy(F.xxhash64("row"))
-    ranked = salted.withColumn("n", F.row_number().over(inside)).join(starts, ["length", "salt"])
-    ranked = ranked.select("row", "length", (F.col("first") + F.col("n") - 1).alias("rank"))
+    placed = rows.withColumn("length", F.col("row")["length"])
+    ranked = numbered(placed, "length", int(histogram.sum()), "rank")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, sequences, offsets = table

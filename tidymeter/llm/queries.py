@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidymeter.llm import decontaminate, line_rules, packing, secrets
+from tidymeter.llm import (
+    backoff_lm, decontaminate, line_rules, ngram_join, packing, quality, secrets, sharding, surrogates, toxicity,
+)
 from tidymeter.llm.oracles import ORACLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +27,19 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@register
+def op1_toxicity_chain(spark: SparkSession, sf: str) -> DataFrame:
+    documents = table(spark, sf, "documents")
+    labels = table(spark, sf, "labels").filter("toxic IS NOT NULL").join(documents.select("doc_id", "lang"), "doc_id")
+    chain = toxicity.train(documents, labels, TOXIC_CATEGORIES)
+    done = toxicity.score(documents, chain)
+    return done.withColumn("flagged", F.col("toxic") >= 0.5)
+
+
+#: Toxicity by language first, then over all.
+TOXIC_CATEGORIES = {f"toxic_{x}": f"toxic = 1 AND lang = '{x}'" for x in ("en", "de", "fr", "es")} | {"toxic": "toxic = 1"}
+
+
 @register
 def op2_line_rules(spark: SparkSession, sf: str) -> DataFrame:
     done = line_rules.judge(table(spark, sf, "documents").select("doc_id", "text"))
@@ -34,11 +49,51 @@ def op2_line_rules(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@register
+def op3_minimax_shards(spark: SparkSession, sf: str) -> DataFrame:
+    done = sharding.shard(table(spark, sf, "documents"))
+    return done.select(
+        "doc_id", "size", "text_crc32", F.lit(sharding.LAW).alias("law"), "shard", F.col("slot").cast("long").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 @register
 def op4_pattern_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf, "documents"))
 
 
+@register
+def op5_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
+    return ngram_join.link(table(spark, sf, "documents"))
+
+
+@register
+def op6_shrunk_qda(spark: SparkSession, sf: str) -> DataFrame:
+    fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5
+    labels = table(spark, sf, "labels").filter((fold != 0) & F.col("quality").isNotNull())
+    done = quality.classify(table(spark, sf, "documents"), labels.select("doc_id", F.col("quality").alias("label")))
+    return done.select(
+        "doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted")
+    )
+
+
+@register
+def op7_backoff_lm(spark: SparkSession, sf: str) -> DataFrame:
+    documents = table(spark, sf, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
+    done = backoff_lm.score(documents.withColumn("train", ~held_out), train_col="train")
+    return done.select(
+        "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+        six("base_score"), six("score"),
+    )
+
+
+def six(name: str):
+    """Six decimals, so that engines that add in another order agree; the shift keeps the cut off short decimals."""
+    return (F.round(F.col(name) * 1e6 + 0.2371, 0) / 1e6).alias(name)
+
+
 @register
 def op8_markov_secrets(spark: SparkSession, sf: str) -> DataFrame:
     documents = table(spark, sf, "documents").select("doc_id", "text")
@@ -59,3 +114,9 @@ def op9_suffix_automaton(spark: SparkSession, sf: str) -> DataFrame:
     done = decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
     items = F.sha2(F.array_join("items", ","), 256)
     return done.select("doc_id", "n_words", "n_hit", "n_items", items.alias("items_sha256"), "contaminated")
+
+
+@register
+def op10_surrogates(spark: SparkSession, sf: str) -> DataFrame:
+    documents = table(spark, sf, "documents").select("doc_id", "text")
+    return surrogates.pseudonymise(documents, key="query-key")
