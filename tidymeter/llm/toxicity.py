@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tidymeter.llm.text import utf8
+from tidymeter.llm.text import by_bytes, utf8
 from tidymeter.session import materialize
 
 FEATURES = 400
@@ -131,12 +131,11 @@ def _select(labelled: DataFrame, names: list[str], most: int) -> list[bytes]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, raw in enumerate(utf8(batch.column("text"))):
-                if found := list(features_of(raw)):
-                    at = pa.array(np.full(len(found), row))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(found, pa.binary()), *(batch.column(c).take(at) for c in names)], names=["feature", *names]
-                    )
+            for part in by_bytes(batch):
+                found = [list(features_of(raw)) for raw in utf8(part.column("text"))]
+                at = pa.array(np.repeat(np.arange(len(found)), list(map(len, found))))
+                flat = pa.array([f for own in found for f in own], pa.binary())
+                yield pa.RecordBatch.from_arrays([flat, *(part.column(c).take(at) for c in names)], names=["feature", *names])
 
     schema = "feature binary, " + ", ".join(f"{c} int" for c in names)
     counts = labelled.select("text", *names).mapInArrow(run, schema).groupBy("feature").agg(
