@@ -6,14 +6,13 @@ n - ceil(0.85 n) + 1 tokens of either, under *any* order of the tokens. Three
 orders are used; all of them put frequent tokens last (frequencies come from a
 sketch of fixed size) and scramble the rest by another hash each.
 
-1. Prefix tokens of the first order are written as postings.
+1. Prefixes under all orders are written; those of the first order are the postings.
 2. Of each posting list, two centres are paired with every member (linear, however
    long the list). Pairs whose sizes or whose prefixes under the second and third
    order do not meet are dropped, the rest is verified on the whole sets.
 3. Verified links form components. Lists whose members lie in one component are
-   settled. In the others, members of different components are paired under the
-   first and under the second order, both pair sets are intersected, filtered by
-   the third order, and verified.
+   settled. In the others, members of different components are paired, filtered
+   by the further orders in the same way, and verified.
 
 No list, class or component is gathered in one task, and nothing is capped. Where
 very many *different* texts consist almost wholly of the same frequent 4-grams,
@@ -45,8 +44,9 @@ from tidymeter.session import materialize
 WORDS = 4
 PERCENT = 85
 ORDERS = 3
+FURTHER = [f"p{k}" for k in range(1, ORDERS)]
 SKETCH_BITS = (16, 22)  # least and most
-BYTES_PER_COUNTER = 256
+BYTES_PER_COUNTER = 64
 SLICES = 16
 
 
@@ -106,7 +106,7 @@ def _signatures(slim: DataFrame, rule: Rule, bits: int) -> DataFrame:
             counts += np.bincount(np.concatenate([np.empty(0, np.int64), *seen]), minlength=len(counts))
             yield _record(batch.column("id"), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), n)
         if kind is not None and counts.any():
-            parts = np.minimum(counts, 65535).astype("<u2").reshape(SLICES, -1)
+            parts = np.minimum(counts, 255).astype(np.uint8).reshape(SLICES, -1)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.nulls(SLICES, kind), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()),
@@ -135,8 +135,7 @@ def _classes(signatures: DataFrame, bits: int) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, raw in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist()):
-                part = np.frombuffer(raw, "<u2" if len(raw) == 2 * (1 << bits) // SLICES else "<i8")
-                sums[k] = sums.get(k, 0) + part.astype(np.int64)
+                sums[k] = sums.get(k, 0) + np.frombuffer(raw, np.uint8).astype(np.int64)
         yield pa.RecordBatch.from_arrays(
             [pa.array(sums, pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())],
             names=["slice", "counts"],
@@ -149,62 +148,55 @@ def _classes(signatures: DataFrame, bits: int) -> np.ndarray:
     width = len(counts) // SLICES
     for r in rows:
         counts[r["slice"] * width : (r["slice"] + 1) * width] += np.frombuffer(r["counts"], "<i8")
-    ordinary = 4 * counts.mean() + 8
+    mean = counts.mean()
+    ordinary = mean + 4 * np.sqrt(mean) + 3
     return np.where(counts > ordinary, 1 + np.log2(np.maximum(counts / ordinary, 1)), 0).astype(np.uint8)
 
 
-def _postings(slim: DataFrame, rule: Rule, shared) -> DataFrame:
-    """(token, name, n) for the prefix tokens of the first order, once per set and task."""
+def _prefixes(slim: DataFrame, rule: Rule, shared) -> DataFrame:
+    """(name, n, p0, p1, ..), once per set and task: prefix tokens under every order.
+
+    ``p0`` holds whole tokens; the others are cut to 16 bits, which lets a few
+    pairs more through the filter but never drops one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, seen = shared.value, set()
         for batch in batches:
-            tokens, names, sizes = [], [], []
+            rows: list[list] = [[] for _ in range(3 + len(FURTHER))]
             for raw in utf8(batch.column("text")):
                 own = token_set(raw, rule.words)
-                if not len(own):
-                    continue
-                name = set_name(own)
-                if name in seen:
+                if not len(own) or (name := set_name(own)) in seen:
                     continue
                 seen.add(name)
-                first = _prefix(own, rule, classes, 0)
-                tokens.append(first)
-                names.append(np.full(len(first), name, np.int64))
-                sizes.append(np.full(len(first), len(own), np.int32))
-            if tokens:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(names)),
-                     pa.array(np.concatenate(sizes))],
-                    names=["token", "name", "n"],
-                )
+                further = [_prefix(own, rule, classes, k) >> np.uint64(48) for k in range(1, ORDERS)]
+                values = [
+                    name, len(own), _prefix(own, rule, classes, 0).view(np.int64),
+                    *(np.unique(p).astype("<u2").tobytes() for p in further),
+                ]
+                for column, value in zip(rows, values):
+                    column.append(value)
+            kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), *[pa.binary()] * len(FURTHER)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(r, k) for r, k in zip(rows, kinds)], names=["name", "n", "p0", *FURTHER]
+            )
 
-    return slim.select("text").mapInArrow(run, "token long, name long, n int")
+    columns = ", ".join(f"{p} binary" for p in FURTHER)
+    return slim.select("text").mapInArrow(run, f"name long, n int, p0 array<long>, {columns}")
 
 
-def _sets(slim: DataFrame, rule: Rule, shared) -> DataFrame:
-    """(name, n, p1.., tokens): whole sets, and their prefixes under the further orders cut to 32 bits."""
-    extra = [f"p{k}" for k in range(1, ORDERS)]
+def _sets(slim: DataFrame, rule: Rule) -> DataFrame:
+    """(name, tokens): whole sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = shared.value
         for batch in batches:
-            rows: list[list] = [[] for _ in range(3 + len(extra))]
-            for raw in utf8(batch.column("text")):
-                own = token_set(raw, rule.words)
-                if not len(own):
-                    continue
-                prefixes = [_prefix(own, rule, classes, k) >> np.uint64(32) for k in range(1, ORDERS)]
-                values = [set_name(own), len(own), *(np.unique(p).astype("<u4").tobytes() for p in prefixes), own.tobytes()]
-                for column, value in zip(rows, values):
-                    column.append(value)
-            kinds = [pa.int64(), pa.int32(), *[pa.binary()] * len(extra), pa.binary()]
+            sets = [t for t in (token_set(raw, rule.words) for raw in utf8(batch.column("text"))) if len(t)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(r, k) for r, k in zip(rows, kinds)], names=["name", "n", *extra, "tokens"]
+                [pa.array(map(set_name, sets), pa.int64()), pa.array([t.tobytes() for t in sets], pa.binary())],
+                names=["name", "tokens"],
             )
 
-    columns = ", ".join(f"{p} binary" for p in extra)
-    return slim.select("text").mapInArrow(run, f"name long, n int, {columns}, tokens binary")
+    return slim.select("text").mapInArrow(run, "name long, tokens binary")
 
 
 def _beside(pairs: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
@@ -215,21 +207,19 @@ def _beside(pairs: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
     return pairs
 
 
-def _meeting(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs whose prefixes share a token under every further order."""
-    extra = [f"p{k}" for k in range(1, ORDERS)]
+def _meeting(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """Pairs whose prefixes share a token under every further order too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.ones(batch.num_rows, bool)
-            for c in extra:
+            for c in FURTHER:
                 ends = zip(batch.column(f"a_{c}").to_pylist(), batch.column(f"b_{c}").to_pylist())
-                keep &= np.fromiter((_overlap(x, y, "<u4") > 0 for x, y in ends), bool, batch.num_rows)
+                keep &= np.fromiter((_overlap(x, y, "<u2") > 0 for x, y in ends), bool, batch.num_rows)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    return _beside(pairs, sets, extra).select("a", "b", *[f"{e}_{c}" for e in "ab" for c in extra]).mapInArrow(
-        run, "a long, b long"
-    )
+    both = _beside(pairs, prefixes, FURTHER).select("a", "b", *[f"{e}_{c}" for e in "ab" for c in FURTHER])
+    return both.mapInArrow(run, "a long, b long")
 
 
 def _overlap(x: bytes, y: bytes, kind: str) -> int:
@@ -301,33 +291,33 @@ def link(
 
 def _links(spark: SparkSession, slim: DataFrame, least: DataFrame, rule: Rule, shared) -> DataFrame:
     """Verified links between set names, enough to connect every component."""
-    postings = materialize(_postings(slim, rule, shared), "postings")
+    prefixes = materialize(_prefixes(slim, rule, shared), "prefixes")
+    postings = prefixes.select("name", "n", F.explode("p0").alias("token"))
     centre = postings.groupBy("token").agg(
         F.min(F.struct("name", "n")).alias("least"), F.max(F.struct("name", "n")).alias("most")
     ).filter("least.name <> most.name")
     lists = materialize(postings.join(centre, "token").distinct(), "lists")
-    stars = materialize(_stars(lists, rule), "stars")
-    involved = lists.select("name").distinct().join(least, "name").select(F.col("least_id").alias("id"))
-    wanted = slim.join(involved.withColumnRenamed("id", "wanted"), F.col("id").eqNullSafe(F.col("wanted")), "left_semi")
-    sets = materialize(_sets(wanted, rule, shared).dropDuplicates(["name"]), "sets")
-    first = materialize(_verified(_meeting(stars, sets), sets, rule), "links")
+    # Sets copied into several tasks have several equal rows of prefixes.
+    involved = lists.select("name").distinct()
+    further = prefixes.select("name", *FURTHER).join(involved, "name", "left_semi").dropDuplicates(["name"])
+    further = materialize(further, "further")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        close = materialize(_meeting(pairs, further), "close")
+        ends = close.select(F.explode(F.array("a", "b")).alias("name")).distinct()
+        wanted = ends.join(least, "name").select(F.col("least_id").alias("wanted")).distinct()
+        texts = slim.join(wanted, F.col("id").eqNullSafe(F.col("wanted")), "left_semi")
+        sets = materialize(_sets(texts, rule), "sets")
+        return materialize(_verified(close, sets, rule), "links")
 
+    stars = materialize(_stars(lists, rule), "stars")
+    first = linked(stars)
     known = components(first).withColumnRenamed("node", "name")
-    placed = lambda df: df.join(known, "name", "left").withColumn("component", F.coalesce("component", "name"))
-    own = _across(placed(lists.select("token", "name", "n")), rule)
-    second = sets.select("name", "n", F.explode(_tokens32("p1")).alias("token"))
-    both = own.join(_across(placed(second), rule), ["a", "b"]).join(stars, ["a", "b"], "left_anti")
-    more = _verified(_meeting(materialize(both, "across"), sets), sets, rule)
-    return materialize(first.union(more), "links")
-
-
-def _tokens32(column: str):
-    """The 32-bit tokens of a binary column, as an array of strings of eight hex digits."""
-    digits = F.hex(column)
-    return F.transform(
-        F.sequence(F.lit(0), F.greatest(F.length(column) / 4 - 1, F.lit(0)).cast("int")),
-        lambda i: F.substring(digits, 8 * i + 1, F.lit(8)),
-    )
+    placed = lists.select("token", "name", "n").join(known, "name", "left")
+    placed = placed.withColumn("component", F.coalesce("component", "name"))
+    # Two centres pair all members of a list of up to three.
+    across = materialize(_across(placed, rule).join(stars, ["a", "b"], "left_anti"), "across")
+    return first if across.isEmpty() else first.union(linked(across))
 
 
 def deduplicate(
