@@ -12,7 +12,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_
 
 @pytest.fixture(scope="module")
 def odd(spark):
-    long_text = " ".join(f"word{i % 997} and then." for i in range(12_000))
+    long_text = " ".join(f"word{i} and then." for i in range(12_000))
     rows = [
         (1, "Plain words in a line that ends. " * 8, "en", "a", 5, 1, "x", "n"),
         (2, None, None, None, None, None, None, None),

@@ -128,6 +128,9 @@ def clean(df: DataFrame, text_col: str = "text", max_lost: float = MAX_LOST) ->
 
     A text that loses no line stays as it is, white space included.
     """
-    done = judge(df, text_col, max_lost).filter("kept")
+    done = judge(df, text_col, max_lost)
     text = F.when(F.col("n_good_lines") == F.col("n_lines"), F.col("row")[text_col]).otherwise(F.col("clean_text"))
-    return done.select(*[(text if c == text_col else F.col("row")[c]).alias(c) for c in df.columns])
+    whole = F.struct(*[(text if c == text_col else F.col("row")[c]).alias(c) for c in df.columns])
+    # Not a filter: that would be pushed below the projections above, each of their
+    # expressions written out again wherever it is used.
+    return done.select(F.inline(F.when(F.col("kept"), F.array(whole))))
