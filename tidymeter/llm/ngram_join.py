@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidymeter.llm.components import components
-from tidymeter.llm.text import hashes, mix, ngram_hashes, utf8, words_of
+from tidymeter.llm.text import by_bytes, hashes, mix, ngram_hashes, utf8, words_of
 from tidymeter.session import materialize
 
 WORDS = 4
@@ -48,6 +48,7 @@ FURTHER = [f"p{k}" for k in range(1, ORDERS)]
 SKETCH_BITS = (16, 22)  # least and most
 BYTES_PER_COUNTER = 64
 SLICES = 16
+BLOOM_BITS = 28  # at most 32 MB
 
 
 @dataclass(frozen=True)
@@ -185,18 +186,69 @@ def _prefixes(slim: DataFrame, rule: Rule, shared) -> DataFrame:
     return slim.select("text").mapInArrow(run, f"name long, n int, p0 array<long>, {columns}")
 
 
-def _sets(slim: DataFrame, rule: Rule) -> DataFrame:
-    """(name, tokens): whole sets."""
+def _bloom_places(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Four places of every key in a Bloom filter of so many bits."""
+    return np.concatenate([mix(keys, 20 + k) & np.uint64(bits - 1) for k in range(4)])
+
+
+def _bloom(ids: DataFrame) -> np.ndarray:
+    """Bloom filter of an id column, about 16 bits an id and at most ``BLOOM_BITS``.
+
+    A full filter lets more rows through, never fewer.
+    """
+    bits = 1 << min(max(16 * ids.count(), 1 << 16).bit_length(), BLOOM_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(bits, bool)
         for batch in batches:
-            sets = [t for t in (token_set(raw, rule.words) for raw in utf8(batch.column("text"))) if len(t)]
+            keys = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            own[_bloom_places(keys, bits).astype(np.int64)] = True
+        if own.any():
+            parts = np.packbits(own).reshape(SLICES, -1)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(map(set_name, sets), pa.int64()), pa.array([t.tobytes() for t in sets], pa.binary())],
-                names=["name", "tokens"],
+                [pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())],
+                names=["slice", "bits"],
             )
 
-    return slim.select("text").mapInArrow(run, "name long, tokens binary")
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, raw in zip(batch.column("slice").to_pylist(), batch.column("bits").to_pylist()):
+                whole[k] = whole.get(k, 0) | np.frombuffer(raw, np.uint8)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(whole, pa.int32()), pa.array([x.tobytes() for x in whole.values()], pa.binary())],
+            names=["slice", "bits"],
+        )
+
+    schema = "slice int, bits binary"
+    parts = ids.mapInArrow(run, schema).repartition(SLICES, "slice").mapInArrow(join, schema).collect()
+    out = np.zeros((SLICES, bits // 8 // SLICES), np.uint8)
+    for r in parts:
+        out[r["slice"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
+
+
+def _sets(slim: DataFrame, rule: Rule, shared) -> DataFrame:
+    """(name, short, tokens) of the rows whose id the shared Bloom filter holds; ``short`` has 16 bits of each token."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bloom = shared.value
+        for batch in batches:
+            keys = batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64)
+            at = _bloom_places(keys, 8 * len(bloom)).astype(np.int64)
+            found = (bloom[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).reshape(4, -1).all(axis=0)
+            for part in by_bytes(batch.filter(pa.array(found))):
+                sets = [t for t in (token_set(raw, rule.words) for raw in utf8(part.column("text"))) if len(t)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(map(set_name, sets), pa.int64()),
+                        pa.array([(t >> np.uint64(48)).astype("<u2").tobytes() for t in sets], pa.binary()),
+                        pa.array([t.tobytes() for t in sets], pa.binary()),
+                    ],
+                    names=["name", "short", "tokens"],
+                )
+
+    return slim.select(F.xxhash64("id").alias("key"), "text").mapInArrow(run, "name long, short binary, tokens binary")
 
 
 def _beside(pairs: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
@@ -228,28 +280,38 @@ def _overlap(x: bytes, y: bytes, kind: str) -> int:
     return int((both[1:] == both[:-1]).sum())
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs that reach the Jaccard bound on their whole sets."""
-    percent = rule.percent
+def _common(x: bytes, y: bytes, kind: str) -> int:
+    """Size of the intersection of two sorted multisets."""
+    a, b = np.frombuffer(x, kind), np.frombuffer(y, kind)
+    # The k-th repeat of a value only meets the k-th repeat on the other side.
+    keys = [(v.astype(np.uint64) << np.uint64(32)) + (np.arange(len(v)) - np.searchsorted(v, v)).astype(np.uint64) for v in (a, b)]
+    both = np.sort(np.concatenate(keys), kind="stable")
+    return int((both[1:] == both[:-1]).sum())
+
+
+def _reaching(pairs: DataFrame, sets: DataFrame, rule: Rule, column: str) -> DataFrame:
+    """Pairs that reach the Jaccard bound on a column of the sets.
+
+    On ``short``, tokens may meet that differ, so no pair is lost; on ``tokens`` the test is exact.
+    """
+    percent, size = rule.percent, 2 if column == "short" else 8
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("a_tokens").to_pylist(), batch.column("b_tokens").to_pylist()):
-                common = _overlap(x, y, "<u8")
-                keep.append(100 * common >= percent * (len(x) // 8 + len(y) // 8 - common))
+            for x, y in zip(batch.column(f"a_{column}").to_pylist(), batch.column(f"b_{column}").to_pylist()):
+                common = _common(x, y, "<u2") if size == 2 else _overlap(x, y, "<u8")
+                keep.append(100 * common >= percent * ((len(x) + len(y)) // size - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return _beside(pairs, sets, ["tokens"]).select("a", "b", "a_tokens", "b_tokens").mapInArrow(run, "a long, b long")
+    both = _beside(pairs, sets, [column]).select("a", "b", f"a_{column}", f"b_{column}")
+    return both.mapInArrow(run, "a long, b long").distinct()
 
 
-def _stars(lists: DataFrame, rule: Rule) -> DataFrame:
-    """Both centres of every list with each of its members, once, where the sizes fit."""
-    centres = lists.select("token", F.explode(F.array("least", "most")).alias("c"), "name", "n")
-    pairs = centres.filter((F.col("c.name") != F.col("name")) & rule.sizes_fit(F.col("c.n"), F.col("n")))
-    return pairs.select(
-        F.least("c.name", "name").alias("a"), F.greatest("c.name", "name").alias("b")
-    ).distinct()
+def _stars(lists: DataFrame) -> DataFrame:
+    """Both centres of every list with each of its members, once."""
+    pairs = lists.select(F.explode(F.array("low", "high")).alias("centre"), "name").filter("centre <> name")
+    return pairs.select(F.least("centre", "name").alias("a"), F.greatest("centre", "name").alias("b")).distinct()
 
 
 def _across(rows: DataFrame, rule: Rule) -> DataFrame:
@@ -293,24 +355,24 @@ def _links(spark: SparkSession, slim: DataFrame, least: DataFrame, rule: Rule, s
     """Verified links between set names, enough to connect every component."""
     prefixes = materialize(_prefixes(slim, rule, shared), "prefixes")
     postings = prefixes.select("name", "n", F.explode("p0").alias("token"))
-    centre = postings.groupBy("token").agg(
-        F.min(F.struct("name", "n")).alias("least"), F.max(F.struct("name", "n")).alias("most")
-    ).filter("least.name <> most.name")
+    centre = postings.groupBy("token").agg(F.min("name").alias("low"), F.max("name").alias("high")).filter("low <> high")
     lists = materialize(postings.join(centre, "token").distinct(), "lists")
     # Sets copied into several tasks have several equal rows of prefixes.
     involved = lists.select("name").distinct()
-    further = prefixes.select("name", *FURTHER).join(involved, "name", "left_semi").dropDuplicates(["name"])
+    further = prefixes.select("name", "n", *FURTHER).join(involved, "name", "left_semi").dropDuplicates(["name"])
     further = materialize(further, "further")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        close = materialize(_meeting(pairs, further), "close")
+        sized = _beside(pairs, further, ["n"]).filter(rule.sizes_fit(F.col("a_n"), F.col("b_n"))).select("a", "b")
+        close = materialize(_meeting(sized, further), "close")
         ends = close.select(F.explode(F.array("a", "b")).alias("name")).distinct()
-        wanted = ends.join(least, "name").select(F.col("least_id").alias("wanted")).distinct()
-        texts = slim.join(wanted, F.col("id").eqNullSafe(F.col("wanted")), "left_semi")
-        sets = materialize(_sets(texts, rule), "sets")
-        return materialize(_verified(close, sets, rule), "links")
+        wanted = materialize(ends.join(least, "name").select(F.xxhash64("least_id").alias("key")), "wanted")
+        bloom = spark.sparkContext.broadcast(_bloom(wanted))  # its size is bounded
+        sets = materialize(_sets(slim, rule, bloom), "sets")
+        likely = materialize(_reaching(close, sets, rule, "short"), "likely")
+        return materialize(_reaching(likely, sets, rule, "tokens"), "links")
 
-    stars = materialize(_stars(lists, rule), "stars")
+    stars = materialize(_stars(lists), "stars")
     first = linked(stars)
     known = components(first).withColumnRenamed("node", "name")
     placed = lists.select("token", "name", "n").join(known, "name", "left")
