@@ -8,7 +8,6 @@ from tidymeter.catalog import inputs  # noqa: F401
 from tidymeter.catalog.base import duck, register, view
 from tidymeter.catalog.measurements import _RAW_WIDE, raw_long
 from tidymeter.operators import activity as A
-from tidymeter.operators.ranks import size_guard
 from tidymeter.plans.rebuild import activity_columns, rebuild_wide
 from tidymeter.session import materialize
 
@@ -49,11 +48,11 @@ _STATS = "median,iqr,min,max,relative_iqr,fold_range"
 
 def assays(spark, sf):
     rows = view(spark, sf, "activities")
-    return A.assay_level(A.activity_features(rows), THRESHOLD, size_guard(rows, ["CID"]))
+    return A.assay_level(A.activity_features(rows), THRESHOLD, A.entity_guard(rows))
 
 
 def targets(spark, sf):
-    guard = size_guard(view(spark, sf, "activities"), ["CID"])
+    guard = A.entity_guard(view(spark, sf, "activities"))
     return A.target_level(A.assay_qc(assays(spark, sf))[0], THRESHOLD, guard)
 
 

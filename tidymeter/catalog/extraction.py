@@ -118,11 +118,11 @@ FROM {orders}
 """
 
 VIEWS["section_payloads"] = """
-SELECT p_partkey, '{{"Record":{{"Section":[{{"TOCHeading":"Names","Section":[{{"TOCHeading":"skip","Information":[{{"Value":{{"String":"x"}}}}]}}]}},'
+SELECT p_partkey, repeat('{{"Any":[', CAST(p_partkey % 10 AS INT)) || '{{"Record":{{"Section":[{{"TOCHeading":"Names","Section":[{{"TOCHeading":"skip","Information":[{{"Value":{{"String":"x"}}}}]}}]}},'
   || '{{"TOCHeading":"Chemical and Physical Properties","Section":[{{"TOCHeading":"Computed Properties","Information":[{{"Value":{{"Text":"outer"}}}}],"Section":['
   || '{{"TOCHeading":" Molecular Weight ","Information":[{{"Value":{{"Number":[' || CAST(p_size AS STRING) || ',2.5],"Unit":"g/mol"}},"Reference":["r1 ","","r2"]}}]}},'
   || '{{"TOCHeading":"Name","Information":[{{"Value":{{"StringWithMarkup":[{{"String":"' || p_name || '"}},{{"String":" second "}}]}}}},{{"Value":{{"String":" ' || p_brand || ' "}},"Reference":null}}]}}]}},'
-  || '{{"TOCHeading":"Experimental Properties","Section":[{{"TOCHeading":"Odor","Information":[{{"Value":{{"Text":"t' || CAST(p_partkey AS STRING) || '"}}}}]}}]}}]}}]}}}}' AS payload
+  || '{{"TOCHeading":"Experimental Properties","Section":[{{"TOCHeading":"Odor","Information":[{{"Value":{{"Text":"t' || CAST(p_partkey AS STRING) || '"}}}}]}}]}}]}}]}}}}' || repeat(']}}', CAST(p_partkey % 10 AS INT)) AS payload
 FROM {part}
 """
 
@@ -407,13 +407,14 @@ def e14(spark, sf):
 
 @register(
     "e14_prefer_first",
-    f"""SELECT o_orderkey AS page_id, 'Json' AS "PropertyName", o_orderstatus AS "PropertyValue", '' AS "PropertyUnit", 'j' AS "Reference"
-    FROM orders WHERE o_orderstatus = 'F' UNION ALL
+    f"""SELECT CASE WHEN o_orderstatus = 'F' THEN o_orderkey ELSE -o_orderkey END AS page_id, 'Json' AS "PropertyName",
+      o_orderstatus AS "PropertyValue", '' AS "PropertyUnit", 'j' AS "Reference" FROM orders UNION ALL
     SELECT * FROM ({_DIV_SQL}) WHERE page_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')""",
 )
 def e14_prefer(spark, sf):
-    best = table(spark, sf, "orders").where("o_orderstatus = 'F'").select(
-        F.col("o_orderkey").alias("page_id"), F.lit("Json").alias("PropertyName"),
+    # Orders of another status bring a page of their own, so that their other rows stay.
+    best = table(spark, sf, "orders").select(
+        F.when(F.col("o_orderstatus") == "F", F.col("o_orderkey")).otherwise(-F.col("o_orderkey")).alias("page_id"), F.lit("Json").alias("PropertyName"),
         F.col("o_orderstatus").alias("PropertyValue"), F.lit("").alias("PropertyUnit"),
         F.lit("j").alias("Reference"),
     )

@@ -11,24 +11,26 @@ from tidymeter.operators import combine as J
 
 # Structures: nation rows as text ids; the odd nations have none.
 VIEWS["structures"] = """
-SELECT CAST(n_nationkey AS STRING) AS CID, n_name AS SMILES FROM {nation} WHERE n_regionkey <> 2
+SELECT CASE WHEN n_regionkey <> 2 THEN CAST(n_nationkey AS STRING) END AS CID, n_name AS SMILES FROM {nation}
 """
 VIEWS["molecules"] = """
 SELECT c_nationkey AS CID, c_custkey, c_acctbal FROM {customer}
 """
 # The first order of a customer is not unique as such: many structure rows per id.
 VIEWS["repeated"] = """
-SELECT CAST(o_custkey AS STRING) AS CID, o_orderpriority AS SMILES, o_orderkey AS ordinal
-FROM {orders} WHERE o_orderstatus = 'F'
+SELECT CASE WHEN o_orderstatus = 'F' THEN CAST(o_custkey AS STRING) ELSE 'none ' || CAST(o_custkey AS STRING) END AS CID,
+  o_orderpriority AS SMILES, o_orderkey AS ordinal FROM {orders}
 """
 VIEWS["blocks"] = """
-SELECT CAST(o_custkey AS STRING) AS CID, max(o_totalprice) AS top,
-  CASE WHEN count(*) > 5 THEN count(*) END AS many FROM {orders} WHERE o_orderstatus = 'O' GROUP BY o_custkey
+SELECT CID, max(o_totalprice) AS top, CASE WHEN count(*) > 5 THEN count(*) END AS many FROM (
+  SELECT CASE WHEN o_orderstatus = 'O' THEN CAST(o_custkey AS STRING) ELSE 'none ' || CAST(o_custkey AS STRING) END AS CID,
+    o_totalprice FROM {orders}) GROUP BY CID
 """
 VIEWS["cross"] = """
-SELECT CAST(c_custkey AS STRING) AS CID, -c_acctbal / 100 AS e_reduced_at_oxidized,
+SELECT CASE WHEN c_custkey % 4 <> 0 THEN CAST(c_custkey AS STRING) ELSE 'none ' || CAST(c_custkey AS STRING) END AS CID,
+  -c_acctbal / 100 AS e_reduced_at_oxidized,
   CASE WHEN c_custkey % 9 <> 0 THEN -c_acctbal / 90 - 1 END AS e_oxidized_at_reduced,
-  CASE WHEN c_custkey % 9 = 0 THEN 'not converged' END AS error FROM {customer} WHERE c_custkey % 4 <> 0
+  CASE WHEN c_custkey % 9 = 0 THEN 'not converged' END AS error FROM {customer}
 """
 # Lookups: every order is one attempt for its customer.
 VIEWS["attempts"] = """
@@ -174,10 +176,9 @@ def j08(spark, sf):
     return J.priority_lookup(view(spark, sf, "attempts"))
 
 
-_DIM = """SELECT CAST(p_partkey AS STRING) AS target_id,
+_DIM = """SELECT CASE WHEN p_partkey % 11 <> 0 THEN CAST(p_partkey AS STRING) ELSE 'none' END AS target_id,
   CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE '' END AS pref_name,
-  CASE WHEN p_partkey % 3 = 1 THEN p_type END AS target_name, p_partkey, p_brand, p_name FROM {part}
-  WHERE p_partkey % 11 <> 0"""
+  CASE WHEN p_partkey % 3 = 1 THEN p_type END AS target_name, p_partkey, p_brand, p_name FROM {part}"""
 
 
 @register(

@@ -597,10 +597,40 @@ def c07(spark, sf):
     "NumericValue",
 )
 def c07_legacy(spark, sf):
-    cleaned = clean(view(spark, sf, "measurements"))["cleaned"]
+    cleaned = clean(view(spark, sf, "measurements"), legacy=True)["cleaned"]
     return cleaned.select("CID", "StandardPropertyName", "NumericValue")
 
 
+@register(
+    "c07_clean_cleaned",
+    f"WITH {CLEAN} SELECT CID, StandardPropertyName, NumericValue FROM ({_DEDUP.format(src='rows_')})",
+    "NumericValue",
+)
+def c07_cleaned(spark, sf):
+    return clean(view(spark, sf, "measurements"))["cleaned"].select("CID", "StandardPropertyName", "NumericValue")
+
+
+@register(
+    "c07_clean_sparse",
+    f"""WITH {CLEAN}, often AS (SELECT StandardPropertyName FROM ({_COVER.format(src='rows_')}) WHERE fraction >= 0.95),
+    few AS (SELECT * FROM rows_ WHERE StandardPropertyName NOT IN (SELECT StandardPropertyName FROM often))
+    {_SUMMARY.format(src='few')}""",
+    _SUMMARY_DOUBLES,
+)
+def c07_sparse(spark, sf):
+    return clean(view(spark, sf, "measurements"), min_coverage=0.95)["sparse"]
+
+
+@register(
+    "c07_clean_rare",
+    f"""WITH {CLEAN} SELECT StandardPropertyName, entities AS "CompoundCount", fraction AS "FractionOfCompounds"
+    FROM ({_COVER.format(src='rows_')}) WHERE fraction < 0.95""",
+    "FractionOfCompounds",
+)
+def c07_rare(spark, sf):
+    return clean(view(spark, sf, "measurements"), min_coverage=0.95)["rare"]
+
+
 # --- W: long to wide ----------------------------------------------------------------------
 
 

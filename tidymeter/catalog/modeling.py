@@ -23,8 +23,9 @@ SELECT 'T' || CAST(l_linenumber AS STRING) AS target, CASE l_linenumber WHEN 1 T
 """
 VIEWS["method_results"] = """
 SELECT l_returnflag AS target, CASE l_linestatus WHEN 'F' THEN 'with_block' ELSE 'without_block' END AS block,
-  'm' || CAST(l_linenumber AS STRING) AS method, avg(l_tax) AS cv_r2_grouped FROM {lineitem}
-WHERE l_returnflag <> 'R' OR l_linestatus <> 'F' GROUP BY l_returnflag, l_linestatus, l_linenumber
+  'm' || CAST(l_linenumber AS STRING) AS method,
+  CASE WHEN l_returnflag <> 'R' OR l_linestatus <> 'F' THEN avg(l_tax) END AS cv_r2_grouped FROM {lineitem}
+GROUP BY l_returnflag, l_linestatus, l_linenumber
 """
 
 _FEATURES = ["qty", "disc", "tax", "twice", "lines", "fixed"]
@@ -293,8 +294,9 @@ def m16(spark, sf):
 @register(
     "m17_best_method",
     f"""WITH r AS (SELECT * FROM {duck('method_results')}), p AS (SELECT *, bool_or(block = 'with_block') OVER (PARTITION BY target) AS has FROM r)
-    SELECT target, method AS best_method FROM p WHERE (has AND block = 'with_block') OR NOT has
-    QUALIFY row_number() OVER (PARTITION BY target ORDER BY cv_r2_grouped DESC, method DESC) = 1""",
+    SELECT target, CASE WHEN cv_r2_grouped IS NOT NULL THEN method END AS best_method
+    FROM p WHERE (has AND block = 'with_block') OR NOT has
+    QUALIFY row_number() OVER (PARTITION BY target ORDER BY cv_r2_grouped DESC NULLS LAST, method DESC) = 1""",
 )
 def m17(spark, sf):
     return training.best_method(view(spark, sf, "method_results"))

@@ -42,7 +42,7 @@ FROM {lineitem} GROUP BY l_linestatus, l_linenumber
 VIEWS["relevance_scores"] = """
 SELECT CASE l_linestatus WHEN 'F' THEN 'with_block' ELSE 'without_block' END AS block,
   'm' || CAST(l_linenumber % 3 AS STRING) AS method, 'f' || CAST(l_suppkey AS STRING) AS feature,
-  max(l_extendedprice) AS score FROM {lineitem} WHERE (l_suppkey + l_linenumber) % 5 <> 0 GROUP BY ALL
+  max(CASE WHEN (l_suppkey + l_linenumber) % 5 <> 0 THEN l_extendedprice END) AS score FROM {lineitem} GROUP BY ALL
 """
 VIEWS["relevance_scores"] = VIEWS["relevance_scores"].replace(
     "GROUP BY ALL", "GROUP BY l_linestatus, l_linenumber % 3, l_suppkey"

@@ -6,9 +6,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidymeter.operators.ranks import hash_rank, null_safe_join
 
-# More distinct group sizes than this would mean groups of a million different sizes.
-MAX_SIZES = 1_000_000
-
 
 def digest(*parts) -> Column:
     """Seeded uniform digest of a key; any engine can reproduce it."""
@@ -23,14 +20,9 @@ def random_folds(
     df: DataFrame, key: str, target: list[str] | None = None, max_folds: int = 5, seed: int = 42
 ) -> DataFrame:
     """Balanced shuffled folds per target; fold sizes differ by at most one."""
-    target = target or []
-    shuffled = hash_rank(df, target, digest(key, F.lit(str(seed))), [key], "_rank") if target else (
-        hash_rank(df.withColumn("_one", F.lit(0)), ["_one"], digest(key, F.lit(str(seed))), [key], "_rank")
-    )
-    keys = target or ["_one"]
-    counts = shuffled.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    joined = null_safe_join(shuffled, counts, keys, "inner")
-    folds = joined.withColumn("fold", ((F.col("_rank") - 1) % fold_count(F.col("_n"), max_folds)).cast("int"))
+    rows = df if target else df.withColumn("_one", F.lit(0))
+    ranked = hash_rank(rows, target or ["_one"], digest(key, F.lit(str(seed))), [key], "_rank", total="_n")
+    folds = ranked.withColumn("fold", ((F.col("_rank") - 1) % fold_count(F.col("_n"), max_folds)).cast("int"))
     return folds.drop("_rank", "_n", "_one")
 
 
@@ -67,18 +59,17 @@ def group_folds(
 ) -> DataFrame:
     """Whole groups into folds, largest first, each to the lightest fold.
 
-    Only the histogram of group sizes is walked on the driver; the groups get
-    their place in their size class by a distributed rank.
+    Only the histogram of group sizes is walked on the driver: n rows have at
+    most sqrt(2 n) different group sizes. The groups get their place in their
+    size class by a distributed rank.
     """
     spark = df.sparkSession
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_size"))
     histogram = [
         (r["_size"], r["c"])
         for r in sizes.groupBy("_size").agg(F.count(F.lit(1)).alias("c"))
-        .orderBy(F.desc("_size")).limit(MAX_SIZES + 1).collect()
+        .orderBy(F.desc("_size")).collect()
     ]
-    if len(histogram) > MAX_SIZES:
-        raise ValueError("too many distinct group sizes")
     rows = sum(s * c for s, c in histogram)
     groups = sum(c for _, c in histogram)
     k = folds or min(max_folds, max(min_folds, rows // 10), groups)
@@ -99,10 +90,13 @@ def group_folds(
 
 
 def repeated_group_folds(df: DataFrame, group: str, folds: int, repeats: int) -> DataFrame:
-    """One row per (row, repeat): in every repeat the groups are shuffled anew over the folds."""
+    """One row per (row, repeat): in every repeat the groups are shuffled anew over the folds.
+
+    Rows without a group form a group of their own.
+    """
     groups = df.select(group).distinct().withColumn(
         "repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))
     )
     ranked = hash_rank(groups, ["repeat"], digest("repeat", group), [group], "_rank")
     table = ranked.select(group, "repeat", ((F.col("_rank") - 1) % folds).cast("int").alias("fold"))
-    return df.join(table, group)
+    return null_safe_join(df, table, [group], "inner")

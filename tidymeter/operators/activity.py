@@ -17,6 +17,11 @@ REVIEW_COLUMNS = [
 ]
 
 
+def entity_guard(activities: DataFrame) -> int | None:
+    """Hot limit for the groups below an entity, or None if no entity is hot; entities are trimmed as in the features."""
+    return ranks.size_guard(activities.select(X.strip(F.col("CID").cast("string")).alias("CID")), ["CID"])
+
+
 def activity_features(df: DataFrame, legacy: bool = False) -> DataFrame:
     """(CID, FeatureName, AssayID, value) of every usable activity row.
 

@@ -106,12 +106,19 @@ def exact_rank(
 
 
 def hash_rank(
-    df: DataFrame, keys: list[str], digest: Column, tie: list[str], name: str, digits: int = 4
+    df: DataFrame,
+    keys: list[str],
+    digest: Column,
+    tie: list[str],
+    name: str,
+    digits: int = 4,
+    total: str | None = None,
 ) -> DataFrame:
     """Row number (from 1) by a hexadecimal digest, without any hot task.
 
     A digest is uniform, so its leading digits cut every group into even
-    buckets; bucket totals give the offset of each bucket.
+    buckets; bucket totals give the offset of each bucket. ``total`` names an
+    extra column with the size of the group, which the same totals give.
     """
     work = df.withColumn("_digest", digest).withColumn("_bucket", F.substring("_digest", 1, digits))
     offsets = (
@@ -126,13 +133,15 @@ def hash_rank(
                 F.lit(0),
             ),
         )
+        .withColumn("_total", F.sum("_n").over(W.partitionBy(*keys)))
         .drop("_n")
     )
     inside = F.row_number().over(W.partitionBy(*keys, "_bucket").orderBy("_digest", *tie))
     return (
         null_safe_join(work, offsets, [*keys, "_bucket"], "inner")
         .withColumn(name, inside + F.col("_before"))
-        .drop("_digest", "_bucket", "_before")
+        .withColumns({total: F.col("_total")} if total else {})
+        .drop("_digest", "_bucket", "_before", "_total")
     )
 
 

@@ -23,7 +23,8 @@ def clean(
 
     ``cleaned`` has one row per (entity, property). Summaries and wide tables
     aggregate the replicates themselves; ``legacy=True`` aggregates the already
-    collapsed rows, so that every count is 1. The plausible rows are written to
+    collapsed rows, so that every count is 1. ``sparse`` is a long summary at any
+    size, since rare names can outnumber the columns of a table. The plausible rows are written to
     the shared scratch folder once, because six outputs read them.
     """
     rows = materialize(clean_rows(raw, legacy), "clean-rows")
@@ -36,21 +37,12 @@ def clean(
         "cleaned": cleaned,
         "summary": C.summarize(base, hot_rows=guard),
         "ml": W.pivot_ml(frequent, hot_rows=guard),
-        "sparse": _wide_or_long(sparse, guard),
+        "sparse": C.summarize(sparse, hot_rows=guard),
         "rare": C.rare_properties(base, min_coverage),
         "report": C.cleaning_report(raw, base, min_coverage),
     }
 
 
-def _wide_or_long(df: DataFrame, guard: int | None) -> DataFrame:
-    """Rare names can outnumber the columns a table may have; then the long summary stands in."""
-    limit = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues"))
-    names = df.select("StandardPropertyName").distinct().limit(limit + 1).count()
-    if names > limit:
-        return C.summarize(df, hot_rows=guard)
-    return W.pivot_ml(df, hot_rows=guard)
-
-
 def frequent_and_sparse(df: DataFrame, min_coverage: float) -> tuple[DataFrame, DataFrame]:
     """Rows of the frequent and of the sparse properties; every row is in one of the two."""
     split = C.split_by_coverage(df, min_coverage).select("StandardPropertyName", "frequent")

@@ -10,7 +10,7 @@ from tidymeter.operators.ranks import size_guard
 
 def activity_columns(activities: DataFrame, threshold: float = 2.0, legacy: bool = False) -> DataFrame:
     """Wide activity columns after both quality levels."""
-    guard = size_guard(activities, ["CID"])
+    guard = A.entity_guard(activities)
     assays = A.assay_level(A.activity_features(activities, legacy), threshold, guard)
     passing, _ = A.assay_qc(assays)
     return A.activity_wide(A.target_level(passing, threshold, guard))
