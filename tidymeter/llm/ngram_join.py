@@ -31,6 +31,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +46,7 @@ WORDS = 4
 PERCENT = 85
 ORDERS = 3
 FURTHER = [f"p{k}" for k in range(1, ORDERS)]
-SKETCH_BITS = (16, 22)  # least and most
+SKETCH_BITS = (16, 21)  # least and most
 BYTES_PER_COUNTER = 64
 SLICES = 16
 BLOOM_BITS = 28  # at most 32 MB
@@ -95,7 +96,7 @@ def _signatures(slim: DataFrame, rule: Rule, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << bits, np.int64)
         kind = None
-        for batch in batches:
+        for batch in chain.from_iterable(map(by_bytes, batches)):
             kind = batch.schema.field("id").type
             names, sizes, seen = [], [], []
             for raw in utf8(batch.column("text")):
@@ -163,7 +164,7 @@ def _prefixes(slim: DataFrame, rule: Rule, shared) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, seen = shared.value, set()
-        for batch in batches:
+        for batch in chain.from_iterable(map(by_bytes, batches)):
             rows: list[list] = [[] for _ in range(3 + len(FURTHER))]
             for raw in utf8(batch.column("text")):
                 own = token_set(raw, rule.words)
@@ -263,7 +264,7 @@ def _meeting(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
     """Pairs whose prefixes share a token under every further order too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chain.from_iterable(map(by_bytes, batches)):
             keep = np.ones(batch.num_rows, bool)
             for c in FURTHER:
                 ends = zip(batch.column(f"a_{c}").to_pylist(), batch.column(f"b_{c}").to_pylist())
@@ -297,7 +298,7 @@ def _reaching(pairs: DataFrame, sets: DataFrame, rule: Rule, column: str) -> Dat
     percent, size = rule.percent, 2 if column == "short" else 8
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chain.from_iterable(map(by_bytes, batches)):
             keep = []
             for x, y in zip(batch.column(f"a_{column}").to_pylist(), batch.column(f"b_{column}").to_pylist()):
                 common = _common(x, y, "<u2") if size == 2 else _overlap(x, y, "<u8")

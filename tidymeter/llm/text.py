@@ -46,7 +46,7 @@ def ngram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def by_bytes(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def by_bytes(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Zero-copy slices of a batch that hold about so many bytes each."""
     rows = batch.num_rows
     if not rows:
