@@ -59,8 +59,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def clear_scratch(spark: SparkSession) -> None:
     """Delete this application's intermediate tables, once its results are written."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    _delete(spark, _own_folder(spark))
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -74,7 +77,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared scratch folder and read back: columnar, and safe against lost executors."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that no later step reads; what was derived from them must be written already."""
+    for df in tables:
+        _delete(df.sparkSession, df.scratch)
 
 
 def spread_rows(df: DataFrame) -> DataFrame:
