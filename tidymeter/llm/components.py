@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidymeter.session import materialize
+from tidymeter.session import discard, materialize
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -23,8 +23,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     now = materialize(clean.select(low, high).distinct(), "edges")
     before = None
     while (state := _state(now)) != before:
-        before = state
-        now = materialize(_small_star(_large_star(now)), "edges")
+        before, last = state, now
+        now = materialize(_small_star(_large_star(last)), "edges")
+        discard(last)
     tops = now.select(F.col("low").alias("node"), F.col("low").alias("component")).distinct()
     return now.select(F.col("high").alias("node"), F.col("low").alias("component")).union(tops)
 

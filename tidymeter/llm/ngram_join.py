@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidymeter.llm.components import components
 from tidymeter.llm.text import by_bytes, hashes, mix, ngram_hashes, utf8, words_of
-from tidymeter.session import materialize
+from tidymeter.session import discard, materialize
 
 WORDS = 4
 PERCENT = 85
@@ -362,6 +362,7 @@ def _links(spark: SparkSession, slim: DataFrame, least: DataFrame, rule: Rule, s
     involved = lists.select("name").distinct()
     further = prefixes.select("name", "n", *FURTHER).join(involved, "name", "left_semi").dropDuplicates(["name"])
     further = materialize(further, "further")
+    discard(prefixes)
 
     def linked(pairs: DataFrame) -> DataFrame:
         sized = _beside(pairs, further, ["n"]).filter(rule.sizes_fit(F.col("a_n"), F.col("b_n"))).select("a", "b")
@@ -371,7 +372,9 @@ def _links(spark: SparkSession, slim: DataFrame, least: DataFrame, rule: Rule, s
         bloom = spark.sparkContext.broadcast(_bloom(wanted))  # its size is bounded
         sets = materialize(_sets(slim, rule, bloom), "sets")
         likely = materialize(_reaching(close, sets, rule, "short"), "likely")
-        return materialize(_reaching(likely, sets, rule, "tokens"), "links")
+        out = materialize(_reaching(likely, sets, rule, "tokens"), "links")
+        discard(close, wanted, sets, likely)
+        return out
 
     stars = materialize(_stars(lists), "stars")
     first = linked(stars)
@@ -380,7 +383,9 @@ def _links(spark: SparkSession, slim: DataFrame, least: DataFrame, rule: Rule, s
     placed = placed.withColumn("component", F.coalesce("component", "name"))
     # Two centres pair all members of a list of up to three.
     across = materialize(_across(placed, rule).join(stars, ["a", "b"], "left_anti"), "across")
-    return first if across.isEmpty() else first.union(linked(across))
+    out = first if across.isEmpty() else first.union(linked(across))
+    discard(lists, stars, further, across)
+    return out
 
 
 def deduplicate(
