@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidymeter.session import materialize
 
-EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
 IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)"
 CARD = r"(?<![\d])\d(?:[ -]?\d){12,18}(?!\d)"
 PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?!\w)"
@@ -33,7 +33,7 @@ TITLES_N = "Dr|Prof"
 NAME = rf"\b(?:{TITLES_F}|{TITLES_M}|{TITLES_N})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?"
 ANY = "|".join((EMAIL, IP, CARD, PHONE, NAME))
 #: A text without any of these characters or words has no entity.
-HINT = rf"@|\d{{2}}|\b(?:{TITLES_F}|{TITLES_M}|{TITLES_N})\b"
+HINT = rf"@|\d\D?\d|\b(?:{TITLES_F}|{TITLES_M}|{TITLES_N})\b"
 TYPES = ["email", "ip", "card", "phone", "name"]
 
 LATIN = "abcdefghijklmnopqrstuvwxyz"
@@ -44,6 +44,11 @@ VOWELS = {"latin": "aeiou", "cyrillic": "аеиоу", "greek": "αειου"}
 _UNIT = "struct<type:string,canonical:string>"
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)``, with ``value`` worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _type(hit: Column) -> Column:
     kinds = ((EMAIL, "email"), (IP, "ip"), (CARD, "card"), (PHONE, "phone"))
     out = F.lit("name")
@@ -173,11 +178,12 @@ def _name(type_: Column, canonical: Column, stream: Column) -> Column:
             canonical,
             lambda c, i: F.when(i % 2 == 0, _letter(consonants, stream, i)).otherwise(_letter(VOWELS[script], stream, i)),
         )
-        short = F.substring(body, F.lit(1), F.length(canonical) - 1)
-        return (
-            F.when(type_ == "given_f", F.concat(short, F.lit(female)))
-            .when(type_ == "given_m", F.concat(short, F.lit(male)))
-            .otherwise(body)
+        short = lambda x: F.substring(x, F.lit(1), F.length(canonical) - 1)
+        return _let(
+            body,
+            lambda x: F.when(type_ == "given_f", F.concat(short(x), F.lit(female)))
+            .when(type_ == "given_m", F.concat(short(x), F.lit(male)))
+            .otherwise(x),
         )
 
     return (
@@ -189,22 +195,31 @@ def _name(type_: Column, canonical: Column, stream: Column) -> Column:
 
 def surrogate(key: str, type_: Column, canonical: Column, attempt: Column) -> Column:
     """The canonical surrogate of an entity."""
-    stream = _stream(key, type_, canonical, attempt)
-    domain = F.regexp_extract(canonical, r"\.[a-z]+$", 0)
-    email = F.concat(
-        _each(F.substring(canonical, F.lit(1), F.length(canonical) - F.length(domain)), lambda c, i: _like(c, stream, i)),
-        domain,
+    return _let(_stream(key, type_, canonical, attempt), lambda stream: _made(type_, canonical, stream))
+
+
+def _made(type_: Column, canonical: Column, stream: Column) -> Column:
+    def like(x: Column) -> Column:
+        return _each(x, lambda c, i: _like(c, stream, i))
+
+    def checked(digits: Column) -> Column:
+        """Digits with a valid check digit, if the canonical ones have one."""
+        payload = F.substring(digits, F.lit(1), F.length(digits) - 1)
+        proper = _luhn(F.substring(canonical, F.lit(1), F.length(canonical) - 1)) == F.substring(
+            canonical, F.length(canonical), F.lit(1)
+        )
+        return F.when(proper, F.concat(payload, _luhn(payload))).otherwise(digits)
+
+    email = _let(
+        F.regexp_extract(canonical, r"\.[a-z]+$", 0),
+        lambda domain: F.concat(like(F.substring(canonical, F.lit(1), F.length(canonical) - F.length(domain))), domain),
     )
     octets = F.array_join(
         F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_pick(stream, i, F.lit(254)) + 1).cast("string")), "."
     )
-    digits = _each(canonical, lambda c, i: _like(c, stream, i))
-    payload = F.substring(digits, F.lit(1), F.length(canonical) - 1)
-    proper = _luhn(F.substring(canonical, F.lit(1), F.length(canonical) - 1)) == F.substring(canonical, F.length(canonical), F.lit(1))
-    card = F.when(proper, F.concat(payload, _luhn(payload))).otherwise(digits)
     return (
-        F.when(type_ == "email", email).when(type_ == "ip", octets).when(type_ == "card", card)
-        .when(type_ == "phone", digits).otherwise(_name(type_, canonical, stream))
+        F.when(type_ == "email", email).when(type_ == "ip", octets).when(type_ == "card", _let(like(canonical), checked))
+        .when(type_ == "phone", like(canonical)).otherwise(_name(type_, canonical, stream))
     )
 
 
@@ -257,25 +272,28 @@ def _cased(value: Column, plain: Column) -> Column:
     )
 
 
-def _mention(m: Column, key: str) -> Column:
-    """The text that replaces a mention whose units carry their attempt."""
-    def made(u: Column) -> Column:
-        return surrogate(key, u["type"], u["canonical"], u["attempt"])
-
-    value = m["value"]
-    first = F.get(m["units"], F.lit(0))
-    code = F.regexp_extract(value, r"^\+\d{1,3}[ .-]?", 0)
-    rest = F.substring(value, F.length(code) + 1, F.length(value))
-    title = F.element_at(F.split(value, " "), 1)
-    names = F.array_join(
-        F.transform(m["units"], lambda u, i: _cased(F.get(_words(value), i), made(u))), " "
+def _mention(m: Column) -> Column:
+    """The text that replaces a mention, from the surrogates of its units."""
+    value, first = m["value"], F.get(m["made"], F.lit(0))
+    phone = _let(
+        F.regexp_extract(value, r"^\+\d{1,3}[ .-]?", 0),
+        lambda code: F.concat(
+            code, _let(F.substring(value, F.length(code) + 1, F.length(value)), lambda rest: _laid(rest, first))
+        ),
+    )
+    name = _let(
+        F.split(value, " "),
+        lambda words: F.concat_ws(
+            " ", F.get(words, F.lit(0)),
+            F.array_join(F.transform(m["made"], lambda w, i: _cased(F.get(words, i + 1), w)), " "),
+        ),
     )
     return (
-        F.when(m["type"] == "email", _cased(value, made(first)))
-        .when(m["type"] == "ip", made(first))
-        .when(m["type"] == "card", _laid(value, made(first)))
-        .when(m["type"] == "phone", F.concat(code, _laid(rest, made(first))))
-        .otherwise(F.concat_ws(" ", title, names))
+        F.when(m["type"] == "email", _cased(value, first))
+        .when(m["type"] == "ip", first)
+        .when(m["type"] == "card", _laid(value, first))
+        .when(m["type"] == "phone", phone)
+        .otherwise(name)
     )
 
 
@@ -313,20 +331,19 @@ def _equals(value: str):
 def _rewritten(plain: DataFrame, key: str, text_col: str, columns: list[str]) -> DataFrame:
     text = F.col("row")[text_col].cast("string")
     attempt = lambda u: F.coalesce(F.element_at("again", F.concat_ws(":", u["type"], u["canonical"])), F.lit(0))
-    units = lambda m: F.transform(
-        m["units"],
-        lambda u: F.struct(u["type"].alias("type"), u["canonical"].alias("canonical"), attempt(u).alias("attempt")),
+    made = lambda m: F.transform(
+        m["units"], lambda u: surrogate(key, u["type"], u["canonical"], attempt(u))
     )
     settled = plain.select(
         "row", "mentions",
         F.transform(
-            "mentions", lambda m: F.struct(m["type"].alias("type"), m["value"].alias("value"), units(m).alias("units"))
+            "mentions", lambda m: F.struct(m["type"].alias("type"), m["value"].alias("value"), made(m).alias("made"))
         ).alias("settled"),
     )
     parts = settled.select(
         "row", "mentions",
         F.when(F.size("settled") > 0, F.split(text, ANY, -1)).alias("gaps"),
-        F.transform("settled", lambda m: _mention(m, key)).alias("made"),
+        F.transform("settled", _mention).alias("made"),
     )
     joined = F.array_join(
         F.transform("gaps", lambda g, i: F.concat(g, F.coalesce(F.get("made", i), F.lit("")))), ""
