@@ -93,6 +93,16 @@ def m04(spark, sf):
     return folds.random_folds(rows, "o_orderkey", ["o_orderpriority"])
 
 
+@register(
+    "m04_random_folds_all",
+    """SELECT o_orderkey, (row_number() OVER (ORDER BY md5(CAST(o_orderkey AS VARCHAR) || '|42'), o_orderkey) - 1)
+      % least(5, greatest(2, (SELECT count(*) FROM orders) // 10)) AS fold FROM orders""",
+    ints="fold",
+)
+def m04_all(spark, sf):
+    return folds.random_folds(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey")
+
+
 def _greedy(src: str, group: str, k: str) -> str:
     """Largest-first assignment of groups to the lightest fold, one group per step."""
     return f"""sized AS (SELECT {group} AS g, count(*) AS c FROM {src} GROUP BY 1),
