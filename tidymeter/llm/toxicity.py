@@ -190,13 +190,13 @@ def train(
 
     fold = F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold")
     schema = "found binary, fold int, " + ", ".join(f"{c} int" for c in columns)
-    rows = sample.select("text", fold, *columns).mapInArrow(run, schema).toPandas()  # at most max_rows
+    rows = sample.select("text", fold, *columns).mapInArrow(run, schema).collect()  # at most max_rows
     x = np.zeros((len(rows), len(vocabulary)), np.float32)
-    for i, raw in enumerate(rows["found"]):
-        x[i, np.frombuffer(raw, "<i4")] = 1.0
+    for i, r in enumerate(rows):
+        x[i, np.frombuffer(r["found"], "<i4")] = 1.0
     if not len(rows):
         return Chain(names, vocabulary, [np.zeros(1 + len(vocabulary) + j) for j in range(len(names))])
-    chain.weights = fit_chain(x, rows[columns].to_numpy(np.float32), rows["fold"].to_numpy())
+    chain.weights = fit_chain(x, np.array([[r[c] for c in columns] for r in rows], np.float32), np.array([r["fold"] for r in rows]))
     return chain
 
 
