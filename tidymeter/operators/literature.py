@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidymeter import dictionaries as D
 from tidymeter.functions.text import as_col, strip
+from tidymeter.session import materialize
 
 
 def phrases(text, pattern: str = D.ENERGY_PHRASE, limit: int = 5) -> Column:
@@ -40,9 +41,13 @@ def literature_summary(
     with a third of all documents never gathers in one task.
     """
     body = strip(F.coalesce(text, F.lit("")))
-    work = docs.select(
-        entity, ordinal, phrases(text, pattern, limit).alias("_found"),
-        (body.rlike(supplement)).alias("_extra"),
+    # Written once: both aggregations below read these few columns, the texts are mined once.
+    work = materialize(
+        docs.select(
+            entity, ordinal, phrases(text, pattern, limit).alias("_found"),
+            (body.rlike(supplement)).alias("_extra"),
+        ),
+        "phrases",
     )
     counts = work.groupBy(entity).agg(
         F.count(F.lit(1)).alias("documents"),

@@ -52,7 +52,8 @@ def width_study(
     """
     valid = df.where(F.col(tokens).isNotNull()).select(key, tokens)
     hashed = valid.select(key, F.explode_outer(tokens).alias("_t")).select(key, token_hash("_t").alias("_h"))
-    counts = (
+    # Written once, so that the tokens are hashed once for all figures below.
+    counts = materialize(
         hashed.select(
             key,
             F.explode(F.array(*[F.lit(s) for s in sizes])).alias("nbits"),
@@ -60,7 +61,8 @@ def width_study(
         )
         .withColumn("bit", F.pmod("_h", "nbits"))
         .groupBy("nbits", key, "bit")
-        .agg(F.count("bit").alias("c"))
+        .agg(F.count("bit").alias("c")),
+        "width-counts",
     )
     rows = valid.agg(F.count(F.lit(1)).cast("double")).scalar()
     per_bit = (
