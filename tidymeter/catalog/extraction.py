@@ -182,10 +182,10 @@ def f08(spark, sf):
 
 @register(
     "f08_completed_logs_tail",
-    f"SELECT path, CID FROM {duck('freq_logs')} WHERE contains(right(text, 32), 'Normal termination')",
+    f"SELECT path, CID FROM {duck('freq_logs')} WHERE contains(right(text, 4096), 'Normal termination')",
 )
 def f08_tail(spark, sf):
-    return L.completed_logs(view(spark, sf, "freq_logs"), tail=32).select("path", "CID")
+    return L.completed_logs(view(spark, sf, "freq_logs"), tail=4096).select("path", "CID")
 
 
 @register(

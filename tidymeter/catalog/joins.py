@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidymeter import dictionaries as D
-from tidymeter.catalog import inputs  # noqa: F401
+from tidymeter.catalog import extraction, inputs  # noqa: F401
 from tidymeter.catalog.base import VIEWS, duck, register, table, view
 from tidymeter.operators import combine as J
+from tidymeter.plans.energies import state_energies
 
 # Structures: nation rows as text ids; the odd nations have none.
 VIEWS["structures"] = """
@@ -147,6 +148,39 @@ def j06(spark, sf):
     return J.assemble_marcus(view(spark, sf, "states"), view(spark, sf, "cross"))
 
 
+# Logs of both states: every order is a run of its customer, in the state of its parity.
+VIEWS["state_logs"] = VIEWS["freq_logs"].replace(
+    "AS path,", "AS path, CASE WHEN o_orderkey % 2 = 0 THEN 'neutral' ELSE 'anion' END AS state,", 1
+)
+_RUNS = f"""runs AS (SELECT CID, state, scf, gibbs FROM (
+    SELECT *, row_number() OVER (PARTITION BY CID, state ORDER BY mtime DESC, o_orderkey DESC) AS rn FROM (
+      SELECT CID, state, mtime, o_orderkey,
+        CAST(regexp_extract_all(text, 'SCF Done:\s+E\(\S+\)\s+=\s+([-\d.]+)', 1)[-1] AS DOUBLE) AS scf,
+        CAST(nullif(regexp_extract(text, 'thermal Free Energies=\s+([-\d.]+)', 1), '') AS DOUBLE) AS gibbs
+      FROM {duck('state_logs')} WHERE contains(text, 'Normal termination'))) WHERE rn = 1)"""
+
+
+@register(
+    "j14_logs_to_marcus",
+    f"""WITH {_RUNS}, two AS (
+      SELECT n.CID, a.scf - n.scf AS delta_scf_energy, a.gibbs - n.gibbs AS dg, error, ro - a.scf AS l1, orr - n.scf AS l2,
+        ro IS NOT NULL AND orr IS NOT NULL AS known
+      FROM runs n JOIN runs a ON n.CID = a.CID AND n.state = 'neutral' AND a.state = 'anion'
+      LEFT JOIN (SELECT CID, e_reduced_at_oxidized AS ro, e_oxidized_at_reduced AS orr, error FROM {duck('cross')}) c ON c.CID = n.CID)
+    SELECT CID, delta_scf_energy, dg AS "delta_gibbs_G", CASE WHEN known THEN (l1 + l2) * {_EV} END AS "reorg_energy_eV",
+      CASE WHEN known AND l1 + l2 > 0 THEN (l1 + l2 + dg) * (l1 + l2 + dg) / (4 * (l1 + l2)) END * {_EV} AS "activation_energy_eV",
+      dg * {_EV} AS "dG_reduction_eV", coalesce(error, '') AS error, known OR dg IS NOT NULL OR error IS NOT NULL AS covered FROM two""",
+    "delta_scf_energy,delta_gibbs_G,reorg_energy_eV,activation_energy_eV,dG_reduction_eV",
+    digits=2,
+)
+def j14(spark, sf):
+    done = state_energies(view(spark, sf, "state_logs"), view(spark, sf, "cross"), tie=["o_orderkey"])
+    return done.select(
+        "CID", "delta_scf_energy", "delta_gibbs_G", "reorg_energy_eV", "activation_energy_eV", "dG_reduction_eV",
+        "error", "covered",
+    )
+
+
 @register(
     "j06_skipped_keys",
     f"""SELECT CID FROM {duck('states')} GROUP BY CID
