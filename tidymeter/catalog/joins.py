@@ -152,7 +152,7 @@ def j06(spark, sf):
 VIEWS["state_logs"] = VIEWS["freq_logs"].replace(
     "AS path,", "AS path, CASE WHEN o_orderkey % 2 = 0 THEN 'neutral' ELSE 'anion' END AS state,", 1
 )
-_RUNS = f"""runs AS (SELECT CID, state, scf, gibbs FROM (
+_RUNS = rf"""runs AS (SELECT CID, state, scf, gibbs FROM (
     SELECT *, row_number() OVER (PARTITION BY CID, state ORDER BY mtime DESC, o_orderkey DESC) AS rn FROM (
       SELECT CID, state, mtime, o_orderkey,
         CAST(regexp_extract_all(text, 'SCF Done:\s+E\(\S+\)\s+=\s+([-\d.]+)', 1)[-1] AS DOUBLE) AS scf,
