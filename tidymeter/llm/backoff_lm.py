@@ -194,8 +194,8 @@ def score(
         F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 8), F.sum(F.col("train").cast("long"))
     ).first()
     blocks = max(1, (size or 0) // block_bytes)
-    # Equal rows would share a block; the position in the text breaks no tie, so a
-    # copied row is dealt by its whole content and its id.
+    # Copies of a text have ids of their own, and rows without an id their own
+    # beginning, so that neither gathers in one block.
     dealt = slim.withColumn("block", F.pmod(F.xxhash64("id", F.substring("text", 1, 64)), F.lit(blocks)).cast("int"))
     asked = dealt.groupBy("block").applyInPandas(
         _requests(blocks), "block int, kind int, range int, keys binary, counts binary"
