@@ -28,7 +28,7 @@ from tidymeter.llm.text import utf8
 from tidymeter.session import materialize
 
 SHRINK = 0.1
-FLOOR = 1e-3  # least variance of a statistic, in units of its transformed scale
+FLOOR = 1e-2  # least variance of a statistic, in units of its transformed scale
 THRESHOLD = 0.3
 
 STATISTICS = [
