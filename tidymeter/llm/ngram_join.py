@@ -3,20 +3,23 @@
 A text is its set of distinct word 4-grams, as 64-bit hashes. Equal sets fold into
 one class first. Two sets of Jaccard 0.85 or more share a token among the first
 n - ceil(0.85 n) + 1 tokens of either, under *any* order of the tokens. Three
-orders are used; all of them put frequent tokens last (frequencies come from a
-sketch of fixed size) and scramble the rest by another hash each.
+orders are used; all of them go by the frequency of a token (the lower estimate of two
+sketches of fixed size, of words and of tokens: a token is never more frequent than a
+word in it) and, within a class of frequencies, by another hash each.
 
 1. Prefixes under all orders are written; those of the first order are the postings.
 2. Of each posting list, two centres are paired with every member (linear, however
    long the list). Pairs whose sizes or whose prefixes under the second and third
    order do not meet are dropped, the rest is verified on the whole sets.
 3. Verified links form components. Lists whose members lie in one component are
-   settled. In the others, members of different components are paired, filtered
-   by the further orders in the same way, and verified.
+   settled. In the others, a member with little of its own is paired with the members
+   of other components, a few times over.
+4. In what is left, all members of different components are paired where their places
+   in the first order allow it, filtered by the further orders, and verified.
 
 No list, class or component is gathered in one task, and nothing is capped. Where
 very many *different* texts consist almost wholly of the same frequent 4-grams,
-step 3 is still quadratic in their number.
+step 4 is still quadratic in their number.
 
 Defined cases: null and empty texts have no set, link with nothing and are their
 own component; with fewer than four words the whole sequence is one token; rows
@@ -45,6 +48,7 @@ from tidymeter.session import discard, materialize
 WORDS = 4
 PERCENT = 85
 ORDERS = 3
+ROUNDS = 2  # of further stars around members with little of their own
 FURTHER = [f"p{k}" for k in range(1, ORDERS)]
 SKETCH_BITS = (16, 21)  # least and most
 BYTES_PER_COUNTER = 64
@@ -60,6 +64,14 @@ class Rule:
     def prefix(self, n: int) -> int:
         return n - (self.percent * n + 99) // 100 + 1
 
+    def places_fit(self, a, b, at_a, at_b):
+        """Whether sets of sizes a and b can be near if their first common token is number at_a and at_b.
+
+        What stands before the first common token is in one set only. For later
+        common tokens the bound is lower, so a pair passes if its first one does.
+        """
+        return (100 + self.percent) * F.least(a - at_a, b - at_b) >= self.percent * (a + b)
+
     def sizes_fit(self, a, b):
         return 100 * F.least(a, b) >= self.percent * F.greatest(a, b)
 
@@ -72,17 +84,34 @@ def token_set(raw: bytes | None, n: int) -> np.ndarray:
     return np.unique(ngram_hashes(hashes(words), min(n, len(words))))
 
 
+def _ranked_set(raw: bytes | None, n: int, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The token set, and the frequency class of each token: that of its rarest word, or its own if that is lower."""
+    words = words_of(raw)
+    if not words:
+        return np.empty(0, np.uint64), np.empty(0, np.uint8)
+    h, n = hashes(words), min(n, len(words))
+    by_word, by_token = classes
+    own = by_word[_counter(h, by_word)]
+    rarest = own[: len(h) - n + 1]
+    for k in range(1, n):
+        rarest = np.minimum(rarest, own[k : len(h) - n + 1 + k])
+    tokens, at = np.unique(ngram_hashes(h, n), return_index=True)
+    return tokens, np.minimum(rarest[at], by_token[_counter(tokens, by_token)])
+
+
+def _counter(h: np.ndarray, counters: np.ndarray) -> np.ndarray:
+    """Place of each word hash among a power of two of counters."""
+    return (h >> np.uint64(65 - len(counters).bit_length())).astype(np.int64)
+
+
 def set_name(tokens: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes()))))
 
 
-def _prefix(tokens: np.ndarray, rule: Rule, classes: np.ndarray, order: int) -> np.ndarray:
-    """The first tokens under one order: frequency class first, then a scrambled hash."""
-    shift = np.uint64(64 - (len(classes).bit_length() - 1))
-    rank = classes[(tokens >> shift).astype(np.int64)].astype(np.uint64) << np.uint64(58)
-    rank |= mix(tokens, order) >> np.uint64(6)
-    size = rule.prefix(len(tokens))
-    return tokens[np.argpartition(rank, size - 1)[:size]] if size < len(tokens) else tokens
+def _prefix(tokens: np.ndarray, rarest: np.ndarray, rule: Rule, order: int) -> np.ndarray:
+    """The first tokens under one order, sorted by it: frequency class first, then a scrambled hash."""
+    rank = rarest.astype(np.uint64) << np.uint64(56) | mix(tokens, order) >> np.uint64(8)
+    return tokens[np.argsort(rank)[: rule.prefix(len(tokens))]]
 
 
 def _sketch_bits(df: DataFrame) -> int:
@@ -91,21 +120,25 @@ def _sketch_bits(df: DataFrame) -> int:
 
 
 def _signatures(slim: DataFrame, rule: Rule, bits: int) -> DataFrame:
-    """Per row its set name and size; per task, ``SLICES`` rows with token counts by hash."""
+    """Per row its set name and size; per task, ``SLICES`` rows that count the rows of each word and token hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << bits, np.int64)
+        counts = np.zeros((2, 1 << bits), np.int64)
         kind = None
         for batch in chain.from_iterable(map(by_bytes, batches)):
             kind = batch.schema.field("id").type
-            names, sizes, seen = [], [], []
+            names, sizes, seen = [], [], ([np.empty(0, np.int64)], [np.empty(0, np.int64)])
             for raw in utf8(batch.column("text")):
-                tokens = token_set(raw, rule.words)
+                words = words_of(raw)
+                h = hashes(words)
+                tokens = np.unique(ngram_hashes(h, min(rule.words, len(h)))) if words else h
                 sizes.append(len(tokens))
                 names.append(set_name(tokens) if len(tokens) else None)
-                seen.append((tokens >> np.uint64(64 - bits)).astype(np.int64))
+                seen[0].append(np.unique(_counter(h, counts[0])))
+                seen[1].append(_counter(tokens, counts[1]))
             n = batch.num_rows
-            counts += np.bincount(np.concatenate([np.empty(0, np.int64), *seen]), minlength=len(counts))
+            for own, places in zip(counts, seen):
+                own += np.bincount(np.concatenate(places), minlength=len(own))
             yield _record(batch.column("id"), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), n)
         if kind is not None and counts.any():
             parts = np.minimum(counts, 255).astype(np.uint8).reshape(SLICES, -1)
@@ -131,7 +164,7 @@ def _signatures(slim: DataFrame, rule: Rule, bits: int) -> DataFrame:
 
 
 def _classes(signatures: DataFrame, bits: int) -> np.ndarray:
-    """Frequency class of every hash bucket, one byte each: 0 for the ordinary ones."""
+    """Frequency classes of the word counters and of the token counters, one byte each."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -146,13 +179,12 @@ def _classes(signatures: DataFrame, bits: int) -> np.ndarray:
     parts = signatures.filter("slice IS NOT NULL").select("slice", "counts")
     schema = "slice int, counts binary"
     rows = parts.repartition(SLICES, "slice").mapInArrow(add, schema).collect()  # SLICES arrays of fixed size
-    counts = np.zeros(1 << bits, np.int64)
+    counts = np.zeros(2 << bits, np.int64)
     width = len(counts) // SLICES
     for r in rows:
         counts[r["slice"] * width : (r["slice"] + 1) * width] += np.frombuffer(r["counts"], "<i8")
-    mean = counts.mean()
-    ordinary = mean + 4 * np.sqrt(mean) + 3
-    return np.where(counts > ordinary, 1 + np.log2(np.maximum(counts / ordinary, 1)), 0).astype(np.uint8)
+    # Steps of about a fifth, so that rare words are told apart too.
+    return np.minimum(np.log2(np.maximum(counts, 1)) * 4, 255).astype(np.uint8).reshape(2, -1)
 
 
 def _prefixes(slim: DataFrame, rule: Rule, shared) -> DataFrame:
@@ -167,13 +199,13 @@ def _prefixes(slim: DataFrame, rule: Rule, shared) -> DataFrame:
         for batch in chain.from_iterable(map(by_bytes, batches)):
             rows: list[list] = [[] for _ in range(3 + len(FURTHER))]
             for raw in utf8(batch.column("text")):
-                own = token_set(raw, rule.words)
+                own, rarest = _ranked_set(raw, rule.words, classes)
                 if not len(own) or (name := set_name(own)) in seen:
                     continue
                 seen.add(name)
-                further = [_prefix(own, rule, classes, k) >> np.uint64(48) for k in range(1, ORDERS)]
+                further = [_prefix(own, rarest, rule, k) >> np.uint64(48) for k in range(1, ORDERS)]
                 values = [
-                    name, len(own), _prefix(own, rule, classes, 0).view(np.int64),
+                    name, len(own), _prefix(own, rarest, rule, 0).view(np.int64),
                     *(np.unique(p).astype("<u2").tobytes() for p in further),
                 ]
                 for column, value in zip(rows, values):
@@ -315,14 +347,38 @@ def _stars(lists: DataFrame) -> DataFrame:
     return pairs.select(F.least("centre", "name").alias("a"), F.greatest("centre", "name").alias("b")).distinct()
 
 
-def _across(rows: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs of members of one list that lie in different components, where the sizes fit."""
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The lists whose members lie in more than one component."""
     mixed = rows.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
-    rows = rows.join(mixed.select("token"), "token", "left_semi")
-    other = rows.select("token", *[F.col(c).alias(f"o_{c}") for c in ("name", "n", "component")])
+    return rows.join(mixed.select("token"), "token", "left_semi")
+
+
+def _hub_stars(rows: DataFrame, rule: Rule, turn: int) -> DataFrame:
+    """One member of every list, with the members of other components, once.
+
+    First the member with the least of its own before the common token, then, turn
+    by turn, any of those with little of their own.
+    """
+    little = F.floor(F.col("at") / (4 if turn else 1))
+    any_one = F.xxhash64("name", "token", F.lit(turn)) if turn else -F.col("degree")
+    hub = rows.groupBy("token").agg(
+        F.min(F.struct(little.alias("own"), any_one.alias("turn"), "name", "component", "n", "at")).alias("hub")
+    )
+    pairs = rows.join(hub, "token").filter(
+        (F.col("hub.component") != F.col("component"))
+        & rule.places_fit(F.col("hub.n"), F.col("n"), F.col("hub.at"), F.col("at"))
+    )
+    return pairs.select(
+        F.least("hub.name", "name").alias("a"), F.greatest("hub.name", "name").alias("b")
+    ).distinct()
+
+
+def _across(rows: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs of members of one list that lie in different components, where sizes and places fit."""
+    other = rows.select("token", *[F.col(c).alias(f"o_{c}") for c in ("name", "n", "at", "component")])
     pairs = rows.join(other, "token").filter(
         (F.col("name") < F.col("o_name")) & (F.col("component") != F.col("o_component"))
-        & rule.sizes_fit(F.col("n"), F.col("o_n"))
+        & rule.places_fit(F.col("n"), F.col("o_n"), F.col("at"), F.col("o_at"))
     )
     return pairs.select(F.col("name").alias("a"), F.col("o_name").alias("b")).distinct()
 
@@ -355,36 +411,46 @@ def link(
 def _links(spark: SparkSession, slim: DataFrame, least: DataFrame, rule: Rule, shared) -> DataFrame:
     """Verified links between set names, enough to connect every component."""
     prefixes = materialize(_prefixes(slim, rule, shared), "prefixes")
-    postings = prefixes.select("name", "n", F.explode("p0").alias("token"))
+    postings = prefixes.select("name", "n", F.posexplode("p0").alias("at", "token"))
     centre = postings.groupBy("token").agg(F.min("name").alias("low"), F.max("name").alias("high")).filter("low <> high")
     lists = materialize(postings.join(centre, "token").distinct(), "lists")
     # Sets copied into several tasks have several equal rows of prefixes.
     involved = lists.select("name").distinct()
     further = prefixes.select("name", "n", *FURTHER).join(involved, "name", "left_semi").dropDuplicates(["name"])
     further = materialize(further, "further")
-    discard(prefixes)
+    wanted = materialize(further.join(least, "name").select(F.xxhash64("least_id").alias("key")), "wanted")
+    bloom = spark.sparkContext.broadcast(_bloom(wanted))  # its size is bounded
+    sets = materialize(_sets(slim, rule, bloom), "sets")
+    discard(prefixes, wanted)
 
     def linked(pairs: DataFrame) -> DataFrame:
         sized = _beside(pairs, further, ["n"]).filter(rule.sizes_fit(F.col("a_n"), F.col("b_n"))).select("a", "b")
         close = materialize(_meeting(sized, further), "close")
-        ends = close.select(F.explode(F.array("a", "b")).alias("name")).distinct()
-        wanted = materialize(ends.join(least, "name").select(F.xxhash64("least_id").alias("key")), "wanted")
-        bloom = spark.sparkContext.broadcast(_bloom(wanted))  # its size is bounded
-        sets = materialize(_sets(slim, rule, bloom), "sets")
         likely = materialize(_reaching(close, sets, rule, "short"), "likely")
         out = materialize(_reaching(likely, sets, rule, "tokens"), "links")
-        discard(close, wanted, sets, likely)
+        discard(close, likely)
         return out
 
-    stars = materialize(_stars(lists), "stars")
-    first = linked(stars)
-    known = components(first).withColumnRenamed("node", "name")
-    placed = lists.select("token", "name", "n").join(known, "name", "left")
-    placed = placed.withColumn("component", F.coalesce("component", "name"))
-    # Two centres pair all members of a list of up to three.
-    across = materialize(_across(placed, rule).join(stars, ["a", "b"], "left_anti"), "across")
-    out = first if across.isEmpty() else first.union(linked(across))
-    discard(lists, stars, further, across)
+    def placed(links: DataFrame) -> DataFrame:
+        """List members of lists that more components share, with component and number of links."""
+        known = components(links).withColumnRenamed("node", "name")
+        degree = links.select(F.explode(F.array("a", "b")).alias("name")).groupBy("name").agg(F.count("*").alias("degree"))
+        rows = lists.select("token", "name", "n", "at").join(known, "name", "left").join(degree, "name", "left")
+        return _mixed(rows.withColumn("component", F.coalesce("component", "name")).fillna(0, ["degree"]))
+
+    tested = materialize(_stars(lists), "tested")
+    links = linked(tested)
+    for turn in range(ROUNDS):
+        rows = materialize(placed(links), "placed")
+        if rows.isEmpty():
+            break
+        pairs = materialize(_hub_stars(rows, rule, turn).join(tested, ["a", "b"], "left_anti"), "pairs")
+        found = linked(pairs)
+        tested, links = tested.union(pairs), links.union(found)
+    # Two centres pair all members of a list of up to three; what the stars left over is paired in full.
+    across = materialize(_across(placed(links), rule).join(tested, ["a", "b"], "left_anti"), "across")
+    out = links if across.isEmpty() else links.union(linked(across))
+    discard(lists, further, sets, across)
     return out
 
 
