@@ -261,16 +261,30 @@ def _bloom(ids: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
+def _in_bloom(column: pa.Array, bloom: np.ndarray) -> np.ndarray:
+    """Which values of a column the filter holds (a few more may pass)."""
+    at = _bloom_places(column.to_numpy(zero_copy_only=False).view(np.uint64), 8 * len(bloom)).astype(np.int64)
+    return (bloom[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).reshape(4, -1).all(axis=0)
+
+
+def _of_pairs(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The sets that stand in a pair, so that no other set is shuffled for a join with the pairs."""
+    names = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
+    shared = sets.sparkSession.sparkContext.broadcast(_bloom(names))  # its size is bounded
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_in_bloom(batch.column("name"), shared.value)))
+
+    return sets.mapInArrow(run, sets.schema)
+
+
 def _sets(slim: DataFrame, rule: Rule, shared) -> DataFrame:
     """(name, short, tokens) of the rows whose id the shared Bloom filter holds; ``short`` has 16 bits of each token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom = shared.value
         for batch in batches:
-            keys = batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64)
-            at = _bloom_places(keys, 8 * len(bloom)).astype(np.int64)
-            found = (bloom[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).reshape(4, -1).all(axis=0)
-            for part in by_bytes(batch.filter(pa.array(found))):
+            for part in by_bytes(batch.filter(pa.array(_in_bloom(batch.column("key"), shared.value)))):
                 sets = [t for t in (token_set(raw, rule.words) for raw in utf8(part.column("text"))) if len(t)]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -426,8 +440,8 @@ def _links(spark: SparkSession, slim: DataFrame, least: DataFrame, rule: Rule, s
     def linked(pairs: DataFrame) -> DataFrame:
         sized = _beside(pairs, further, ["n"]).filter(rule.sizes_fit(F.col("a_n"), F.col("b_n"))).select("a", "b")
         close = materialize(_meeting(sized, further), "close")
-        likely = materialize(_reaching(close, sets, rule, "short"), "likely")
-        out = materialize(_reaching(likely, sets, rule, "tokens"), "links")
+        likely = materialize(_reaching(close, _of_pairs(sets.select("name", "short"), close), rule, "short"), "likely")
+        out = materialize(_reaching(likely, _of_pairs(sets.select("name", "tokens"), likely), rule, "tokens"), "links")
         discard(close, likely)
         return out
 
