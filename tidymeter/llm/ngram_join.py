@@ -53,6 +53,8 @@ FURTHER = [f"p{k}" for k in range(1, ORDERS)]
 SKETCH_BITS = (16, 21)  # least and most
 BYTES_PER_COUNTER = 64
 SLICES = 16
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 1_000
 BLOOM_BITS = 28  # at most 32 MB
 
 
@@ -400,8 +402,22 @@ def _across(rows: DataFrame, rule: Rule) -> DataFrame:
 def link(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT
 ) -> DataFrame:
-    """Per input row: id, n_shingles and component_id (least id reachable by links)."""
-    spark, rule = df.sparkSession, Rule(words, percent)
+    """Per input row: id, n_shingles and component_id (least id reachable by links).
+
+    The Python steps all run inside this call; while it lasts, Arrow batches are
+    kept small, since texts and sets are wide rows.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(BATCH_SETTING)
+    conf.set(BATCH_SETTING, str(min(int(before), BATCH_ROWS)))
+    try:
+        return _linked(df, id_col, text_col, Rule(words, percent))
+    finally:
+        conf.set(BATCH_SETTING, before)
+
+
+def _linked(df: DataFrame, id_col: str, text_col: str, rule: Rule) -> DataFrame:
+    spark = df.sparkSession
     slim = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     bits = _sketch_bits(slim)
     signatures = materialize(_signatures(slim, rule, bits), "signatures")
