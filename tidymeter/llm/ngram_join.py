@@ -159,7 +159,7 @@ def _signatures(slim: DataFrame, rule: Rule, bits: int) -> DataFrame:
         )
 
     schema = T.StructType(
-        [slim.schema["id"], T.StructField("name", T.LongType()), T.StructField("n", T.LongType()),
+        [T.StructField("id", slim.schema["id"].dataType), T.StructField("name", T.LongType()), T.StructField("n", T.LongType()),
          T.StructField("slice", T.IntegerType()), T.StructField("counts", T.BinaryType())]
     )
     return slim.mapInArrow(run, schema)
@@ -487,13 +487,30 @@ def _links(spark: SparkSession, slim: DataFrame, least: DataFrame, rule: Rule, s
 def deduplicate(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT
 ) -> DataFrame:
-    """The rows of ``df`` whose id is the least of their component.
+    """One row of each component of ``df``: the least by (id, digest of the text), rows without an id last.
 
-    Rows that repeat a kept id with a set of shingles stay once. Rows without an
-    id stay unless a row with an id is in their class.
+    Rows are told apart by id and text, so an id may stand on several texts or be
+    null. Rows of one id and text with a set of shingles stay once; rows without a
+    set all stay.
     """
-    linked = materialize(link(df, id_col, text_col, words, percent), "linked")
-    gone = linked.filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_gone")).distinct()
-    kept = df.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("_gone")), "left_anti")
-    repeated = linked.filter(f"n_shingles > 0 AND `{id_col}` IS NOT NULL").groupBy(id_col).count().filter("count > 1")
-    return kept.dropDuplicates([id_col]) if not repeated.isEmpty() else kept
+    own_id, digest = F.col(f"`{id_col}`"), F.xxhash64(F.col(f"`{text_col}`").cast("string"))
+    key = F.struct(own_id.isNull().alias("no_id"), own_id.alias("id"), digest.alias("digest")).alias("key")
+    keyed = df.select(key, F.col(f"`{text_col}`").alias("text"))
+    linked = materialize(link(keyed, "key", "text", words, percent), "linked")
+    first = F.col("key").eqNullSafe(F.col("component_id"))
+    kept = df.join(_keys(linked.filter(~first)), _same(own_id, digest), "left_anti")
+    repeated = linked.filter("n_shingles > 0").filter(first).groupBy("key").count().filter("count > 1")
+    if repeated.isEmpty():
+        return kept
+    single = kept.join(_keys(repeated), _same(own_id, digest), "left_anti")
+    several = df.join(_keys(repeated), _same(own_id, digest), "left_semi")
+    once = several.withColumn("_digest", digest).dropDuplicates([id_col, "_digest"]).drop("_digest")
+    return single.unionByName(once)
+
+
+def _keys(linked: DataFrame) -> DataFrame:
+    return linked.select(F.col("key.id").alias("_key_id"), F.col("key.digest").alias("_key_digest")).distinct()
+
+
+def _same(own_id, digest):
+    return own_id.eqNullSafe(F.col("_key_id")) & (digest == F.col("_key_digest"))
