@@ -64,3 +64,15 @@ def test_attempts_reach_the_texts(spark):
     df = spark.createDataFrame([(i, f"Here is {n} today.") for i, n in enumerate(names)], "doc_id long, text string")
     new = {r["doc_id"]: r["text"] for r in S.pseudonymise(df, "k").collect()}
     assert len(set(new.values())) == len(names)
+
+
+def test_more_names_than_surrogates_of_their_length(spark):
+    """All 105 two-letter Latin forms of a consonant and a vowel stand in the corpus: only longer surrogates are free."""
+    pairs = [c + v for c in "bcdfghjklmnpqrstvwxyz" for v in "aeiou"]
+    units = spark.createDataFrame([(t, p) for t in ("family", "given_f") for p in pairs], "type string, canonical string")
+    table = S.resolve(units, "k").collect()
+    for kind in ("family", "given_f"):
+        made = {r["surrogate"] for r in table if r["type"] == kind}
+        assert len(made) == 105 and not made & set(pairs)
+    df = spark.createDataFrame([(i, f"Ms {p.title()} is in.") for i, p in enumerate(pairs)], "doc_id long, text string")
+    assert len({r["text"] for r in S.pseudonymise(df, "k").collect()}) == 105

@@ -41,6 +41,11 @@ CYRILLIC = "абвгдежзиклмнопрстуфхцчшыэюя"
 GREEK = "αβγδεζηθικλμνξοπρστυφχψω"
 VOWELS = {"latin": "aeiou", "cyrillic": "аеиоу", "greek": "αειου"}
 
+#: Attempts that keep the length of an e-mail address or a number; later ones are longer.
+FORMAT_TRIES = 8
+#: IP addresses have no longer form: attempts after which more of them than can be told apart are an error.
+IP_TRIES = 200
+
 _UNIT = "struct<type:string,canonical:string>"
 
 
@@ -116,9 +121,17 @@ def detect(df: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
+def _grown(type_: Column, attempt: Column) -> Column:
+    """How many characters longer than its entity a surrogate is, so that no space of surrogates is ever used up."""
+    return F.when(type_.isin("family", "given_f", "given_m", "given_n"), attempt).otherwise(
+        F.greatest(attempt - FORMAT_TRIES, F.lit(0))
+    )
+
+
 def _stream(key: str, type_: Column, canonical: Column, attempt: Column) -> Column:
-    """Keyed hex digits, two for each character of the canonical form and some to spare."""
-    blocks = F.sequence(F.lit(0), F.floor(F.length(canonical) / 24).cast("int"))
+    """Keyed hex digits, two for each character of the surrogate and some to spare."""
+    size = F.length(canonical) + _grown(type_, attempt)
+    blocks = F.sequence(F.lit(0), F.floor(size / 24).cast("int"))
     return F.array_join(
         F.transform(
             blocks,
@@ -169,16 +182,16 @@ def _luhn(digits: Column) -> Column:
     return ((10 - total % 10) % 10).cast("string")
 
 
-def _name(type_: Column, canonical: Column, stream: Column) -> Column:
-    """A pronounceable word of the same script, as long, with an ending of the same gender."""
+def _name(type_: Column, canonical: Column, stream: Column, more: Column) -> Column:
+    """A pronounceable word of the same script, ``more`` letters longer, with an ending of the same gender."""
 
     def of(script: str, alphabet: str, female: str, male: str) -> Column:
         consonants = "".join(c for c in alphabet if c not in VOWELS[script])
         body = _each(
-            canonical,
+            F.concat(canonical, F.repeat(F.lit("x"), more)),
             lambda c, i: F.when(i % 2 == 0, _letter(consonants, stream, i)).otherwise(_letter(VOWELS[script], stream, i)),
         )
-        short = lambda x: F.substring(x, F.lit(1), F.length(canonical) - 1)
+        short = lambda x: F.substring(x, F.lit(1), F.length(x) - 1)
         return _let(
             body,
             lambda x: F.when(type_ == "given_f", F.concat(short(x), F.lit(female)))
@@ -195,10 +208,12 @@ def _name(type_: Column, canonical: Column, stream: Column) -> Column:
 
 def surrogate(key: str, type_: Column, canonical: Column, attempt: Column) -> Column:
     """The canonical surrogate of an entity."""
-    return _let(_stream(key, type_, canonical, attempt), lambda stream: _made(type_, canonical, stream))
+    return _let(_stream(key, type_, canonical, attempt), lambda stream: _made(type_, canonical, stream, _grown(type_, attempt)))
 
 
-def _made(type_: Column, canonical: Column, stream: Column) -> Column:
+def _made(type_: Column, canonical: Column, stream: Column, more: Column) -> Column:
+    longer = F.repeat(F.lit("0"), more)
+
     def like(x: Column) -> Column:
         return _each(x, lambda c, i: _like(c, stream, i))
 
@@ -212,14 +227,16 @@ def _made(type_: Column, canonical: Column, stream: Column) -> Column:
 
     email = _let(
         F.regexp_extract(canonical, r"\.[a-z]+$", 0),
-        lambda domain: F.concat(like(F.substring(canonical, F.lit(1), F.length(canonical) - F.length(domain))), domain),
+        lambda domain: F.concat(
+            like(F.concat(longer, F.substring(canonical, F.lit(1), F.length(canonical) - F.length(domain)))), domain
+        ),
     )
     octets = F.array_join(
         F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_pick(stream, i, F.lit(254)) + 1).cast("string")), "."
     )
     return (
-        F.when(type_ == "email", email).when(type_ == "ip", octets).when(type_ == "card", _let(like(canonical), checked))
-        .when(type_ == "phone", like(canonical)).otherwise(_name(type_, canonical, stream))
+        F.when(type_ == "email", email).when(type_ == "ip", octets).when(type_ == "card", _let(like(F.concat(canonical, longer)), checked))
+        .when(type_ == "phone", like(F.concat(canonical, longer))).otherwise(_name(type_, canonical, stream, more))
     )
 
 
@@ -227,6 +244,8 @@ def resolve(units: DataFrame, key: str) -> DataFrame:
     """(type, canonical, attempt, surrogate) of distinct entities, without collisions.
 
     Each round checks the whole written table, but re-keys only entities that collide.
+    Surrogates grow with the attempts, so that the rounds end however many entities
+    share a length and type; only IP addresses cannot grow, and are refused in the end.
     """
     first = units.select("type", "canonical", F.lit(0).alias("attempt"))
     now = materialize(first.withColumn("surrogate", surrogate(key, F.col("type"), F.col("canonical"), F.col("attempt"))), "entities")
@@ -242,12 +261,14 @@ def resolve(units: DataFrame, key: str) -> DataFrame:
         if bad.isEmpty():
             return now
         again = now.join(bad, ["type", "canonical"], "left_semi").select("type", "canonical", (F.col("attempt") + 1).alias("attempt"))
+        if not again.filter((F.col("type") == "ip") & (F.col("attempt") > IP_TRIES)).isEmpty():
+            raise ValueError("too many distinct IP addresses for surrogates that differ from all of them")
         again = again.withColumn("surrogate", surrogate(key, F.col("type"), F.col("canonical"), F.col("attempt")))
         now = materialize(now.join(bad, ["type", "canonical"], "left_anti").unionByName(again), "entities")
 
 
 def _laid(value: Column, plain: Column) -> Column:
-    """The digits of ``plain`` in the places of the digits of ``value``."""
+    """The digits of ``plain`` in the places of the digits of ``value``; those left over follow at the end."""
     start = F.struct(F.lit(0).alias("n"), F.lit("").alias("out"))
     places = F.sequence(F.lit(1), F.length(value))
 
@@ -259,7 +280,10 @@ def _laid(value: Column, plain: Column) -> Column:
             F.concat(acc["out"], F.when(digit, F.substring(plain, acc["n"] + 1, F.lit(1))).otherwise(c)).alias("out"),
         )
 
-    return F.aggregate(places, start, step, lambda acc: acc["out"])
+    return F.aggregate(
+        places, start, step,
+        lambda acc: F.concat(acc["out"], F.substring(plain, acc["n"] + 1, F.greatest(F.length(plain) - acc["n"], F.lit(0)))),
+    )
 
 
 def _cased(value: Column, plain: Column) -> Column:
