@@ -76,3 +76,29 @@ def test_more_names_than_surrogates_of_their_length(spark):
         assert len(made) == 105 and not made & set(pairs)
     df = spark.createDataFrame([(i, f"Ms {p.title()} is in.") for i, p in enumerate(pairs)], "doc_id long, text string")
     assert len({r["text"] for r in S.pseudonymise(df, "k").collect()}) == 105
+
+
+def test_whole_names_and_phones(spark):
+    texts = [
+        "Mrs. Anna Maria Schmidt came. Later Anna Schmidt and SCHMIDT left, Schmidt's car too.",
+        "Herr Thomas McDonald, Mr. Karl Smith-Jones, Dr. O'Neil, Prof. Dr. Ludwig van Houten and Mr. J. Becker.",
+        "Call 01 23 45 67 89, +33 6 12 34 56 78, +33612345678, 06 12 34 56 78 or +14155550123 now.",
+        "Mrs Anna Weber wrote.", "Dr Anna Weber answered.", "Mr Andrea Rossi met Mrs Andrea Weber and Dr Andrea Weber.",
+        "Frau Schmidtke kept Anna and Schmidt.",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    new = [r["text"] for r in S.pseudonymise(df, "k").orderBy("doc_id").collect()]
+    for old in ("Anna", "Maria", "Schmidt", "SCHMIDT"):
+        assert old not in new[0]
+    first = re.fullmatch(r"Mrs\. (\w+) (\w+) (\w+) came\. Later (\w+) (\w+) and ([A-Z]+) left, (\w+)'s car too\.", new[0])
+    assert first[1] == first[4] and first[3] == first[5] == first[7] == first[6].capitalize()
+    for old in ("Thomas", "Donald", "Smith", "Jones", "Neil", "Ludwig", "Houten", "Becker"):
+        assert old not in new[1]
+    assert re.search(r"Mr\. \w+ [A-Z]\w+-[A-Z]\w+, Dr\. \w'\w+, Prof\. Dr\. \w+ van \w+ and Mr\. [A-Z]\. \w+\.$", new[1])
+    assert not re.search(r"23 45|12 34|612345|5550123", new[2])
+    spread, compact, local = re.search(r"\+33 ([\d ]+), \+33(\d+), 0([\d ]+) or \+1\d{10} now", new[2]).groups()
+    assert spread.replace(" ", "") == compact == local.replace(" ", "")
+    assert new[3].split()[1:3] == new[4].split()[1:3] and new[3].split()[1].endswith("a")
+    male, female, doctor = re.fullmatch(r"Mr (\w+) \w+ met Mrs (\w+) \w+ and Dr (\w+) \w+\.", new[5]).groups()
+    assert male.endswith("o") and female == doctor and female.endswith("a")
+    assert new[6].endswith("kept Anna and Schmidt.")

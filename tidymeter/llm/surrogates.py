@@ -5,7 +5,7 @@ address, national digits of a phone number, card digits, single name words), so
 spellings of one entity get one surrogate. A surrogate is made from keyed digests of
 (type, canonical form, attempt), then laid into the spelling of each mention:
 separators, case, country code and script stay, names keep the gender that their
-title tells, card numbers keep a valid check digit.
+title tells (or, without one, that of the same person elsewhere), card numbers keep a valid check digit.
 
 Collision check: all distinct entities of the corpus are written with their
 surrogates. Where two entities share a surrogate, or a surrogate is itself an entity
@@ -26,11 +26,28 @@ from tidymeter.session import materialize
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
 IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)"
 CARD = r"(?<![\d])\d(?:[ -]?\d){12,18}(?!\d)"
-PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?!\w)"
+# Numbers with a country code in any grouping, in pairs after a leading zero, or in groups of three and four.
+PHONE = (
+    r"(?<![\w+])(?:\+\d(?:[ .()/-]{0,2}\d){6,14}|0\d(?:[ .-]\d{2}){4}"
+    r"|(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4})(?!\w)"
+)
+#: What a phone number starts with besides its national digits: country code and trunk zero.
+CODE = (
+    r"^(?:\+(?:1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})[ .-]?)?(?:\(0\)[ .-]?|0)?"
+)
 TITLES_F = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra"
 TITLES_M = "Mr|Herr|Monsieur|Señor|Sr|Don"
 TITLES_N = "Dr|Prof"
-NAME = rf"\b(?:{TITLES_F}|{TITLES_M}|{TITLES_N})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?"
+TITLE = rf"(?:{TITLES_F}|{TITLES_M}|{TITLES_N})\.?"
+PARTICLE = (
+    "(?:von|van|vom|de|del|della|der|den|des|di|da|do|dos|du|la|las|le|les|los|ten|ter|zu|zum|zur|y|af|av|bin|ibn|al|el)"
+)
+INITIAL = r"\p{Lu}\."
+# A capitalised word, with hyphens and apostrophes inside; the 's of a possessive stands outside.
+WORD = r"(?:[dl]['’])?\p{Lu}(?:[\p{L}\p{M}]|['’](?!s(?![\p{L}\p{M}]))(?=\p{L})|-(?=\p{L}))*"
+_PART = rf"(?:{PARTICLE} ){{0,3}}(?:{INITIAL}(?= \p{{Lu}})|{WORD})"
+NAME = rf"\b{TITLE}(?: {TITLE})* {_PART}(?: {_PART})*"
+TITLED = rf"\b(?:{TITLES_F}|{TITLES_M}|{TITLES_N})\b"
 ANY = "|".join((EMAIL, IP, CARD, PHONE, NAME))
 #: A text without any of these characters or words has no entity.
 HINT = rf"@|\d\D?\d|\b(?:{TITLES_F}|{TITLES_M}|{TITLES_N})\b"
@@ -46,7 +63,9 @@ FORMAT_TRIES = 8
 #: IP addresses have no longer form: attempts after which more of them than can be told apart are an error.
 IP_TRIES = 200
 
-_UNIT = "struct<type:string,canonical:string>"
+_UNIT = "struct<type:string,canonical:string,person:string>"
+#: Types of the words of a name that are no entities: titles and particles stay, initials change without a check.
+LOOSE = ("fixed", "initial")
 
 
 def _let(value: Column, use) -> Column:
@@ -68,56 +87,111 @@ def _digits(x: Column) -> Column:
 
 
 def _national(x: Column) -> Column:
-    """Digits of a phone number without its country code."""
-    return _digits(F.regexp_replace(x, r"^\+\d{1,3}[ .-]?", ""))
-
-
-def _words(name: Column) -> Column:
-    """Words of a titled name, without the title."""
-    return F.slice(F.split(name, " "), F.lit(2), F.greatest(F.size(F.split(name, " ")) - 1, F.lit(0)))
+    """Digits of a phone number without its country code and trunk zero."""
+    return _digits(F.regexp_replace(x, CODE, ""))
 
 
 def _gender(name: Column) -> Column:
+    """By the first title that tells it."""
+    titles = F.regexp_extract(name, rf"^{TITLE}(?: {TITLE})*", 0)
     return (
-        F.when(name.rlike(rf"^(?:{TITLES_F})\b"), "f").when(name.rlike(rf"^(?:{TITLES_M})\b"), "m").otherwise("n")
+        F.when(titles.rlike(rf"\b(?:{TITLES_F})\b"), "f").when(titles.rlike(rf"\b(?:{TITLES_M})\b"), "m").otherwise("n")
+    )
+
+
+def _unit(type_: Column, canonical: Column, person: Column | None = None) -> Column:
+    person = F.lit(None).cast("string") if person is None else person
+    return F.struct(type_.alias("type"), canonical.alias("canonical"), person.alias("person")).cast(_UNIT)
+
+
+def _loose(word: Column) -> Column:
+    """The type of a word that is no entity, or null."""
+    return F.when(word.rlike(rf"^(?:{TITLE}|{PARTICLE})$"), "fixed").when(word.rlike(rf"^{INITIAL}$"), "initial")
+
+
+def _titled_units(hit: Column) -> Column:
+    """A unit for each word of a titled name: the last is a family name, words before it are given names."""
+    person = F.lower(F.regexp_replace(hit, rf"^{TITLE}(?: {TITLE})* ", ""))
+    return _let(
+        F.split(hit, " "),
+        lambda words: F.transform(
+            words,
+            lambda w, i: _unit(
+                F.coalesce(_loose(w), F.when(i == F.size(words) - 1, "family").otherwise(F.concat(F.lit("given_"), _gender(hit)))),
+                F.lower(w), person,
+            ),
+        ),
     )
 
 
-def _units(type_: Column, hit: Column) -> Column:
+def _known_units(hit: Column, known: Column) -> Column:
+    """The units of an untitled mention, looked up among the document's names.
+
+    The types' order puts family names first, then given names with a gender.
+    """
+    return _let(
+        F.split(hit, " "),
+        lambda words: F.transform(
+            words,
+            lambda w, i: F.coalesce(
+                F.when(i < F.size(words) - 1, F.array_min(F.filter(known, lambda u: (u["canonical"] == F.lower(w)) & (u["type"] != "family")))),
+                F.array_min(F.filter(known, lambda u: u["canonical"] == F.lower(w))),
+                _unit(F.lit("fixed"), F.lower(w)),
+            ),
+        ),
+    )
+
+
+def _units(type_: Column, hit: Column, known: Column) -> Column:
     """The canonical parts of a mention that get a surrogate each."""
     one = (
         F.when(type_ == "email", F.lower(hit)).when(type_ == "ip", hit)
         .when(type_ == "card", _digits(hit)).otherwise(_national(hit))
     )
-    words = F.split(hit, " ")
-    count = F.size(words)
-    # The last word is a family name whatever the title; words before it carry the gender.
-    names = F.transform(
-        _words(hit),
-        lambda w, i: F.struct(
-            F.when(i == count - 2, "family").otherwise(F.concat(F.lit("given_"), _gender(hit))).alias("type"),
-            F.lower(w).alias("canonical"),
-        ),
-    )
-    single = F.array(F.struct(type_.alias("type"), one.alias("canonical")))
-    return F.when(type_ == "name", names).otherwise(single).cast(f"array<{_UNIT}>")
+    names = F.when(hit.rlike(rf"^{TITLE} "), _titled_units(hit)).otherwise(_known_units(hit, known))
+    return F.when(type_ == "name", names).otherwise(F.array(_unit(type_, one))).cast(f"array<{_UNIT}>")
 
 
 def detect(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """``row`` beside ``mentions``: (type, value, units) in the order of the text."""
+    """``row`` beside ``mentions``: (type, value, units) in the order of the text, and the ``pattern`` that finds them.
+
+    Names are found by their titles; the pattern of a document then also has the
+    words of its names, which are replaced wherever the document repeats them.
+    """
     base = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
     text = base["row"][text_col].cast("string")
-    hits = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
-    base = base.select("row", F.coalesce(hits, F.array().cast("array<string>")).alias("hits"))
-    typed = base.select("row", F.transform("hits", lambda h: F.struct(_type(h).alias("type"), h.alias("value"))).alias("hits"))
+    titled = F.when(text.rlike(TITLED), F.regexp_extract_all(text, F.lit(NAME), F.lit(0)))
+    base = base.select("row", F.array_distinct(F.coalesce(titled, F.array().cast("array<string>"))).alias("titled"))
+    entity = lambda u: ~u["type"].isin(*LOOSE)
+    words = F.array_distinct(F.flatten(F.transform("titled", lambda h: F.split(h, " "))))
+    words = F.filter(words, lambda w: (F.length(w) > 1) & _loose(w).isNull())
+    base = base.select(
+        "row",
+        F.array_distinct(F.filter(F.flatten(F.transform("titled", _titled_units)), entity)).alias("known"),
+        F.array_join(F.array_distinct(F.concat(words, F.transform(words, F.upper))), "|").alias("words"),
+    )
+    edge = r"[\p{L}\p{M}\p{N}_]"
+    run = F.concat(
+        F.lit(f"{ANY}|(?<!{edge})(?:"), F.col("words"), F.lit(rf")(?!{edge})(?: (?:{PARTICLE} ){{0,3}}(?:"),
+        F.col("words"), F.lit(rf")(?!{edge}))*"),
+    )
+    base = base.select("row", "known", F.when(F.col("words") == "", F.lit(ANY)).otherwise(run).alias("pattern"))
+    hits = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.col("pattern"), F.lit(0)))
+    base = base.select("row", "known", "pattern", F.coalesce(hits, F.array().cast("array<string>")).alias("hits"))
+    typed = base.select(
+        "row", "known", "pattern",
+        F.transform("hits", lambda h: F.struct(_type(h).alias("type"), h.alias("value"))).alias("hits"),
+    )
     return typed.select(
         "row",
         F.transform(
             "hits",
             lambda h: F.struct(
-                h["type"].alias("type"), h["value"].alias("value"), _units(h["type"], h["value"]).alias("units")
+                h["type"].alias("type"), h["value"].alias("value"),
+                _units(h["type"], h["value"], F.col("known")).alias("units"),
             ),
         ).alias("mentions"),
+        "pattern",
     )
 
 
@@ -189,7 +263,7 @@ def _name(type_: Column, canonical: Column, stream: Column, more: Column) -> Col
         consonants = "".join(c for c in alphabet if c not in VOWELS[script])
         body = _each(
             F.concat(canonical, F.repeat(F.lit("x"), more)),
-            lambda c, i: F.when(i % 2 == 0, _letter(consonants, stream, i)).otherwise(_letter(VOWELS[script], stream, i)),
+            lambda c, i: F.when(c.rlike("[-'’]"), c).when(i % 2 == 0, _letter(consonants, stream, i)).otherwise(_letter(VOWELS[script], stream, i)),
         )
         short = lambda x: F.substring(x, F.lit(1), F.length(x) - 1)
         return _let(
@@ -235,7 +309,9 @@ def _made(type_: Column, canonical: Column, stream: Column, more: Column) -> Col
         F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_pick(stream, i, F.lit(254)) + 1).cast("string")), "."
     )
     return (
-        F.when(type_ == "email", email).when(type_ == "ip", octets).when(type_ == "card", _let(like(F.concat(canonical, longer)), checked))
+        F.when(type_ == "fixed", F.lit(None).cast("string"))
+        .when(type_ == "initial", F.concat(_letter(LATIN, stream, F.lit(0)), F.lit(".")))
+        .when(type_ == "email", email).when(type_ == "ip", octets).when(type_ == "card", _let(like(F.concat(canonical, longer)), checked))
         .when(type_ == "phone", like(F.concat(canonical, longer))).otherwise(_name(type_, canonical, stream, more))
     )
 
@@ -300,16 +376,15 @@ def _mention(m: Column) -> Column:
     """The text that replaces a mention, from the surrogates of its units."""
     value, first = m["value"], F.get(m["made"], F.lit(0))
     phone = _let(
-        F.regexp_extract(value, r"^\+\d{1,3}[ .-]?", 0),
+        F.regexp_extract(value, CODE, 0),
         lambda code: F.concat(
             code, _let(F.substring(value, F.length(code) + 1, F.length(value)), lambda rest: _laid(rest, first))
         ),
     )
     name = _let(
         F.split(value, " "),
-        lambda words: F.concat_ws(
-            " ", F.get(words, F.lit(0)),
-            F.array_join(F.transform(m["made"], lambda w, i: _cased(F.get(words, i + 1), w)), " "),
+        lambda words: F.array_join(
+            F.transform(m["made"], lambda w, i: F.when(w.isNull(), F.get(words, i)).otherwise(_cased(F.get(words, i), w))), " "
         ),
     )
     return (
@@ -327,25 +402,44 @@ def pseudonymise(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     The key is a secret of the caller: the same key gives the same surrogates in
     every run over the same corpus.
     """
-    found = materialize(detect(df, text_col), "mentions")
-    units = found.select(F.explode("mentions").alias("m")).select(F.explode("m.units").alias("u")).select("u.*").distinct()
-    table = resolve(units, key)
+    found = detect(df, text_col).withColumn("at", F.monotonically_increasing_id())
+    found = materialize(found, "mentions")
+    units = (
+        found.select("at", F.explode("mentions").alias("m")).select("at", F.explode("m.units").alias("u"))
+        .select("at", "u.*").filter(~F.col("type").isin(*LOOSE))
+    )
+    told = materialize(_told(units), "told")
+    fixes = None
+    if not told.isEmpty():
+        units = units.join(told, ["type", "canonical", "person"], "left")
+        fixes = _map(units.filter("gendered IS NOT NULL"), F.concat_ws(":", "type", "canonical", "person"), "gendered", "genders")
+        units = units.withColumn("type", F.coalesce("gendered", "type"))
+    table = resolve(units.select("type", "canonical").distinct(), key)
     later = materialize(table.filter("attempt > 0").select("type", "canonical", "attempt"), "attempts")
-    plain = found.select("row", "mentions").withColumn("again", F.lit(None).cast("map<string,int>"))
+    plain = found.withColumns({"genders": F.lit(None).cast("map<string,string>"), "again": F.lit(None).cast("map<string,int>")})
+    if fixes is not None:
+        plain = plain.drop("genders").join(fixes, "at", "left")
     if not later.isEmpty():
-        plain = _with_attempts(found, later)
+        again = _map(units.join(later, ["type", "canonical"]), F.concat_ws(":", "type", "canonical"), "attempt", "again")
+        plain = plain.drop("again").join(again, "at", "left")
     return _rewritten(plain, key, text_col, df.columns)
 
 
-def _with_attempts(found: DataFrame, later: DataFrame) -> DataFrame:
-    """Adds ``again``: the attempts above 0 of a row's entities. ``found`` is a written table."""
-    at = found.withColumn("at", F.monotonically_increasing_id())
-    touched = (
-        at.select("at", F.explode("mentions").alias("m")).select("at", F.explode("m.units").alias("u"))
-        .select("at", "u.*").distinct().join(later, ["type", "canonical"])
-        .groupBy("at").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "type", "canonical"), "attempt"))).alias("again"))
+def _told(units: DataFrame) -> DataFrame:
+    """(type, canonical, person, gendered): given names without a gender whose person has one by other titles."""
+    genders = units.filter("type LIKE 'given%'").groupBy("person", "canonical").agg(
+        F.count_if(F.col("type") == "given_n").alias("n"),
+        F.min(F.when(F.col("type") != "given_n", F.col("type"))).alias("gendered"),
+        F.max(F.when(F.col("type") != "given_n", F.col("type"))).alias("other"),
     )
-    return at.join(touched, "at", "left").drop("at")
+    found = genders.filter("n > 0 AND gendered = other")
+    return found.select(F.lit("given_n").alias("type"), "canonical", "person", "gendered")
+
+
+def _map(units: DataFrame, name: Column, value: str, out: str) -> DataFrame:
+    """Per row number, a map from units to a value."""
+    pairs = units.select("at", F.struct(name.alias("name"), F.col(value)).alias("pair")).distinct()
+    return pairs.groupBy("at").agg(F.map_from_entries(F.collect_list("pair")).alias(out))
 
 
 def _equals(value: str):
@@ -354,19 +448,22 @@ def _equals(value: str):
 
 def _rewritten(plain: DataFrame, key: str, text_col: str, columns: list[str]) -> DataFrame:
     text = F.col("row")[text_col].cast("string")
-    attempt = lambda u: F.coalesce(F.element_at("again", F.concat_ws(":", u["type"], u["canonical"])), F.lit(0))
+    type_of = lambda u: F.coalesce(
+        F.element_at("genders", F.concat_ws(":", u["type"], u["canonical"], u["person"])), u["type"]
+    )
+    attempt = lambda u: F.coalesce(F.element_at("again", F.concat_ws(":", type_of(u), u["canonical"])), F.lit(0))
     made = lambda m: F.transform(
-        m["units"], lambda u: surrogate(key, u["type"], u["canonical"], attempt(u))
+        m["units"], lambda u: surrogate(key, type_of(u), u["canonical"], attempt(u))
     )
     settled = plain.select(
-        "row", "mentions",
+        "row", "mentions", "pattern",
         F.transform(
             "mentions", lambda m: F.struct(m["type"].alias("type"), m["value"].alias("value"), made(m).alias("made"))
         ).alias("settled"),
     )
     parts = settled.select(
         "row", "mentions",
-        F.when(F.size("settled") > 0, F.split(text, ANY, -1)).alias("gaps"),
+        F.when(F.size("settled") > 0, F.split(text, F.col("pattern"), -1)).alias("gaps"),
         F.transform("settled", _mention).alias("made"),
     )
     joined = F.array_join(
