@@ -7,8 +7,9 @@ category is predicted for a training row by a model that has not seen the row (n
 its copies, since folds follow the text).
 
 Words and beginnings are selected by their counts over all labelled rows, which are
-added up on the executors. The models are fitted on a sample of at most
-``MAX_ROWS`` labelled rows; ``FEATURES`` numbers of a row reach the driver. Scoring
+added up on the executors: the best over all categories, and the best of each
+category, so that a rare one keeps its own. The models are fitted on a sample of at
+most ``MAX_ROWS`` labelled rows; the features of a row reach the driver. Scoring
 is one pass over whole texts without a shuffle.
 
 Defined cases: a null or empty text has no features and gets the base rate; an empty
@@ -29,7 +30,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from tidymeter.llm.text import by_bytes, utf8
 from tidymeter.session import materialize
 
-FEATURES = 400
+FEATURES = 400  # over all categories
+OWN_FEATURES = 100  # of each category besides
 MAX_ROWS = 12_000
 FOLDS = 3
 BEGINNINGS = (4, 5, 6)  # bytes
@@ -131,8 +133,8 @@ def fit_chain(x: np.ndarray, y: np.ndarray, folds: np.ndarray) -> list[np.ndarra
     return weights
 
 
-def _select(labelled: DataFrame, names: list[str], most: int) -> list[bytes]:
-    """The features whose presence says most about any category (signed root of the G statistic)."""
+def _select(labelled: DataFrame, names: list[str], most: int, own: int = OWN_FEATURES) -> list[bytes]:
+    """The features whose presence says most about any category, and about each (G statistic)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,8 +158,12 @@ def _select(labelled: DataFrame, names: list[str], most: int) -> list[bytes]:
             scores.append(F.col(c) * F.log(p / base) + (F.col("n") - F.col(c)) * F.log((1 - p) / (1 - base)))
     if not scores:
         return []
-    best = counts.select("feature", (F.greatest(*scores) if len(scores) > 1 else scores[0]).alias("s"))
-    return [bytes(r["feature"]) for r in best.orderBy(F.desc("s"), "feature").limit(most).collect()]
+    marks = [s.alias(f"s{k}") for k, s in enumerate(scores)]
+    overall = F.greatest(*scores) if len(scores) > 1 else scores[0]
+    rated = materialize(counts.select("feature", overall.alias("s"), *marks), "features")
+    found = [(c, most if c == "s" else own) for c in rated.columns[1:]]
+    best = [rated.orderBy(F.desc(c), "feature").limit(n).collect() for c, n in found]
+    return list(dict.fromkeys(bytes(r["feature"]) for rows in best for r in rows))
 
 
 def train(
@@ -173,15 +179,16 @@ def train(
     names = list(categories)
     marks = [F.when(F.expr(rule), 1).otherwise(0).cast("int").alias(f"y{k}") for k, rule in enumerate(categories.values())]
     known = labels.select(F.col(f"`{id_col}`").alias("id"), *marks)
+    columns = [f"y{k}" for k in range(len(names))]
+    slim = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    chosen = _select(slim.join(known, "id").select("text", *columns), columns, features)
     total = known.count()
     if total > max_rows:
         share = F.lit(int(max_rows / total * 0.97 * 2**32))
         known = known.filter(F.pmod(F.xxhash64("id"), F.lit(2**32)) < share).limit(max_rows)
-    columns = [f"y{k}" for k in range(len(names))]
-    slim = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     # The sample has at most max_rows narrow rows, so it may be broadcast.
     sample = materialize(slim.join(F.broadcast(known), "id").select("text", *columns), "labelled")
-    vocabulary = {f: i for i, f in enumerate(_select(sample, columns, features))}
+    vocabulary = {f: i for i, f in enumerate(chosen)}
     chain = Chain(names, vocabulary, [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
