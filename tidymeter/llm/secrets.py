@@ -2,8 +2,10 @@
 
 Only DataFrame functions are used. Both models are first-order chains over the
 printable ASCII characters, trained from labelled samples of the scanned table:
-values that the fixed patterns found count as random strings, all other long
-words as ordinary identifiers. A model has at most 95 x 95 transitions whatever
+values that the fixed patterns found count as random strings; ordinary identifiers
+are the words and numbers of the prose and their joins (in capitals, camel case, with
+hyphens, underscores and slashes). Unlabelled candidates train neither, so that keys
+which no pattern knows cannot turn the identifier model. A model has at most 95 x 95 transitions whatever
 the corpus, and only these counts reach the driver. A candidate becomes a span
 when its mean log-likelihood ratio per transition exceeds a threshold.
 
@@ -27,8 +29,11 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"  # AKIA[A-Z0-9]+ of 16 or more: the first AKIA of
 HEX = r"[0-9a-f]{32,}"  # runs of 32 or more
 KINDS = ["assign", "access", "hex", "markov"]
 
-CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
-CANDIDATE_MIN = 16
+CANDIDATE = r"[A-Za-z0-9+/_=-]{8,}"
+CANDIDATE_MIN = 8
+# A word or number that stands alone between blanks or punctuation. Words are of one case or capitalised.
+PROSE = r"(?<![A-Za-z0-9+/_=.:@-])(?:[A-Z]?[a-z]{1,14}|[A-Z]{2,15}|[0-9]{1,15})(?![A-Za-z0-9+/_=@-])"
+JOINTS = ("_", "-", "/")
 FIRST, LAST = 33, 126  # printable ASCII, without the blank
 WIDTH = LAST - FIRST + 1
 SMOOTH = 0.5
@@ -82,14 +87,27 @@ def base_spans(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def _candidates(found: DataFrame) -> DataFrame:
-    """Adds ``candidates``: long words that no base span touches."""
+    """Adds ``candidates``: long words, but those that base spans cover whole; what a base span holds in part is judged whole."""
     free = F.filter(
         _located(F.col("text"), CANDIDATE, "markov"),
-        lambda c: ~F.exists("base", lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"])),
+        lambda c: ~F.exists("base", lambda b: (b["start"] <= c["start"]) & (c["stop"] <= b["stop"])),
     )
     return found.withColumn("candidates", free)
 
 
+def _identifiers(found: DataFrame) -> DataFrame:
+    """(pair, count): transitions of words, numbers and their joins, by the occurrences in the prose."""
+    words = found.select(F.explode(F.regexp_extract_all("text", F.lit(PROSE), F.lit(0))).alias("w")).groupBy("w").count()
+    w, first, last = F.col("w"), F.substring("w", 1, 1), F.expr("substring(w, -1, 1)")
+    forms = [w, F.lower(w), F.initcap(w), F.upper(w)]
+    inner = F.flatten(F.array(*[F.when(F.length(w) > 1, _pairs(f)).otherwise(F.array().cast("array<int>")) for f in forms]))
+    ends = [F.concat(last, F.lit(j)) for j in JOINTS] + [F.concat(F.lit(j), x) for j in JOINTS for x in (first, F.upper(first))]
+    # Camel case and numbers after words: the next word's beginning is taken as any of the same table.
+    ends += [F.concat(F.lower(last), F.upper(first)), F.concat(F.upper(last), F.lit("_"))]
+    joins = F.transform(F.array(*ends), lambda x: _code(x, F.lit(1)) * WIDTH + _code(x, F.lit(2)))
+    return words.select(F.explode(F.concat(inner, joins)).alias("pair"), "count").groupBy("pair").agg(F.sum("count").alias("count"))
+
+
 def _code(value: Column, at: Column) -> Column:
     return F.ascii(F.substring(value, at, F.lit(1))) - FIRST
 
@@ -105,27 +123,21 @@ def _pairs(value: Column) -> Column:
 def fit(df: DataFrame, text_col: str = "text") -> list[float]:
     """Log-likelihood ratios (random against identifier) of all transitions, as a flat table.
 
-    Counts come from every row of ``df``. Each distinct string is counted once,
-    so that a key copied a thousand times is one sample.
+    Counts come from every row of ``df``. Each distinct random string is counted
+    once, so that a key copied a thousand times is one sample; words count as often
+    as they occur, so that rare strings among them weigh little.
     """
-    found = _candidates(base_spans(df, text_col))
+    found = base_spans(df, text_col)
     value = F.when(F.col("s.kind") == "assign", F.regexp_extract("s.value", ASSIGN, 1)).otherwise(F.col("s.value"))
     samples = (
-        found.select(F.explode(F.concat("base", "candidates")).alias("s"))
-        .select((F.col("s.kind") != "markov").alias("random"), value.alias("value"))
-        .filter(F.length("value") > 1)
-        .distinct()
-    )
-    rows = (
-        samples.select("random", F.explode(_pairs(F.col("value"))).alias("pair"))
-        .groupBy("random", "pair")
-        .count()
-        .collect()  # at most 2 x WIDTH x WIDTH rows
+        found.select(F.explode("base").alias("s")).select(value.alias("value")).filter(F.length("value") > 1).distinct()
     )
+    random = samples.select(F.explode(_pairs(F.col("value"))).alias("pair")).groupBy("pair").count()
     counts = {True: [SMOOTH] * WIDTH * WIDTH, False: [SMOOTH] * WIDTH * WIDTH}
-    for r in rows:
-        if 0 <= r["pair"] < WIDTH * WIDTH:
-            counts[r["random"]][r["pair"]] += r["count"]
+    for kind, table in ((True, random), (False, _identifiers(found))):
+        for r in table.collect():  # at most WIDTH x WIDTH rows
+            if 0 <= r["pair"] < WIDTH * WIDTH:
+                counts[kind][r["pair"]] += r["count"]
     # Strings of either case and any digit follow one law: random characters are
     # exchangeable inside their class, so the random chain is pooled by class.
     logs = {}
@@ -133,7 +145,11 @@ def fit(df: DataFrame, text_col: str = "text") -> list[float]:
         table = _pooled(table) if kind else table
         sums = [sum(table[i * WIDTH : (i + 1) * WIDTH]) for i in range(WIDTH)]
         logs[kind] = [math.log(x / sums[i // WIDTH]) for i, x in enumerate(table)]
-    return [a - b for a, b in zip(logs[True], logs[False])]
+    ratios = [a - b for a, b in zip(logs[True], logs[False])]
+    # Numbers of the prose are as random as those in keys: two digits never speak for a secret.
+    return [
+        min(x, 0.0) if _class(i // WIDTH) == _class(i % WIDTH) == "digit" else x for i, x in enumerate(ratios)
+    ]
 
 
 def _class(code: int) -> str:
