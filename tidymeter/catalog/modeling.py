@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from tidymeter.catalog import inputs  # noqa: F401
@@ -188,20 +187,24 @@ def m08(spark, sf):
     return training.evaluate(model_rows(spark, sf), training.linear, "CID", "grp")
 
 
-SMALL = training.TrainingParams(n_estimators=3, max_depth=3, learning_rate=0.3, cv_max_folds=3)
-
-
 def two_targets(spark, sf):
     rows = view(spark, sf, "order_model")
     return rows.withColumns({"IC50 a": F.col("y"), "IC50 b": F.when(F.col("tax") > 0.1, F.pow(F.lit(10.0), F.col("qty") / 50))})
 
 
+# The trained queries run with the operators' own defaults: trees, folds, trials, methods and targets.
+def _trained(spark, sf):
+    return training.train_targets(two_targets(spark, sf), ["IC50 a", "IC50 b"], ["qty", "disc", "gappy"], "CID", "grp")
+
+
 @register("m09_train_targets")
 def m09(spark, sf):
-    report, _, _ = training.train_targets(
-        two_targets(spark, sf), ["IC50 a", "IC50 b"], ["qty", "disc", "gappy"], "CID", "grp", SMALL
-    )
-    return report
+    return _trained(spark, sf)[0]
+
+
+@register("m09_importances")
+def m09_importances(spark, sf):
+    return _trained(spark, sf)[1]
 
 
 @register("m10_train_targets_legacy")
@@ -276,7 +279,7 @@ def m13_mi(spark, sf):
 
 @register("m14_relevance_model")
 def m14(spark, sf):
-    return selection.model_scores(view(spark, sf, "order_model"), ["qty", "disc", "tax", "gappy"], "y", 3, 3)
+    return selection.model_scores(view(spark, sf, "order_model"), ["qty", "disc", "tax", "gappy"], "y")
 
 
 @register(
@@ -291,14 +294,22 @@ def m15(spark, sf):
     return _name_rows(spark, kept)
 
 
-@register("m16_selection_benchmark")
-def m16(spark, sf):
+def _benchmark(spark, sf):
     params = selection.SelectionParams("univariate", 2, "f_regression", 1e-6, 0.9)
-    found = training.selection_benchmark(
+    return training.selection_benchmark(
         two_targets(spark, sf), "IC50 a", {"without_block": ["qty", "fixed"], "with_block": ["qty", "fixed", "disc", "lines"]},
-        "CID", "grp", SMALL, params, ["none", "variance", "correlation", "univariate"], training.linear,
+        "CID", "grp", selection=params,
     )
-    return found[0]
+
+
+@register("m16_selection_benchmark")
+def m16(spark, sf):
+    return _benchmark(spark, sf)[0]
+
+
+@register("m16_relevance")
+def m16_relevance(spark, sf):
+    return _benchmark(spark, sf)[1]
 
 
 @register(
@@ -312,14 +323,22 @@ def m17(spark, sf):
     return training.best_method(view(spark, sf, "method_results"))
 
 
-@register("m18_ablate_block")
-def m18(spark, sf):
+def _ablated(spark, sf):
     block = table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("CID"), F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")).alias("total")
     )
     rows = two_targets(spark, sf)
-    found = training.ablate_block(rows, "IC50 a", ["qty", "disc"], block, "CID", "grp", SMALL, training.linear)
-    return found[0]
+    return training.ablate_block(rows, "IC50 a", ["qty", "disc"], block, "CID", "grp")
+
+
+@register("m18_ablate_block")
+def m18(spark, sf):
+    return _ablated(spark, sf)[0]
+
+
+@register("m18_block_importances")
+def m18_importances(spark, sf):
+    return _ablated(spark, sf)[1]
 
 
 @register(
@@ -349,7 +368,7 @@ def m20(spark, sf):
 
 @register("m20_y_scramble")
 def m20_control(spark, sf):
-    return training.y_scramble(model_rows(spark, sf), training.linear, "CID", repeats=2, max_folds=3)
+    return training.y_scramble(model_rows(spark, sf), training.boosted_trees(training.TrainingParams()), "CID")
 
 
 def _brute(train: str, new: str, key: str, exclude: bool, k: int = 5) -> str:
@@ -396,20 +415,32 @@ def m22(spark, sf):
     return domain.in_domain(train, new, ["a", "b"], 12.5).drop("a", "b")
 
 
+def _searched(spark, sf):
+    return training.search(two_targets(spark, sf), "IC50 a", ["qty", "disc"], "CID", "grp")
+
+
 @register("m23_search")
 def m23(spark, sf):
-    found = training.search(
-        two_targets(spark, sf), "IC50 a", ["qty", "disc"], "CID", "grp",
-        training.TrainingParams(cv_max_folds=2), {"learning_rate": ("log", 1e-3, 0.5)}, n_trials=2, outer_folds=2,
-        make=lambda tp: lambda: LinearRegression(featuresCol="x", labelCol="y", regParam=tp.learning_rate, solver="normal"),
-    )
-    return found["folds"]
+    return _searched(spark, sf)["folds"]
 
 
-@register("m24_training_job")
-def m24(spark, sf):
-    wide = view(spark, sf, "wide").select("CID", "MW", "LogP", "ChEMBL:IC50 [Giardia]", "ChEMBL:MIC [Bacillus]")
+@register("m23_history")
+def m23_history(spark, sf):
+    return _searched(spark, sf)["history"]
+
+
+def _job(spark, sf):
     structures = table(spark, sf, "customer").select(
         F.col("c_custkey").alias("CID"), F.col("c_mktsegment").alias("SMILES")
     )
-    return training.training_job(wide, structures, SMALL, group="SMILES", factory=training.linear)["report"]
+    return training.training_job(view(spark, sf, "wide"), structures, group="SMILES")
+
+
+@register("m24_training_job")
+def m24(spark, sf):
+    return _job(spark, sf)["report"]
+
+
+@register("m24_importances")
+def m24_importances(spark, sf):
+    return _job(spark, sf)["importance"]
