@@ -1,22 +1,20 @@
-"""Language-model scoring with a weighted backoff automaton.
+"""Language-model scoring with a backoff bigram model.
 
 The model is a bigram model, smoothed towards the unigrams:
 
     p(w)     = (c(w) + 1) / (N + V + 1)
     p(w | h) = (c(h w) + MASS * p(w)) / (c(h) + MASS)
 
-A state is a history: the start of a text, or a training token. A seen bigram is
-an arc with the log of its probability. Every state has a failure arc to the empty
-history, weighted log(MASS / (c(h) + MASS)), from where the unigram arc leads on;
-an unknown token leads to the empty state. Arc and failure weights give the
-formula above exactly, and sum to one.
+A history is the start of a text, or the token before. A seen bigram has the log of
+its probability; any other backs off once, log(MASS / (c(h) + MASS)) plus the
+unigram's log. An unknown token is no history. This gives the formula above exactly.
+No automaton is built: the counts are looked up position by position.
 
 Nothing of the model is broadcast, since it grows with the corpus. Texts are dealt
 to blocks of about ``BLOCK_BYTES``. Each block sends the sorted distinct hashes of
 its n-grams with their training counts, cut by hash range, to the tasks that add up
 these ranges; they answer each block with the corpus counts of just its n-grams.
-With that answer a block builds the part of the automaton its texts can reach, and
-each text traverses it once from left to right. A range gets one row per block, and
+With that answer a block scores every position of its texts on arrays. A range gets one row per block, and
 a block at most one entry per own n-gram, so frequent words are no hot keys.
 
 Defined cases: a null or empty text is the end token alone; an empty table gives no
