@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidymeter.llm import line_rules as rules
+from tidymeter.llm import line_rules as rules, mixing
 
 ORACLES: dict[str, str] = {}
 
@@ -114,3 +114,120 @@ common AS (
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(y) AS component_id
 FROM doc LEFT JOIN sizes USING (doc_id) JOIN reach ON reach.x = doc_id GROUP BY doc_id, n
 """
+
+# A capped source has cap < level * weight. The level is the greatest over all sets of sources with the least cap per
+# weight of (words that are left) / (weight that is left).
+ORACLES["op11_source_schedule"] = f"""
+WITH doc AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS size,
+    md5(concat_ws('|', '{mixing.SEED}', coalesce(doc_id::VARCHAR, '-'), md5(coalesce(text, '')))) AS key
+  FROM documents
+), sized AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM doc GROUP BY source
+), weighed AS (
+  SELECT *, {list(mixing.WEIGHTS)}[place % {len(mixing.WEIGHTS)} + 1] AS weight, {mixing.MOST} * source_size AS cap FROM sized
+), capped AS (
+  SELECT 0 AS c, 0 AS w UNION ALL
+  SELECT sum(cap) OVER o, sum(weight) OVER o FROM weighed
+  WINDOW o AS (ORDER BY cap / weight, place ROWS UNBOUNDED PRECEDING)
+), level AS (
+  SELECT coalesce(max((t - c)::DOUBLE / (u - w)::DOUBLE) FILTER (u > w), 0) AS level
+  FROM capped, (SELECT sum(source_size) AS t, sum(weight) AS u FROM weighed)
+), targets AS (
+  SELECT source, source_size, least(cap::DOUBLE, weight * level) AS target FROM weighed, level
+), placed AS (
+  SELECT doc_id, size, source_size, target, least(floor(target + 0.5)::BIGINT, {mixing.MOST} * source_size) AS quota,
+    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM doc d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target, ({" + ".join(
+    f"greatest(0, least(start + size + {k} * source_size, quota) - start - {k} * source_size)" for k in range(mixing.MOST)
+)})::BIGINT AS taken
+FROM placed
+"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen({value}::VARCHAR) || ':' || {value}::VARCHAR, '-')"
+
+
+# CRC-32 of the decimal id, bit by bit.
+_BITS = "list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, 3988292384 * (c & 1)))"
+_CRC = f"""xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda a, b: {_BITS}))"""
+
+_LEAF = "sha256({0} || {1} || {2} || {3} || {4})"
+_FIELDS = [_field(c) for c in ("doc_id", "source", "lang", "n_chars")]
+_RUNS = "list_transform(range(0, (len(h) + 2) // 3), lambda j: sha256(array_to_string(h[3 * j + 1:3 * j + 3], '')))"
+
+# Per tree the lists of its levels; a node's run is a slice of three. The subroots of all sources are one more tree.
+ORACLES["op12_pointer_proofs"] = f"""
+WITH RECURSIVE leaf AS (
+  SELECT doc_id, source, crc % 2 = 0 AS tampered,
+    {_LEAF.format(*_FIELDS, _field("text"))} AS leaf,
+    {_LEAF.format(*_FIELDS, _field("replace(text, chr(10), '')"))} AS cut
+  FROM (SELECT *, {_CRC} AS crc FROM documents)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+    dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree
+  FROM leaf
+), levels AS (
+  SELECT tree, 0 AS k, list(leaf ORDER BY i) AS h FROM placed GROUP BY tree
+  UNION ALL
+  SELECT tree, k + 1, {_RUNS} FROM levels WHERE len(h) > 1
+), heads AS (
+  SELECT 0 AS k, list(h[1] ORDER BY tree) AS h FROM levels WHERE len(h) = 1
+  UNION ALL
+  SELECT k + 1, {_RUNS} FROM heads WHERE len(h) > 1
+), runs AS (
+  SELECT p.tree, p.i, k, h[3 * (i // (3 ** k)::BIGINT // 3)::BIGINT + 1:3 * (i // (3 ** k)::BIGINT // 3)::BIGINT + 3] AS run, (i // (3 ** k)::BIGINT % 3)::BIGINT AS pos
+  FROM placed p JOIN levels l ON l.tree = p.tree AND len(h) > 1
+  UNION ALL
+  SELECT p.tree, p.i, 1000 + k, h[3 * (p.tree // (3 ** k)::BIGINT // 3)::BIGINT + 1:3 * (p.tree // (3 ** k)::BIGINT // 3)::BIGINT + 3],
+    (p.tree // (3 ** k)::BIGINT % 3)::BIGINT
+  FROM placed p JOIN heads l ON len(h) > 1
+), steps AS (
+  SELECT tree, i, row_number() OVER (PARTITION BY tree, i ORDER BY k) AS s,
+    array_to_string(run[1:pos], '') AS before, array_to_string(run[pos + 2:], '') AS after
+  FROM runs
+), folded AS (
+  SELECT tree, i, 0 AS s, CASE WHEN tampered THEN cut ELSE leaf END AS value FROM placed
+  UNION ALL
+  SELECT f.tree, f.i, f.s + 1, sha256(before || value || after)
+  FROM folded f JOIN steps t ON t.tree = f.tree AND t.i = f.i AND t.s = f.s + 1
+), proofs AS (
+  SELECT tree, i, sha256(string_agg(before || after, '' ORDER BY s)) AS proof_sha256 FROM steps GROUP BY tree, i
+), ends AS (
+  SELECT tree, i, max_by(value, s) AS folded_root FROM folded GROUP BY tree, i
+)
+SELECT doc_id, leaf, sub.h[1] AS subroot, root.h[1] AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256,
+  folded_root, folded_root = root.h[1] AS verified
+FROM placed JOIN levels sub ON sub.tree = placed.tree AND len(sub.h) = 1 JOIN heads root ON len(root.h) = 1
+JOIN ends ON ends.tree = placed.tree AND ends.i = placed.i
+LEFT JOIN proofs ON proofs.tree = placed.tree AND proofs.i = placed.i
+"""
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+ORACLES["op13_best_positions"] = f"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all({_LOWER.format("text")}, '{_TERM}') AS w FROM documents
+), docs AS (SELECT doc_id, w, len(w)::BIGINT AS n FROM words WHERE len(w) > 0),
+totals AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM docs),
+terms AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER.format("text")}, '{_TERM}')) AS t FROM benchmark
+), found AS (
+  SELECT doc_id, n, t, count(*)::BIGINT AS tf FROM (SELECT doc_id, n, unnest(w) AS t FROM docs)
+  WHERE t IN (SELECT t FROM terms) GROUP BY doc_id, n, t
+), weights AS (
+  SELECT t, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM found, totals GROUP BY t, n_docs
+), scores AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM found JOIN weights USING (t) JOIN terms USING (t), totals GROUP BY item_id, doc_id
+), ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+  FROM scores WHERE score > 0
+)
+SELECT * FROM ranked WHERE rank <= 50
+"""

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidymeter.llm import (
-    backoff_lm, decontaminate, line_rules, ngram_join, packing, quality, secrets, sharding, surrogates, toxicity,
+    backoff_lm, decontaminate, lexical, line_rules, manifest, mixing, ngram_join, packing, quality, secrets, sharding,
+    surrogates, toxicity,
 )
 from tidymeter.llm.oracles import ORACLES
 
@@ -120,3 +121,25 @@ def op9_suffix_automaton(spark: SparkSession, sf: str) -> DataFrame:
 def op10_surrogates(spark: SparkSession, sf: str) -> DataFrame:
     documents = table(spark, sf, "documents").select("doc_id", "text")
     return surrogates.pseudonymise(documents, key="query-key")
+
+
+@register
+def op11_source_schedule(spark: SparkSession, sf: str) -> DataFrame:
+    done = mixing.taken(mixing.mix(table(spark, sf, "documents")))
+    return done.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+@register
+def op12_pointer_proofs(spark: SparkSession, sf: str) -> DataFrame:
+    documents = table(spark, sf, "documents")
+    values = {c: F.col(c) for c in manifest.FIELDS}
+    cut = manifest.leaf_hash(*(values | {"text": F.translate("text", "\n", "")}).values())
+    leaf = manifest.leaf_hash(*values.values())
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    done = manifest.verify(manifest.prove(documents, leaf, F.when(tampered, cut).otherwise(leaf)))
+    return done.withColumnRenamed("id", "doc_id")
+
+
+@register
+def op13_best_positions(spark: SparkSession, sf: str) -> DataFrame:
+    return lexical.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
