@@ -12,7 +12,7 @@ import pytest
 
 import corpus_pipeline
 from compare import compare, connect
-from tidymeter.llm import ngram_join, queries, sharding
+from tidymeter.llm import backoff_lm, ngram_join, queries, sharding
 
 pytest.importorskip("public_tokenizers")
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -165,28 +165,75 @@ def test_secret_base_spans(spark, sf, docs):
         text = ",".join(f"{k}:{a}:{b}" for a, _, b, k in own)
         assert r["base_sha256"] == hashlib.sha256(text.encode()).hexdigest()
         assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(x[1] == i for x in own) for i in range(3)]
-        assert set(text.split(",")) <= set(r["spans"].split(","))
+        assert {x for x in text.split(",") if x} <= set(r["spans"].split(","))
+
+
+def brute_force_scores(texts, train, order=3, mass=2.0):
+    """(n_tokens, n_known, all tokens, base, score) of every text by the formula of the model, n-gram by n-gram."""
+    tokens = [[*WORD.findall(lower(t or "")), None] for t in texts]
+    count, history = collections.Counter(), collections.Counter()
+    for own, use in zip(tokens, train):
+        if use:
+            line = ["<s>", *own]
+            for i in range(1, len(line)):
+                for k in range(1, order + 1):
+                    if i - k + 1 >= 0:
+                        gram = tuple(line[i - k + 1 : i + 1])
+                        count[gram] += 1
+                        history[gram[:-1]] += 1
+    n, v = history[()], sum(len(g) == 1 for g in count)
+
+    def p(gram):
+        if len(gram) == 1:
+            return (count[gram] + 1) / (n + v + 1)
+        return (count[gram] + mass * p(gram[1:])) / (history[gram[:-1]] + mass)
+
+    out = []
+    for own in tokens:
+        line = ["<s>", *own]
+        scores = [p(tuple(line[max(0, i - order + 1) : i + 1])) for i in range(1, len(line))]
+        base = [(count[(w,)] + 1) / (n + v + 1) for w in own]
+        out.append((len(own), sum(count[(w,)] > 0 for w in own), n, sum(map(math.log10, base)), sum(map(math.log10, scores))))
+    return out
+
+
+def same_scores(got, want):
+    assert got[:3] == want[:3]
+    assert got[3:] == pytest.approx(want[3:], rel=1e-9, abs=1e-9)
+
+
+FIELDS = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def test_language_model_by_brute_force(spark, sf, docs):
-    train = {i: zlib.crc32(str(i).encode()) % 7 != 2 for i in docs}
-    tokens = {i: [*WORD.findall(lower(t or "")), None] for i, t in docs.items()}
-    one, two = collections.Counter(), collections.Counter()
-    for i, own in tokens.items():
-        if train[i]:
-            one.update(own)
-            two.update(zip(["<s>", *own], own))
-    one["<s>"] = sum(train.values())
-    n, v = sum(c for w, c in one.items() if w != "<s>"), len(one) - 1
-    for r in rows(spark, sf, "op7_backoff_lm"):
-        own = tokens[r["doc_id"]]
-        p = [(one[w] + 1) / (n + v + 1) for w in own]
-        h = [one[w] for w in ["<s>", *own[:-1]]]
-        s = [(two[b] + 2.0 * q) / (c + 2.0) for b, q, c in zip(zip(["<s>", *own], own), p, h)]
-        assert (r["held_out"], r["n_tokens"], r["train_tokens"]) == (not train[r["doc_id"]], len(own), n)
-        assert r["n_known"] == sum(one[w] > 0 for w in own)
-        assert r["base_score"] == pytest.approx(sum(map(math.log10, p)), abs=1e-5)
-        assert r["score"] == pytest.approx(sum(map(math.log10, s)), abs=1e-5)
+    ids = list(docs)
+    train = [zlib.crc32(str(i).encode()) % 7 != 2 for i in ids]
+    want = dict(zip(ids, brute_force_scores([docs[i] for i in ids], train)))
+    got = rows(spark, sf, "op7_backoff_lm")
+    assert len(got) == len(ids) and {r["doc_id"]: not r["held_out"] for r in got} == dict(zip(ids, train))
+    for r in got:
+        same_scores(tuple(r[f] for f in FIELDS), want[r["doc_id"]])
+
+
+@pytest.mark.parametrize("order, limits", [(2, {}), (3, {}), (4, {}), (3, {"range_keys": 50, "fan": 4}), (5, {"range_keys": 200})])
+def test_automaton_over_many_blocks(spark, order, limits):
+    """Long texts are walked in stretches, texts lie in many blocks, n-grams in many ranges; one and two hops."""
+    rng = np.random.default_rng(order)
+    texts = [" ".join(f"w{x}" for x in rng.geometric(0.15, n)) for n in [*rng.integers(1, 60, 120), 900, 257, 256, 255]]
+    texts += [texts[3]] * 6 + [None, "", " \n ", "only here", "w1", "Ünïcödé ключ w1 w2"]
+    train = [i % 4 != 1 for i in range(len(texts))]
+    df = spark.createDataFrame([(i, t, u) for i, (t, u) in enumerate(zip(texts, train))], "doc_id long, text string, train boolean")
+    got = backoff_lm.score(df, order=order, block_bytes=1500, **limits).collect()
+    want = brute_force_scores(texts, train, order)
+    assert len(got) == len(texts)
+    for r in got:
+        same_scores(tuple(r[f] for f in FIELDS), want[r["doc_id"]])
+
+
+def test_language_model_without_training_rows(spark):
+    df = spark.createDataFrame([(1, "a b", None), (2, None, False)], "doc_id long, text string, train boolean")
+    got = {r["doc_id"]: r for r in backoff_lm.score(df).collect()}
+    assert (got[1]["n_known"], got[1]["train_tokens"], got[1]["base_score"], got[2]["n_tokens"]) == (0, 0, 0.0, 1)
 
 
 def test_quality_held_out(spark, sf):

@@ -1,41 +1,60 @@
-"""Language-model scoring with a backoff bigram model.
+"""Language-model scoring with a weighted backoff automaton.
 
-The model is a bigram model, smoothed towards the unigrams:
+The model is an n-gram model of order ``ORDER``, each order smoothed towards the next
+shorter history:
 
     p(w)     = (c(w) + 1) / (N + V + 1)
-    p(w | h) = (c(h w) + MASS * p(w)) / (c(h) + MASS)
+    p(w | h) = (c(h w) + MASS * p(w | h')) / (c(h) + MASS),  h' = h without its first token
 
-A history is the start of a text, or the token before. A seen bigram has the log of
-its probability; any other backs off once, log(MASS / (c(h) + MASS)) plus the
-unigram's log. An unknown token is no history. This gives the formula above exactly.
-No automaton is built: the counts are looked up position by position.
+Its automaton has a state for the empty history and one for every n-gram of up to
+ORDER - 1 tokens that was seen in training (the start of a text is a token of
+histories). A seen n-gram h w is an arc from the state of h, with the log of
+p(w | h), to the state of the longest seen history that ends in w. A failure arc
+leads from h to h', with log(MASS / (c(h) + MASS)); a state without an arc for the
+token is left by it. From the empty history every token has an arc, so a walk always
+goes on. This gives the formula above exactly.
 
 Nothing of the model is broadcast, since it grows with the corpus. Texts are dealt
 to blocks of about ``BLOCK_BYTES``. Each block sends the sorted distinct hashes of
 its n-grams with their training counts, cut by hash range, to the tasks that add up
-these ranges; they answer each block with the corpus counts of just its n-grams.
-With that answer a block scores every position of its texts on arrays. A range gets one row per block, and
-a block at most one entry per own n-gram, so frequent words are no hot keys.
+these ranges; they answer each block with the corpus counts of just its n-grams. From
+the answer a block builds its part of the automaton, and walks its texts once from left
+to right, many stretches of texts abreast, each carrying its state and adding up
+weights. A stretch begins in the state of the tokens before it, so cutting a long
+text changes nothing.
+
+There are as many ranges as the n-grams need at ``RANGE_KEYS`` each, and a row holds
+the n-grams of a block and a range. Beyond ``FAN`` ranges these rows would get many
+and small; then blocks first merge in bundles, by coarse ranges, and bundles ask the
+ranges, so that rows grow as the corpus, not as its square. A range gets at most one
+entry per block and n-gram, so frequent words are no hot keys.
 
 Defined cases: a null or empty text is the end token alone; an empty table gives no
 rows; without training rows every token is unknown; rows with equal ids are rows of
-their own; other columns are not read.
+their own; other columns are not read. Rows of one id and one text are dealt to one
+block.
 
-Tokens and bigrams are told apart by 64-bit hashes.
+Tokens are told apart by 64-bit hashes, longer n-grams by hashes of ``SPARE_BITS``
+more bits than the number of tokens has, so that a chance of about one in a million
+remains that an n-gram passes for another one.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tidymeter.llm.text import hashes, mix, words_of
-from tidymeter.session import materialize
+from tidymeter.session import discard, materialize
 
+ORDER = 3
 MASS = 2.0
 BLOCK_BYTES = 12 << 20
+RANGE_KEYS = 8_000_000
+FAN = 1024
+SPARE_BITS = 20
+STRETCH = 256
 END = np.uint64(0x5E0D_0000_0000_0001)  # stands for the end; no word's text can name it
 START = np.uint64(0x5E0D_0000_0000_0002)
 
@@ -50,29 +69,145 @@ def coded(texts: list) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(parts) if parts else np.empty(0, np.uint64)), np.array(sizes, np.int64)
 
 
-def histories(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The token before each token, START at the beginning of a text."""
-    before = np.concatenate(([START], tokens[:-1])) if len(tokens) else tokens
-    before[np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)] = START
-    return before
-
-
-def _arcs(before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    return mix(mix(before, 7) + tokens, 8)
+class Grams:
+    """The n-grams of a block: for order k, ``keys[k]`` are the distinct hashes, sorted, and ``at[k][i]`` says which
+    of them ends at token i, or -1 where a text has fewer tokens before (its start counts as one)."""
 
+    def __init__(self, tokens: np.ndarray, sizes: np.ndarray, order: int, bits: int):
+        self.tokens, self.sizes = tokens, sizes
+        ends = np.cumsum(sizes)
+        self.begins = ends - sizes
+        place = np.arange(len(tokens)) - np.repeat(self.begins, sizes)  # 0 for the first token of a text
+        self.keys, self.at, self.first = {}, {}, {}
+        code = tokens
+        for k in range(1, order + 1):
+            if k > 1:
+                # Hash of the last k tokens from that of the last k - 1, ending one token earlier.
+                before = np.concatenate(([START], code[:-1])) if len(code) else code
+                before = np.where(place == 0, START, before)
+                code = mix(mix(before, 7 + k) + tokens, 8)
+            own = np.flatnonzero(place >= k - 2) if k > 2 else np.arange(len(tokens))
+            values = code[own] if k == 1 else code[own] >> np.uint64(64 - bits)
+            self.keys[k], first, back = np.unique(values, return_index=True, return_inverse=True)
+            self.first[k] = own[first]
+            self.at[k] = np.full(len(tokens), -1, np.int32)
+            self.at[k][own] = back
+
+    def counts(self, train: np.ndarray) -> dict[int, np.ndarray]:
+        """How often each distinct n-gram ends in a training text."""
+        out = {}
+        for k, at in self.at.items():
+            there = at >= 0
+            out[k] = np.bincount(at[there], weights=train[there], minlength=len(self.keys[k])).astype(np.int64)
+        return out
 
-def _distinct(values: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct values, and how many of their places are in training texts."""
-    keys, at = np.unique(values, return_inverse=True)
-    return keys, np.bincount(at, weights=train, minlength=len(keys)).astype(np.int64)
 
+class Automaton:
+    """States, arcs and failure arcs over the n-grams of a block.
+
+    State 0 is the empty history, state 1 the start of a text, then come the seen
+    histories of one token, two tokens, ... Arcs are numbered through all orders like
+    the distinct n-grams; ``arc[k - 1, i]`` is the arc of the k-gram that ends at token i.
+    """
+
+    def __init__(self, grams: Grams, counts: dict[int, np.ndarray], starts: int, total: int, types: int, mass: float):
+        order = len(grams.keys)
+        sizes = [len(grams.keys[k]) for k in range(1, order + 1)]
+        offset = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+        n = len(grams.tokens)
+        self.arc = np.empty((order, n), np.int32)
+        for k in range(1, order + 1):
+            self.arc[k - 1] = np.where(grams.at[k] >= 0, grams.at[k] + offset[k - 1], offset[-1])
+        seen = np.concatenate([counts[k] > 0 for k in range(1, order + 1)] + [[False]])
+        # States: histories seen, but for those that end a text.
+        is_end = grams.tokens == END
+        state = np.zeros(offset[-1] + 1, np.int64)
+        length, history = [0, 1], [0, starts]
+        fail = [0, 0]
+        weight = np.zeros(offset[-1] + 1)
+        p = None
+        made = 2
+        for k in range(1, order + 1):
+            first, own = grams.first[k], slice(offset[k - 1], offset[k])
+            shorter = None if k == 1 else self.arc[k - 2, first]
+            prefix = self._prefix(grams, k, state, made)
+            if k == 1:
+                p = (counts[1] + 1) / (total + types + 1)
+            else:
+                p = (counts[k] + mass * 10.0 ** weight[shorter]) / (np.array(history)[prefix] + mass)
+            weight[own] = np.log10(p)
+            if k < order:
+                known = np.flatnonzero((counts[k] > 0) & ~is_end[first])
+                state[offset[k - 1] + known] = made + np.arange(len(known))
+                made += len(known)
+                length += [k] * len(known)
+                history += counts[k][known].tolist()
+                fail += (np.zeros(len(known), np.int64) if k == 1 else state[shorter[known]]).tolist()
+        self.weight = weight
+        self.seen = seen
+        self.seen[offset[0] : offset[1]] = True  # the empty history has an arc for every token
+        # An arc of the highest order leads to the state of its last order - 1 tokens.
+        if order > 1:
+            state[offset[order - 1] : offset[order]] = state[self.arc[order - 2, grams.first[order]]]
+        self.target = state
+        self.fail = np.array(fail, np.int64)
+        self.length = np.array(length, np.int64)
+        self.cost = np.log10(mass / (np.array(history, float) + mass))
+        self.cost[0] = 0.0
+        self.n, self.order = n, order
+
+    def _prefix(self, grams: Grams, k: int, state: np.ndarray, made: int) -> np.ndarray:
+        """State of the first k - 1 tokens of every distinct k-gram (0 where it was not seen)."""
+        first = grams.first[k]
+        if k == 1:
+            return np.zeros(len(first), np.int64)
+        if k == 2:
+            begins = np.zeros(len(grams.tokens), bool)
+            begins[grams.begins] = True
+            return np.where(begins[first], 1, state[self.arc[0, first - 1]])
+        return state[self.arc[k - 2, first - 1]]
+
+    def begin(self, at: np.ndarray, text_begin: np.ndarray) -> np.ndarray:
+        """The state before the token ``at`` of a text that begins at ``text_begin``."""
+        out = np.ones(len(at), np.int64)
+        inside = np.flatnonzero(at > text_begin)
+        found = np.zeros(len(inside), np.int64)
+        for k in range(1, self.order):
+            arc = self.arc[k - 1, at[inside] - 1]
+            longer = np.where(self.seen[arc], self.target[arc], 0)
+            found = np.where(self.length[longer] == k, longer, found)
+        out[inside] = found
+        return out
 
-def _ngrams(pdf: pd.DataFrame):
-    tokens, sizes = coded(pdf["text"].tolist())
-    train = np.repeat(pdf["train"].to_numpy(bool), sizes)
-    before = histories(tokens, sizes)
-    arcs = _arcs(before, tokens)
-    return tokens, sizes, before, arcs, train
+    def walk(self, grams: Grams) -> np.ndarray:
+        """Log-probability of every text."""
+        pieces = -(-grams.sizes // STRETCH)
+        text = np.repeat(np.arange(len(pieces)), pieces)
+        number = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        at = grams.begins[text] + number * STRETCH
+        stop = np.minimum(at + STRETCH, grams.begins[text] + grams.sizes[text])
+        state, total = self.begin(at, grams.begins[text]), np.zeros(len(text))
+        # Longest first, so that the stretches still walking are a prefix.
+        order = np.argsort(at - stop, kind="stable")
+        at, steps, state = at[order], (stop - at)[order], state[order]
+        own = np.zeros(len(text))
+        live = len(text)
+        for step in range(int(steps[0]) if len(steps) else 0):
+            live = int(np.searchsorted(-steps[:live], -step, side="left"))
+            waiting = np.arange(live)
+            while len(waiting):
+                here = state[waiting]
+                arc = self.arc[self.length[here], at[waiting] + step]
+                on = self.seen[arc]
+                go, stay = waiting[on], waiting[~on]
+                own[go] += self.weight[arc[on]]
+                state[go] = self.target[arc[on]]
+                # Failure arcs: pay, and try the shorter history.
+                own[stay] += self.cost[state[stay]]
+                state[stay] = self.fail[state[stay]]
+                waiting = stay
+        total[order] = own
+        return np.bincount(text, weights=total, minlength=len(pieces))
 
 
 def _pack(keys: np.ndarray) -> bytes:
@@ -95,38 +230,65 @@ def _unpack_counts(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u8").ravel().astype(np.int64)
 
 
-def _requests(blocks: int):
-    """Per block and hash range: the block's n-grams of that range and their training counts."""
+ASK = "{0} int, kind int, range int, keys binary, counts binary"
+REPLY = "{0} int, kind int, range int, counts binary"
+
+
+def _edges(ranges: int, bits: int) -> np.ndarray:
+    """First value of each of so many equal ranges of values of ``bits`` bits."""
+    return np.array([(i << bits) // ranges for i in range(ranges)], np.uint64)
+
+
+def _cut(keys: np.ndarray, edges: np.ndarray):
+    """(range, from, to) of the ranges that sorted keys fall into."""
+    ends = [*np.searchsorted(keys, edges).tolist(), len(keys)]
+    return [(r, a, b) for r, (a, b) in enumerate(zip(ends, ends[1:])) if b > a]
+
+
+def _requests(order: int, bits: int, ranges: int):
+    """Per block, order and range: the block's n-grams of that range and their training counts."""
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        tokens, _, _, arcs, train = _ngrams(pdf)
-        out = []
-        for kind, values in ((1, tokens), (2, arcs)):
-            keys, counts = _distinct(values, train)
-            edges = [*np.searchsorted(keys, _edges(blocks)).tolist(), len(keys)]
-            for r, (a, b) in enumerate(zip(edges, edges[1:])):
-                if b > a:
-                    out.append((key[0], kind, r, _pack(keys[a:b]), _pack_counts(counts[a:b])))
+        tokens, sizes = coded(pdf["text"].tolist())
+        grams = Grams(tokens, sizes, order, bits)
+        counts = grams.counts(np.repeat(pdf["train"].to_numpy(bool), sizes))
+        out = [
+            (key[0], k, r, _pack(grams.keys[k][a:b]), _pack_counts(counts[k][a:b]))
+            for k in grams.keys for r, a, b in _cut(grams.keys[k], _edges(ranges, 64 if k == 1 else bits))
+        ]
         return pd.DataFrame(out, columns=["block", "kind", "range", "keys", "counts"])
 
     return run
 
 
-def _edges(ranges: int) -> np.ndarray:
-    """First value of each of so many equal ranges of 64 bits."""
-    return np.array([i * 2**64 // ranges for i in range(ranges)], np.uint64)
-
-
-def _answers(batches) -> pd.DataFrame:
-    """Corpus counts of every block's n-grams of one range, and the range's totals."""
-    pdf = batches.sort_values("block", kind="stable").reset_index(drop=True)
+def _merged(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Distinct keys of some asks, their summed counts, and the place of each ask's keys among them."""
     keys = [_unpack(x) for x in pdf["keys"]]
-    counts = [_unpack_counts(x) for x in pdf["counts"]]
     every, at = np.unique(np.concatenate(keys), return_inverse=True)
-    sums = np.bincount(at, weights=np.concatenate(counts), minlength=len(every)).astype(np.int64)
-    out = pdf[["block", "kind", "range"]].copy()
+    sums = np.bincount(at, weights=np.concatenate([_unpack_counts(x) for x in pdf["counts"]]), minlength=len(every)).astype(np.int64)
     ends = np.cumsum([len(k) for k in keys])
-    out["counts"] = [_pack_counts(sums[at[e - len(k) : e]]) for e, k in zip(ends, keys)]
+    return every, sums, [at[e - len(k) : e] for e, k in zip(ends, keys)]
+
+
+def _bundled(bits: int, fine: int):
+    """The asks of a bundle of blocks in a coarse range, merged and cut into fine ranges; ``block`` is the bundle."""
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        bundle, kind, coarse = key
+        every, sums, _ = _merged(pdf)
+        own = _edges(fine, 64 if kind == 1 else bits)
+        out = [(bundle, kind, r, _pack(every[a:b]), _pack_counts(sums[a:b])) for r, a, b in _cut(every, own)]
+        return pd.DataFrame(out, columns=["block", "kind", "range", "keys", "counts"])
+
+    return run
+
+
+def _answers(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Corpus counts of every asker's n-grams of one range, and the range's totals."""
+    pdf = pdf.sort_values("block", kind="stable").reset_index(drop=True)
+    _, sums, at = _merged(pdf)
+    out = pdf[["block", "kind", "range"]].copy()
+    out["counts"] = [_pack_counts(sums[a]) for a in at]
     out["tokens"] = 0
     out["types"] = 0
     out.loc[0, "tokens"] = int(sums.sum())
@@ -134,54 +296,50 @@ def _answers(batches) -> pd.DataFrame:
     return out
 
 
-def _traverse(total: int, types: int, mass: float, columns: list[str]):
+def _passed_on(key, asks: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+    """The replies to a bundle in a coarse range, dealt to its blocks."""
+    asks = asks.sort_values("block", kind="stable").reset_index(drop=True)
+    _, _, at = _merged(asks)
+    counts = np.concatenate([_unpack_counts(x) for x in replies.sort_values("range")["counts"]])
+    out = asks[["block", "kind", "range"]].copy()
+    out["counts"] = [_pack_counts(counts[a]) for a in at]
+    return out
+
+
+def _scored(order: int, bits: int, starts: int, total: int, types: int, mass: float, columns: list[str]):
     """Scores of a block's texts on the part of the automaton that its answers describe."""
 
     def run(key, docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        tokens, sizes, before, arcs, train = _ngrams(docs)
-        known = {}
-        for kind, values in ((1, tokens), (2, arcs)):
-            keys, at = np.unique(values, return_inverse=True)
-            own = answers[answers["kind"] == kind].sort_values("range")
-            counts = np.concatenate([_unpack_counts(x) for x in own["counts"]]) if len(own) else np.empty(0, np.int64)
-            known[kind] = counts[at]
-        count, arc = known[1].astype(float), known[2].astype(float)
-        base = np.log10((count + 1) / (total + types + 1))
-        # Walk from left to right: the state before a token is its history, known
-        # if it was seen in training; START always is a state.
-        seen = np.concatenate(([0.0], count[:-1])) if len(count) else count
-        first = before == START
-        history = np.where(first, _starts(answers), seen)
-        state = history > 0
-        failure = np.where(state, np.log10(mass / (history + mass)), 0.0) + base
-        follow = np.log10((arc + mass * 10.0**base) / (history + mass))
-        weight = np.where(arc > 0, follow, failure)
-        ends = np.cumsum(sizes)
-        begins = ends - sizes
+        tokens, sizes = coded(docs["text"].tolist())
+        grams = Grams(tokens, sizes, order, bits)
+        counts = {}
+        for k in grams.keys:
+            own = answers[answers["kind"] == k].sort_values("range")
+            counts[k] = np.concatenate([np.empty(0, np.int64), *(_unpack_counts(x) for x in own["counts"])])
+        known = counts[1][grams.at[1]]
+        begins = grams.begins
         add = lambda x: np.add.reduceat(x, begins) if len(begins) else np.empty(0)
         out = docs[columns].copy()
         out["n_tokens"] = sizes
-        out["n_known"] = add((count > 0).astype(np.int64))
+        out["n_known"] = add((known > 0).astype(np.int64))
         out["train_tokens"] = total
-        out["base_score"] = add(base)
-        out["score"] = add(weight)
+        out["base_score"] = add(np.log10((known + 1) / (total + types + 1)))
+        out["score"] = Automaton(grams, counts, starts, total, types, mass).walk(grams)
         return out
 
     return run
 
 
-def _starts(answers: pd.DataFrame) -> float:
-    """How often START was a history: once per training text, like the end token."""
-    return float(answers["starts"].iloc[0]) if len(answers) else 0.0
-
-
 def score(
     df: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     train_col: str = "train",
     mass: float = MASS,
+    order: int = ORDER,
     block_bytes: int = BLOCK_BYTES,
+    range_keys: int = RANGE_KEYS,
+    fan: int = FAN,
 ) -> DataFrame:
     """Per row: id, train flag, n_tokens, n_known, train_tokens, base_score and score (log10)."""
     slim = df.select(
@@ -191,26 +349,39 @@ def score(
     size, starts = slim.agg(
         F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 8), F.sum(F.col("train").cast("long"))
     ).first()
-    blocks = max(1, (size or 0) // block_bytes)
-    # Copies of a text have ids of their own, and rows without an id their own
-    # beginning, so that neither gathers in one block.
-    dealt = slim.withColumn("block", F.pmod(F.xxhash64("id", F.substring("text", 1, 64)), F.lit(blocks)).cast("int"))
-    asked = dealt.groupBy("block").applyInPandas(
-        _requests(blocks), "block int, kind int, range int, keys binary, counts binary"
-    )
-    answers = materialize(
-        asked.groupBy("kind", "range").applyInPandas(
-            _answers, "block int, kind int, range int, counts binary, tokens long, types long"
-        ),
-        "answers",
-    )
+    size, starts = size or 0, starts or 0
+    blocks = max(1, size // block_bytes)
+    # A token takes two bytes or more, and most take some six.
+    bits = min(64, max(1, size // 2).bit_length() + SPARE_BITS)
+    ranges = max(1, order * size // 6 // range_keys)
+    dealt = slim.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
+    coarse = ranges if ranges <= fan else max(1, round(ranges**0.5))
+    asked = dealt.groupBy("block").applyInPandas(_requests(order, bits, coarse), ASK.format("block"))
+    by_range = "block int, kind int, range int, counts binary, tokens long, types long"
+    if ranges <= fan:
+        answers = materialize(asked.groupBy("kind", "range").applyInPandas(_answers, by_range), "answers")
+        replies = answers
+    else:
+        fine = coarse * coarse
+        asked = materialize(asked.withColumn("bundle", F.floor(F.col("block") / max(1, blocks // coarse)).cast("int")), "asked")
+        own = asked.groupBy("bundle", "kind", "range")
+        answers = materialize(
+            own.applyInPandas(_bundled(bits, fine), ASK.format("block")).groupBy("kind", "range").applyInPandas(_answers, by_range), "answers"
+        )
+        back = answers.select(
+            F.col("block").alias("bundle"), "kind", F.floor(F.col("range") / coarse).cast("int").alias("coarse"), "range", "counts"
+        )
+        replies = materialize(
+            own.cogroup(back.groupBy("bundle", "kind", "coarse")).applyInPandas(_passed_on, REPLY.format("block")), "replies"
+        )
+        discard(asked)
     total, types = answers.filter("kind = 1").agg(F.sum("tokens"), F.sum("types")).first()
     schema = T.StructType(
         [slim.schema["id"], slim.schema["train"], *(T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")),
          *(T.StructField(c, T.DoubleType()) for c in ("base_score", "score"))]
     )
-    told = answers.select("block", "kind", "range", "counts", F.lit(starts or 0).cast("long").alias("starts"))
+    told = replies.select("block", "kind", "range", "counts")
     done = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(
-        _traverse(total or 0, types or 0, mass, ["id", "train"]), schema
+        _scored(order, bits, starts, total or 0, types or 0, mass, ["id", "train"]), schema
     )
     return done.withColumnRenamed("id", id_col).withColumnRenamed("train", train_col)

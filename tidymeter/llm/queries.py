@@ -86,15 +86,10 @@ def op7_backoff_lm(spark: SparkSession, sf: str) -> DataFrame:
     done = backoff_lm.score(documents.withColumn("train", ~held_out), train_col="train")
     return done.select(
         "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
-        six("base_score"), six("score"),
+        "base_score", "score",
     )
 
 
-def six(name: str):
-    """Six decimals, so that engines that add in another order agree; the shift keeps the cut off short decimals."""
-    return (F.round(F.col(name) * 1e6 + 0.2371, 0) / 1e6).alias(name)
-
-
 @register
 def op8_markov_secrets(spark: SparkSession, sf: str) -> DataFrame:
     documents = table(spark, sf, "documents").select("doc_id", "text")
