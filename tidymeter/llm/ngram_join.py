@@ -41,6 +41,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from tidymeter.llm.bloom import bloom_filter, in_bloom
 from tidymeter.llm.components import components
 from tidymeter.llm.text import by_bytes, hashes, mix, ngram_hashes, utf8, words_of
 from tidymeter.session import discard, materialize
@@ -55,7 +56,6 @@ BYTES_PER_COUNTER = 64
 SLICES = 16
 BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BATCH_ROWS = 1_000
-BLOOM_BITS = 28  # at most 32 MB
 
 
 @dataclass(frozen=True)
@@ -221,62 +221,14 @@ def _prefixes(slim: DataFrame, rule: Rule, shared) -> DataFrame:
     return slim.select("text").mapInArrow(run, f"name long, n int, p0 array<long>, {columns}")
 
 
-def _bloom_places(keys: np.ndarray, bits: int) -> np.ndarray:
-    """Four places of every key in a Bloom filter of so many bits."""
-    return np.concatenate([mix(keys, 20 + k) & np.uint64(bits - 1) for k in range(4)])
-
-
-def _bloom(ids: DataFrame) -> np.ndarray:
-    """Bloom filter of an id column, about 16 bits an id and at most ``BLOOM_BITS``.
-
-    A full filter lets more rows through, never fewer.
-    """
-    bits = 1 << min(max(16 * ids.count(), 1 << 16).bit_length(), BLOOM_BITS)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(bits, bool)
-        for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            own[_bloom_places(keys, bits).astype(np.int64)] = True
-        if own.any():
-            parts = np.packbits(own).reshape(SLICES, -1)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())],
-                names=["slice", "bits"],
-            )
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, raw in zip(batch.column("slice").to_pylist(), batch.column("bits").to_pylist()):
-                whole[k] = whole.get(k, 0) | np.frombuffer(raw, np.uint8)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(whole, pa.int32()), pa.array([x.tobytes() for x in whole.values()], pa.binary())],
-            names=["slice", "bits"],
-        )
-
-    schema = "slice int, bits binary"
-    parts = ids.mapInArrow(run, schema).repartition(SLICES, "slice").mapInArrow(join, schema).collect()
-    out = np.zeros((SLICES, bits // 8 // SLICES), np.uint8)
-    for r in parts:
-        out[r["slice"]] = np.frombuffer(r["bits"], np.uint8)
-    return out.ravel()
-
-
-def _in_bloom(column: pa.Array, bloom: np.ndarray) -> np.ndarray:
-    """Which values of a column the filter holds (a few more may pass)."""
-    at = _bloom_places(column.to_numpy(zero_copy_only=False).view(np.uint64), 8 * len(bloom)).astype(np.int64)
-    return (bloom[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).reshape(4, -1).all(axis=0)
-
-
 def _of_pairs(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """The sets that stand in a pair, so that no other set is shuffled for a join with the pairs."""
     names = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
-    shared = sets.sparkSession.sparkContext.broadcast(_bloom(names))  # its size is bounded
+    shared = sets.sparkSession.sparkContext.broadcast(bloom_filter(names))  # its size is bounded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(_in_bloom(batch.column("name"), shared.value)))
+            yield batch.filter(pa.array(in_bloom(batch.column("name"), shared.value)))
 
     return sets.mapInArrow(run, sets.schema)
 
@@ -286,7 +238,7 @@ def _sets(slim: DataFrame, rule: Rule, shared) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in by_bytes(batch.filter(pa.array(_in_bloom(batch.column("key"), shared.value)))):
+            for part in by_bytes(batch.filter(pa.array(in_bloom(batch.column("key"), shared.value)))):
                 sets = [t for t in (token_set(raw, rule.words) for raw in utf8(part.column("text"))) if len(t)]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -449,7 +401,7 @@ def _links(spark: SparkSession, slim: DataFrame, least: DataFrame, rule: Rule, s
     further = prefixes.select("name", "n", *FURTHER).join(involved, "name", "left_semi").dropDuplicates(["name"])
     further = materialize(further, "further")
     wanted = materialize(further.join(least, "name").select(F.xxhash64("least_id").alias("key")), "wanted")
-    bloom = spark.sparkContext.broadcast(_bloom(wanted))  # its size is bounded
+    bloom = spark.sparkContext.broadcast(bloom_filter(wanted))  # its size is bounded
     sets = materialize(_sets(slim, rule, bloom), "sets")
     discard(prefixes, wanted)
 

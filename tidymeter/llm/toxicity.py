@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from tidymeter.llm.bloom import bloom_filter, in_bloom
 from tidymeter.llm.text import by_bytes, utf8
 from tidymeter.session import materialize
 
@@ -166,6 +167,17 @@ def _select(labelled: DataFrame, names: list[str], most: int, own: int = OWN_FEA
     return list(dict.fromkeys(bytes(r["feature"]) for rows in best for r in rows))
 
 
+def _among(slim: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows whose id may be labelled, so that other texts are not shuffled for the join."""
+    shared = slim.sparkSession.sparkContext.broadcast(bloom_filter(known.select(F.xxhash64("id"))))  # its size is bounded
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_bloom(batch.column("key"), shared.value))).select(["id", "text"])
+
+    return slim.select(F.xxhash64("id").alias("key"), "id", "text").mapInArrow(run, slim.schema)
+
+
 def train(
     df: DataFrame,
     labels: DataFrame,
@@ -181,7 +193,7 @@ def train(
     known = labels.select(F.col(f"`{id_col}`").alias("id"), *marks)
     columns = [f"y{k}" for k in range(len(names))]
     slim = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    chosen = _select(slim.join(known, "id").select("text", *columns), columns, features)
+    chosen = _select(_among(slim, known).join(known, "id").select("text", *columns), columns, features)
     total = known.count()
     if total > max_rows:
         share = F.lit(int(max_rows / total * 0.97 * 2**32))
