@@ -41,34 +41,51 @@ MIN_RATIO = 0.4
 PLACEHOLDER = "<SECRET>"
 
 
-def _located(text: Column, pattern: str, kind: str) -> Column:
-    """(start, end, kind, value) of each match; offsets are code points, the end is exclusive.
+SPAN = "struct<start:int,stop:int,kind:string,value:string>"
+CHUNK = 256
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once per row."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _located(text: Column, pattern: str, kind: str, keep=lambda value: F.lit(True)) -> Column:
+    """(start, end, kind, value) of each match that is kept; offsets are code points, the end is exclusive.
 
     The gaps between matches and the matches themselves add up to the text, so
-    their lengths give the offsets.
+    their lengths give the offsets. They are added up chunk by chunk, and only kept
+    matches are gathered, so that the work is linear in the text.
     """
-    parts = F.transform(
-        F.arrays_zip(
-            F.split(text, pattern, -1).alias("gap"),
-            F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"),
-        ),
-        lambda z: F.struct(z["gap"].alias("gap"), z["hit"].alias("hit")),
+    pieces = F.arrays_zip(
+        F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit")
     )
-    empty = "struct<at:int,out:array<struct<start:int,stop:int,kind:string,value:string>>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().alias("out")).cast(empty)
+    none = F.array().cast(f"array<{SPAN}>")
+
+    def size(z: Column) -> Column:
+        return F.length(z["gap"]) + F.coalesce(F.length(z["hit"]), F.lit(0))
+
+    def spans(part: Column, begin: Column) -> Column:
+        def step(acc: Column, z: Column) -> Column:
+            first = acc["at"] + F.length(z["gap"])
+            stop = acc["at"] + size(z)
+            one = F.struct(first.alias("start"), stop.alias("stop"), F.lit(kind).alias("kind"), z["hit"].alias("value"))
+            out = F.when(z["hit"].isNotNull() & keep(z["hit"]), F.concat(acc["out"], F.array(one))).otherwise(acc["out"])
+            return F.struct(stop.alias("at"), out.alias("out")).cast(f"struct<at:int,out:array<{SPAN}>>")
 
-    def step(acc: Column, z: Column) -> Column:
-        begin = acc["at"] + F.length(z["gap"])
-        end = begin + F.length(F.coalesce(z["hit"], F.lit("")))
-        one = F.struct(begin.alias("start"), end.alias("stop"), F.lit(kind).alias("kind"), z["hit"].alias("value"))
-        return F.struct(
-            end.alias("at"),
-            F.when(z["hit"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(one))).alias("out"),
-        ).cast(empty)
+        start = F.struct(begin.alias("at"), none.alias("out")).cast(f"struct<at:int,out:array<{SPAN}>>")
+        return F.aggregate(part, start, step, lambda acc: acc["out"])
 
-    found = F.aggregate(parts, start, step, lambda acc: acc["out"])
-    none = F.array().cast("array<struct<start:int,stop:int,kind:string,value:string>>")
-    return F.when(text.rlike(pattern), found).otherwise(none)
+    def chunked(ps: Column) -> Column:
+        def chunk(k: Column) -> Column:
+            return F.slice(ps, k * CHUNK + 1, F.lit(CHUNK))
+
+        chunks = F.sequence(F.lit(0), F.floor((F.size(ps) - 1) / CHUNK).cast("int"))
+        totals = F.transform(chunks, lambda k: F.aggregate(chunk(k), F.lit(0), lambda a, z: a + size(z)))
+        starts = F.aggregate(totals, F.array(F.lit(0)), lambda acc, t: F.concat(acc, F.array(F.element_at(acc, -1) + t)))
+        return _let(starts, lambda begins: F.flatten(F.transform(chunks, lambda k: spans(chunk(k), F.get(begins, k)))))
+
+    return F.when(text.rlike(pattern), _let(pieces, chunked)).otherwise(none)
 
 
 def base_spans(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -76,25 +93,13 @@ def base_spans(df: DataFrame, text_col: str = "text") -> DataFrame:
     base = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
     base = base.withColumn("text", F.coalesce(base["row"][text_col].cast("string"), F.lit("")))
     text = F.col("text")
-    assign = F.filter(
-        _located(text, ASSIGN, "assign"),
-        lambda s: F.length(F.regexp_extract(s["value"], ASSIGN, 1)) >= ASSIGN_MIN,
-    )
+    assign = _located(text, ASSIGN, "assign", lambda v: F.length(F.regexp_extract(v, ASSIGN, 1)) >= ASSIGN_MIN)
     return base.select(
         "row", "text",
         F.concat(assign, _located(text, ACCESS, "access"), _located(text, HEX, "hex")).alias("base"),
     )
 
 
-def _candidates(found: DataFrame) -> DataFrame:
-    """Adds ``candidates``: long words, but those that base spans cover whole; what a base span holds in part is judged whole."""
-    free = F.filter(
-        _located(F.col("text"), CANDIDATE, "markov"),
-        lambda c: ~F.exists("base", lambda b: (b["start"] <= c["start"]) & (c["stop"] <= b["stop"])),
-    )
-    return found.withColumn("candidates", free)
-
-
 def _identifiers(found: DataFrame) -> DataFrame:
     """(pair, count): transitions of words, numbers and their joins, by the occurrences in the prose."""
     words = found.select(F.explode(F.regexp_extract_all("text", F.lit(PROSE), F.lit(0))).alias("w")).groupBy("w").count()
@@ -146,10 +151,10 @@ def fit(df: DataFrame, text_col: str = "text") -> list[float]:
         sums = [sum(table[i * WIDTH : (i + 1) * WIDTH]) for i in range(WIDTH)]
         logs[kind] = [math.log(x / sums[i // WIDTH]) for i, x in enumerate(table)]
     ratios = [a - b for a, b in zip(logs[True], logs[False])]
-    # Numbers of the prose are as random as those in keys: two digits never speak for a secret.
-    return [
-        min(x, 0.0) if _class(i // WIDTH) == _class(i % WIDTH) == "digit" else x for i, x in enumerate(ratios)
-    ]
+    # Numbers of the prose, written with or without separators, are as random as those in keys: digits and
+    # separators next to each other never speak for a secret.
+    plain = [_class(i) not in ("lower", "upper") for i in range(WIDTH)]
+    return [min(x, 0.0) if plain[i // WIDTH] and plain[i % WIDTH] else x for i, x in enumerate(ratios)]
 
 
 def _class(code: int) -> str:
@@ -171,14 +176,16 @@ def _pooled(table: list[float]) -> list[float]:
 
 def scan(df: DataFrame, model: list[float], text_col: str = "text", min_ratio: float = MIN_RATIO) -> DataFrame:
     """``row`` beside ``text``, ``base`` and ``spans``: all spans by start, then kind as listed."""
-    found = _candidates(base_spans(df, text_col))
     ratios = F.split(F.lit(",".join(map(repr, model))), ",").cast("array<double>")
 
-    def ratio(value: Column) -> Column:
+    def is_random(value: Column) -> Column:
         total = F.aggregate(_pairs(value), F.lit(0.0), lambda a, i: a + F.get(ratios, i))
-        return total / (F.length(value) - 1)
+        return total / (F.length(value) - 1) > min_ratio
 
-    random = F.filter("candidates", lambda c: ratio(c["value"]) > min_ratio)
+    found = base_spans(df, text_col)
+    found = found.withColumn("random", _located(F.col("text"), CANDIDATE, "markov", is_random))
+    # What a base span covers whole is its own; what it holds in part is judged whole.
+    random = F.filter("random", lambda c: ~F.exists("base", lambda b: (b["start"] <= c["start"]) & (c["stop"] <= b["stop"])))
     order = F.array(*[F.lit(k) for k in KINDS])
 
     def ordered(spans: Column) -> Column:
