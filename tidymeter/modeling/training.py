@@ -1,4 +1,10 @@
-"""Per-target training, validation, ablation and search on MLlib."""
+"""Per-target training, validation, ablation and search.
+
+Boosted trees run as one job per cross-validation, one task per fit (``boosting``),
+and by MLlib's row-parallel training for targets beyond that bound; any other
+estimator on ``x`` and ``y`` can be passed as a factory. Targets, blocks and
+selection methods are independent, so a few of them run side by side.
+"""
 
 from __future__ import annotations
 
@@ -10,12 +16,13 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.feature import Imputer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, functions as F
 
 from tidymeter import dictionaries as D
 from tidymeter.functions import numeric as N
 from tidymeter.modeling import folds as K, scores as S, selection as Sel, targets as T
+from tidymeter.modeling.boosting import Fit, QuantisedTrees, TreeParams, quantised, run_fits
 from tidymeter.operators.combine import attach_structures
 from tidymeter.session import materialize
 
@@ -44,12 +51,7 @@ ModelFactory = Callable[[], Estimator]
 
 def boosted_trees(tp: TrainingParams) -> ModelFactory:
     """Gradient boosted trees on a vector column ``x`` and label ``y``."""
-    return lambda: GBTRegressor(
-        featuresCol="x", labelCol="y", maxIter=tp.n_estimators, maxDepth=tp.max_depth,
-        stepSize=tp.learning_rate, subsamplingRate=tp.subsample,
-        featureSubsetStrategy=str(tp.colsample_bytree), minInstancesPerNode=max(1, int(tp.min_child_weight)),
-        seed=42,
-    )
+    return lambda: QuantisedTrees(TreeParams.of(tp))
 
 
 def linear() -> Estimator:
@@ -80,21 +82,32 @@ def with_vectors(df: DataFrame, features: list[str], keep: list[str]) -> DataFra
 def oof_predictions(
     rows: DataFrame, factory: ModelFactory, n_folds: int, fold: str = "fold", parallelism: int = 4
 ) -> DataFrame:
-    """Out-of-fold predictions: one model per fold, trained on the other folds.
+    """Out-of-fold predictions (fold, y, prediction): one model per fold, trained on the other folds.
 
-    The fits are independent Spark jobs, so a few run side by side.
+    Quantised trees fit all folds in one job. Other estimators are independent
+    Spark jobs, so a few run side by side.
     """
+    estimator = factory()
+    if isinstance(estimator, QuantisedTrees):
+        found = estimator.out_of_fold(rows, n_folds, fold)
+        if found is not None:
+            return found
+        factory = estimator.by_rows
+
     def fit(f: int) -> DataFrame:
         model = factory().fit(rows.where(F.col(fold) != f))
-        return model.transform(rows.where(F.col(fold) == f)).withColumn("fold", F.lit(f)).select(
-            *[c for c in rows.columns if c not in ("x", "fold")], "fold", "prediction"
-        )
+        return model.transform(rows.where(F.col(fold) == f)).select(F.lit(f).alias("fold"), "y", "prediction")
 
-    with ThreadPool(min(parallelism, n_folds)) as pool:
-        parts = pool.map(fit, range(n_folds))
+    parts = side_by_side(fit, range(n_folds), parallelism)
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def side_by_side(work: Callable, things, parallelism: int = 4) -> list:
+    """Results of ``work`` on each thing, in order; each is a sequence of Spark jobs."""
+    with ThreadPool(max(1, min(parallelism, len(things)))) as pool:
+        return pool.map(work, things)
+
+
 def _folds(df: DataFrame, fold: str = "fold") -> int:
     return df.agg(F.max(fold)).first()[0] + 1
 
@@ -175,11 +188,11 @@ def y_scramble(
     rows: DataFrame, factory: ModelFactory, key: str, repeats: int = 5, max_folds: int = 5
 ) -> DataFrame:
     """Mean cross-validated R2 over permuted labels."""
-    out = None
-    for r in range(max(1, repeats)):
+    def one(r: int) -> DataFrame:
         mixed = materialize(S.scrambled(rows, key, seed=r), "scrambled")
-        one = S.cv_r2(random_cv(mixed, factory, key, max_folds)).withColumn("run", F.lit(r))
-        out = one if out is None else out.unionByName(one)
+        return S.cv_r2(random_cv(mixed, factory, key, max_folds)).withColumn("run", F.lit(r))
+
+    out = reduce(DataFrame.unionByName, side_by_side(one, range(max(1, repeats))))
     return out.agg(F.avg("cv_r2_mean").alias("scramble_r2"), F.count(F.lit(1)).alias("runs"))
 
 
@@ -279,18 +292,13 @@ def train_targets(
     factory: ModelFactory | None = None,
 ) -> tuple[DataFrame | None, DataFrame | None, dict]:
     """(report, importances, models) over all targets with enough samples, best first."""
-    report = imps = None
-    models = {}
-    for target in targets:
-        result = train_target(df, target, features, key, group, tp, selection, factory)
-        if result is None:
-            continue
-        models[target] = result[0]
-        report = result[1] if report is None else report.unionByName(result[1])
-        imps = result[2] if imps is None else imps.unionByName(result[2])
-    if report is not None:
-        report = report.orderBy(F.col("cv_r2_mean").desc_nulls_last(), "target")
-    return report, imps, models
+    results = side_by_side(lambda t: train_target(df, t, features, key, group, tp, selection, factory), targets)
+    done = [(t, r) for t, r in zip(targets, results) if r is not None]
+    if not done:
+        return None, None, {}
+    report = reduce(DataFrame.unionByName, [r[1] for _, r in done])
+    imps = reduce(DataFrame.unionByName, [r[2] for _, r in done])
+    return report.orderBy(F.col("cv_r2_mean").desc_nulls_last(), "target"), imps, {t: r[0] for t, r in done}
 
 
 def train_targets_legacy(
@@ -354,23 +362,25 @@ def selection_benchmark(
     if prepared is None:
         return None
     rows, _ = prepared
-    results = relevance = None
-    for block, features in blocks.items():
-        for method in methods or METHODS:
-            kept, found = Sel.select_features(rows, features, "y", method_params(method, base), trees=min(100, tp.n_estimators))
-            vectors = materialize(with_vectors(rows, kept, _kept(rows, keep)), "benchmark-vectors")
-            cv = evaluate(vectors, factory, key, group, "both", tp.cv_max_folds, 1, tp.min_reliable_samples)
-            one = cv.select(
-                F.lit(target).alias("target"), F.lit(block).alias("block"), F.lit(method).alias("method"),
-                F.lit(len(kept)).alias("n_features"), "cv_r2_random", "cv_r2_grouped", "reliable",
-            )
-            results = one if results is None else results.unionByName(one)
-            if found is not None:
-                top = found.orderBy(F.desc("score"), "feature").limit(20).select(
-                    F.lit(block).alias("block"), F.lit(method).alias("method"), "feature", "score"
-                )
-                relevance = top if relevance is None else relevance.unionByName(top)
-    return results, relevance
+
+    def one(task: tuple[str, str]) -> tuple[DataFrame, DataFrame | None]:
+        block, method = task
+        kept, found = Sel.select_features(rows, blocks[block], "y", method_params(method, base), trees=min(100, tp.n_estimators))
+        vectors = materialize(with_vectors(rows, kept, _kept(rows, keep)), "benchmark-vectors")
+        cv = evaluate(vectors, factory, key, group, "both", tp.cv_max_folds, 1, tp.min_reliable_samples)
+        scored = cv.select(
+            F.lit(target).alias("target"), F.lit(block).alias("block"), F.lit(method).alias("method"),
+            F.lit(len(kept)).alias("n_features"), "cv_r2_random", "cv_r2_grouped", "reliable",
+        )
+        top = found and found.orderBy(F.desc("score"), "feature").limit(20).select(
+            F.lit(block).alias("block"), F.lit(method).alias("method"), "feature", "score"
+        )
+        return scored, top
+
+    done = side_by_side(one, [(b, m) for b in blocks for m in methods or METHODS])
+    tops = [top for _, top in done if top is not None]
+    results = reduce(DataFrame.unionByName, [scored for scored, _ in done])
+    return results, reduce(DataFrame.unionByName, tops) if tops else None
 
 
 def best_method(results: DataFrame, metric: str = "cv_r2_grouped", prefer: str = "with_block") -> DataFrame:
@@ -411,19 +421,22 @@ def ablate_block(
     if prepared is None:
         return None
     rows, kind = prepared
-    sides, model, kept = {}, None, []
-    for name, features in (("baseline", base_features), ("augmented", base_features + extra)):
+
+    def side(task: tuple[str, list[str]]) -> tuple:
+        name, features = task
         chosen = features if selection is None else Sel.select_features(rows, features, "y", selection)[0]
         vectors = materialize(with_vectors(rows, chosen, _kept(rows, keep)), f"{name}-vectors")
-        sides[name] = evaluate(vectors, factory, key, group, "both", tp.cv_max_folds, 1, tp.min_reliable_samples)
-        if name == "augmented":
-            model, kept = factory().fit(vectors), chosen
+        cv = evaluate(vectors, factory, key, group, "both", tp.cv_max_folds, 1, tp.min_reliable_samples)
+        return cv, factory().fit(vectors) if name == "augmented" else None, chosen
+
+    baseline, augmented = side_by_side(side, [("baseline", base_features), ("augmented", base_features + extra)])
+    _, model, kept = augmented
     imp = importances(df, model, kept, target).where(F.col("feature").isin(extra))
     covered = rows.agg(F.count_if(F.coalesce(*[F.col(f"`{c}`").cast("double") for c in extra]).isNotNull()).alias("n_covered"))
-    after = S.only_row(sides["augmented"])
+    after = S.only_row(augmented[0])
     total = S.only_row(imp.agg(F.coalesce(F.sum("importance"), F.lit(0.0)).alias("block_importance")))
     names = {"cv_r2": "cv_r2_mean", "cv_std": "cv_r2_std", "cv_r2_random": "cv_r2_random", "cv_r2_grouped": "cv_r2_grouped"}
-    both = sides["baseline"].select(
+    both = baseline[0].select(
         "n_samples", "n_groups", "cv_folds", "reliable", "reliability_note",
         *[F.col(c).alias(f"baseline_{n}") for n, c in names.items()],
         *[after[c].alias(f"augmented_{n}") for n, c in names.items()],
@@ -465,6 +478,51 @@ def sample_params(space: dict, rng: random.Random) -> dict:
     return out
 
 
+def _inner_folds(vectors: DataFrame, key: str, group: str | None, max_folds: int, name: str) -> DataFrame:
+    split = K.group_folds(vectors, group, max_folds) if group else K.random_folds(vectors, key, max_folds=max_folds)
+    return split.withColumnRenamed("fold", name)
+
+
+def _studies_at_once(
+    vectors: DataFrame, outer: DataFrame | None, key: str, group: str | None, tp: TrainingParams, space: dict, n_trials: int, seed: int
+) -> tuple[list[list[tuple[int, dict, float]]], list[tuple]] | None:
+    """(trials of every study, outer fold rows): all inner fits of all trials are one job, the outer fits another.
+
+    The study of an outer fold sees the rows of the others; the last study sees all
+    rows. None where the rows are beyond the bound of quantised training.
+    """
+    n_outer = _folds(outer) if outer is not None else 0
+    table = vectors if outer is None else outer.withColumnRenamed("fold", "outer")
+    for s in range(n_outer):
+        inner = _inner_folds(table.where(F.col("outer") != s), key, group, tp.cv_max_folds, f"inner{s}")
+        rest = table.where(F.col("outer") == s).withColumn(f"inner{s}", F.lit(-1))
+        table = materialize(inner.unionByName(rest), "inner-folds")
+    table = materialize(_inner_folds(table, key, group, tp.cv_max_folds, f"inner{n_outer}"), "inner-folds")
+    names = [f"inner{s}" for s in range(n_outer + 1)]
+    shared = quantised(table, names + (["outer"] if n_outer else []))
+    if shared is None:
+        return None
+    most = table.agg(*[F.max(n).alias(n) for n in names]).first()
+    points, fits = [], []
+    for s, name in enumerate(names):
+        rng = random.Random(seed if s == n_outer else seed + 1 + s)
+        points.append([sample_params(space, rng) for _ in range(n_trials)])
+        for t, params in enumerate(points[-1]):
+            own = TreeParams.of(replace(tp, **params))
+            fits += [Fit(f"{s}/{t}", own, name, k) for k in range(most[name] + 1)]
+    # The longest fits start first.
+    fits.sort(key=lambda f: -f.params.n_estimators * f.params.max_depth)
+    scores = {r["run"]: r["cv_r2_mean"] for r in S.cv_r2(run_fits(table, shared, fits), ["run"]).collect()}
+    studies = [
+        [(t, p, scores.get(f"{s}/{t}") if scores.get(f"{s}/{t}") is not None else float("-inf")) for t, p in enumerate(own)]
+        for s, own in enumerate(points)
+    ]
+    best = [max(own, key=lambda t: t[2]) for own in studies]
+    last = [Fit(f"outer{s}", TreeParams.of(replace(tp, **best[s][1])), "outer", s) for s in range(n_outer)]
+    tested = S.fold_scores(run_fits(table, shared, last)).collect() if last else []
+    return studies, [(r["fold"], float(best[r["fold"]][2]), r["r2"], r["n"]) for r in sorted(tested, key=lambda r: r["fold"])]
+
+
 def _study(vectors: DataFrame, key: str, group: str | None, tp: TrainingParams, space: dict, n_trials: int, seed: int, make) -> list[tuple[int, dict, float]]:
     """Seeded random trials scored by inner cross-validation; every trial is a set of Spark jobs."""
     rng, trials = random.Random(seed), []
@@ -505,24 +563,31 @@ def search(
         return None
     vectors = materialize(with_vectors(prepared[0], features, [*keep, "y"]), "search-vectors")
     spark = df.sparkSession
-    fold_rows = []
+    outer = None
     if outer_folds >= 2:
         if group:
             groups = vectors.select(group).distinct().count()
             outer = K.group_folds(vectors, group, folds=min(outer_folds, groups)) if groups >= 2 else None
         else:
             outer = K.random_folds(vectors, key, max_folds=outer_folds, seed=seed)
-        if outer is not None:
-            outer = materialize(outer, "outer-folds")
-            for f in range(_folds(outer)):
-                train = outer.where(F.col("fold") != f).drop("fold")
-                test = outer.where(F.col("fold") == f)
-                trials = _study(train, key, group, tp, space, n_trials, seed + 1 + f, make)
-                best = max(trials, key=lambda t: t[2])
-                model = make(replace(tp, **best[1]))().fit(train)
-                got = model.transform(test).agg(S.r2().alias("r2"), F.count(F.lit(1)).alias("n")).first()
-                fold_rows.append((f, float(best[2]), got["r2"], got["n"]))
-    trials = _study(vectors, key, group, tp, space, n_trials, seed, make)
+        outer = outer and materialize(outer, "outer-folds")
+    found = None
+    if make is boosted_trees and tp.cv_repeats == 1:
+        found = _studies_at_once(vectors, outer, key, group, tp, space, n_trials, seed)
+    if found:
+        studies, fold_rows = found
+        trials = studies[-1]
+    else:
+        fold_rows = []
+        for f in range(_folds(outer) if outer is not None else 0):
+            train = outer.where(F.col("fold") != f).drop("fold")
+            test = outer.where(F.col("fold") == f)
+            trials = _study(train, key, group, tp, space, n_trials, seed + 1 + f, make)
+            best = max(trials, key=lambda t: t[2])
+            model = make(replace(tp, **best[1]))().fit(train)
+            got = model.transform(test).agg(S.r2().alias("r2"), F.count(F.lit(1)).alias("n")).first()
+            fold_rows.append((f, float(best[2]), got["r2"], got["n"]))
+        trials = _study(vectors, key, group, tp, space, n_trials, seed, make)
     best = max(trials, key=lambda t: t[2])
     return {
         "best": asdict(replace(tp, **best[1])),
