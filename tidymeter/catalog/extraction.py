@@ -407,14 +407,14 @@ def e14(spark, sf):
 
 @register(
     "e14_prefer_first",
-    f"""SELECT CASE WHEN o_orderstatus = 'F' THEN o_orderkey ELSE -o_orderkey END AS page_id, 'Json' AS "PropertyName",
+    f"""SELECT CASE WHEN o_orderstatus = 'F' THEN o_orderkey ELSE -1 - o_orderkey END AS page_id, 'Json' AS "PropertyName",
       o_orderstatus AS "PropertyValue", '' AS "PropertyUnit", 'j' AS "Reference" FROM orders UNION ALL
     SELECT * FROM ({_DIV_SQL}) WHERE page_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')""",
 )
 def e14_prefer(spark, sf):
     # Orders of another status bring a page of their own, so that their other rows stay.
     best = table(spark, sf, "orders").select(
-        F.when(F.col("o_orderstatus") == "F", F.col("o_orderkey")).otherwise(-F.col("o_orderkey")).alias("page_id"), F.lit("Json").alias("PropertyName"),
+        F.when(F.col("o_orderstatus") == "F", F.col("o_orderkey")).otherwise(-1 - F.col("o_orderkey")).alias("page_id"), F.lit("Json").alias("PropertyName"),
         F.col("o_orderstatus").alias("PropertyValue"), F.lit("").alias("PropertyUnit"),
         F.lit("j").alias("Reference"),
     )

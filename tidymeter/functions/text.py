@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from functools import reduce
+from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -61,6 +62,25 @@ def collapse_ws(c) -> Column:
     return F.trim(F.regexp_replace(as_col(c), f"[{SPACES}]+", " "))
 
 
+REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{0,30});"
+
+
+def unescape(c) -> Column:
+    """Character references of markup as characters; an unknown one stays as it is."""
+    text = as_col(c)
+
+    def character(ref: Column) -> Column:
+        digits = F.regexp_extract(ref, "#[xX]?([0-9a-fA-F]+)", 1)
+        code = F.when(F.substring(ref, 3, 1).isin("x", "X"), F.lpad(digits, 8, "0")).otherwise(F.lpad(F.hex(digits.try_cast("int")), 8, "0"))
+        known = lookup({f"&{name};": chr(code) for name, code in name2codepoint.items()}, ref)
+        return F.when(F.startswith(ref, F.lit("&#")), F.decode(F.unhex(code), "UTF-32")).otherwise(F.coalesce(known, ref))
+
+    # The pieces between the references and the references, in turn.
+    parts = F.arrays_zip(F.split(text, REFERENCE, -1).alias("gap"), F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0)).alias("ref"))
+    joined = F.array_join(F.transform(parts, lambda p: F.concat(p["gap"], F.coalesce(character(p["ref"]), F.lit("")))), "")
+    return F.when(F.contains(text, F.lit("&")), joined).otherwise(text)
+
+
 def slugify(c) -> Column:
     """File-safe label: '/', ':' and blanks become '_', square brackets go."""
     return F.translate(as_col(c), "/: []", "___")
