@@ -238,3 +238,44 @@ def test_conformers(spark):
     rows = L.select_conformers(spark.createDataFrame([("a", text)], "f string, text string"), 5, 10.0).orderBy("rank").collect()
     assert [r["rank"] for r in rows] == [1, 2] and rows[0]["block"].startswith("1\n-1.001")
     assert rows[1]["rel_energy_kcal"] == pytest.approx(0.627509474)
+
+
+@pytest.mark.parametrize(
+    "text,expected",
+    [
+        ("a &amp; b", "a & b"), ("&amp;lt;", "&lt;"), ("&#176;C &#xb5;m &deg;", "°C µm °"), ("&#x1F600;", "\U0001f600"),
+        ("&unknown; & &;", "&unknown; & &;"), ("", ""), (None, None),
+    ],
+)
+def test_character_references(spark, text, expected):
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(X.unescape("t").alias("v")).first()["v"] == expected
+
+
+def _div(css, *inner):
+    return f'<div class="{css}">' + "".join(inner) + "</div>"
+
+
+ROW, CELL = "sm:table-row x", "y sm:table-cell"
+
+
+@pytest.mark.parametrize(
+    "page,expected",
+    [
+        (_div(ROW, *[_div(CELL, t) for t in ("n", " a <b>b</b>\n c ", "&lt;r&gt;")]), [("n", "a b c", "<r>")]),
+        (_div(ROW, *[_div(CELL, t) for t in ("Property Name", "x", "y")]), []),
+        (_div(ROW, *[_div(CELL, t) for t in ("two", "cells")]), []),
+        ("</div></div>" + _div(ROW, *[_div(CELL, _div("z", t)) for t in "abc"]) + "tail", [("a", "b", "c")]),
+        (_div(ROW, "<!-- </div> -->", *[_div(CELL, t) for t in "abcd"], "<script>'<div>'</script>"), [("a", "b", "c")]),
+        (_div(CELL, "outside") + _div(ROW, *[_div(CELL, t) for t in "abc"]) * 2, [("a", "b", "c")] * 2),
+        (_div(ROW, *[_div(CELL, t) for t in "ab"], _div("g", _div(ROW, *[_div(CELL, t) for t in "xyz"])), _div(CELL, "c")), [("a", "b", "c"), ("x", "y", "z")]),
+        ("<div CLASS='sm:table-row'>" + "".join(f"<DIV class=sm:table-cell>{t}</DIV>" for t in "abc") + "</div>", [("a", "b", "c")]),
+        (None, []), ("sm:table-row", []),
+    ],
+)
+def test_div_rows(spark, page, expected):
+    df = spark.createDataFrame([(1, page), (1, page)], "page_id int, html string")
+    got = P.extract_div_rows(df)
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+    rows = sorted(tuple(r) for r in got.select("PropertyName", "PropertyValue", "Reference").collect())
+    assert rows == sorted(expected * 2)

@@ -147,7 +147,8 @@ def test_leader_clusters_against_the_sequential_form(token_rows):
 
 @pytest.mark.parametrize("block", [5, 4000])
 def test_knn_against_all_pairs(spark, monkeypatch, block):
-    monkeypatch.setattr(domain, "BLOCK_POINTS", block)
+    monkeypatch.setattr(domain, "RING_POINTS", block)
+    monkeypatch.setattr(domain, "RING_QUERIES", 3 * block)
     rng = np.random.default_rng(1)
     points = np.vstack([rng.normal(size=(120, 3)).round(2), np.tile([[1.0, 1.0, 1.0]], (60, 1))])
     df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(points)], "id int, a double, b double, c double")

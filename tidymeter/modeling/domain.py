@@ -1,10 +1,12 @@
 """Applicability domain: exact k-nearest-neighbour distances without all-pairs work.
 
 Equal points fold into one with a weight. Pivots cut the training points into
-cells; the triangle inequality bounds every query's k-th distance and rules out
-cells, so a query meets only the cells that can hold a neighbour. Large cells
-are split into blocks, so that no task holds more than a few thousand points
-per query.
+cells, and the distance to its pivot cuts a cell into rings of at most
+``RING_POINTS`` points, as many as the data need. The triangle inequality bounds
+every query's k-th distance and rules out cells and rings, so a query meets only
+rings that can hold a neighbour. A task has the points of one ring and at most some
+``RING_QUERIES`` of the queries that meet its cell; it keeps the k nearest of each, and
+only these are shuffled.
 """
 
 from __future__ import annotations
@@ -16,7 +18,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from tidymeter.operators import ranks
 from tidymeter.session import materialize
 
-BLOCK_POINTS = 4_000
+RING_POINTS = 4_000
+RING_QUERIES = 20_000
 MAX_PIVOTS = 2_048
 
 
@@ -25,11 +28,6 @@ def clean_vector(columns: list[str]) -> Column:
     return F.array(*[F.coalesce(F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(0.0)), F.lit(0.0)) for c in columns])
 
 
-def _distance(a: str, b: str) -> Column:
-    squares = F.zip_with(a, b, lambda x, y: (x - y) * (x - y))
-    return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, v: s + v))
-
-
 def distinct_points(df: DataFrame, vector: str = "v") -> DataFrame:
     """(v, weight): equal vectors combined before the shuffle."""
     return df.groupBy(vector).agg(F.count(F.lit(1)).alias("weight"))
@@ -81,14 +79,12 @@ def knn(queries: DataFrame, train: DataFrame, k: int, exclude_self: bool, vector
         .groupBy("cell")
         .agg(F.array_sort(F.collect_list(F.struct("radius", "weight"))).alias("near"))
     )
-    sizes = cells.groupBy("cell").agg(F.max("radius").alias("reach"), F.count(F.lit(1)).alias("points"))
+    sizes = cells.groupBy("cell").agg(F.max("radius").alias("reach"))
     summary = {r["cell"]: r for r in sizes.join(inner, "cell").collect()}  # one row per pivot
     reach = np.full(len(pivots), -np.inf)
     kth = np.full(len(pivots), np.inf)
-    blocks = np.ones(len(pivots), dtype=int)
     for c, r in summary.items():
         reach[c] = r["reach"]
-        blocks[c] = -(-r["points"] // BLOCK_POINTS)
         seen = 0
         for radius, weight in r["near"]:
             seen += weight
@@ -96,34 +92,70 @@ def knn(queries: DataFrame, train: DataFrame, k: int, exclude_self: bool, vector
                 kth[c] = radius
                 break
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("array<struct<cell:int,low:double,high:double>>")
     def reachable(vectors: pd.Series) -> pd.Series:
         d = _to_pivots(vectors, pivots)
         bound = (d + kth[None, :]).min(axis=1, keepdims=True) * (1 + 1e-12) + 1e-12
-        return pd.Series([np.flatnonzero(row - reach <= b).astype("int32") for row, b in zip(d, bound)])
-
-    sizing = F.array(*[F.lit(int(b)) for b in blocks])
-    points = cells.select(
-        "cell", F.pmod(F.xxhash64(vector), F.get(sizing, F.col("cell"))).cast("int").alias("block"),
-        F.col(vector).alias("_p"), "weight",
-    )
-    probes = (
-        queries.select(vector, F.explode(reachable(vector)).alias("cell"))
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.get(sizing, F.col("cell")) - 1)))
+        out = []
+        for row, b in zip(d, bound[:, 0]):
+            own = np.flatnonzero(row - reach <= b)
+            out.append(list(zip(own.tolist(), (row[own] - b).tolist(), (row[own] + b).tolist())))
+        return pd.Series(out)
+
+    placed = ranks.running_total(cells, ["cell"], ["radius", vector], F.lit(1), "_upto")
+    ringed = materialize(
+        placed.select("cell", F.floor((F.col("_upto") - 1) / RING_POINTS).alias("ring"), vector, "weight", "radius"), "rings"
     )
-    pairs = probes.join(points, ["cell", "block"]).select(
-        vector, "weight", _distance(vector, "_p").alias("d"), "_p"
+    rings = ringed.groupBy("cell", "ring").agg(F.min("radius").alias("inside"), F.max("radius").alias("outside"))
+    asked = materialize(queries.select(vector).withColumn("_q", F.monotonically_increasing_id()), "queries")
+    probes = materialize(
+        asked.select("_q", vector, F.inline(reachable(vector))).join(rings, "cell")
+        .where((F.col("inside") <= F.col("high")) & (F.col("outside") >= F.col("low"))).select("_q", vector, "cell", "ring"),
+        "probes",
     )
-    if exclude_self:
-        own = F.col(vector) == F.col("_p")
-        pairs = pairs.withColumn("weight", F.col("weight") - own.cast("int")).where("weight > 0")
-    by_query = W.partitionBy(vector).orderBy("d", "_p")
-    top = pairs.withColumn("_rn", F.row_number().over(by_query)).where(F.col("_rn") <= k)
-    before = F.coalesce(F.sum("weight").over(by_query.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    used = top.withColumn("_take", F.greatest(F.lit(0), F.least(F.col("weight"), F.lit(k) - before)))
-    return used.groupBy(vector).agg(
-        F.try_divide(F.sum(F.col("d") * F.col("_take")), F.sum("_take")).alias("mean_distance")
+    busy = {r["cell"]: r["c"] for r in probes.groupBy("cell").agg(F.count_distinct("_q").alias("c")).collect()}
+    sizing = F.array(*[F.lit(-(-busy.get(c, 1) // RING_QUERIES)) for c in range(len(pivots))])
+    salts = F.get(sizing, F.col("cell"))
+    dealt = probes.withColumn("salt", F.pmod(F.xxhash64("_q"), salts).cast("int"))
+    points = ringed.select("cell", "ring", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.col(vector).alias("_p"), "weight")
+    by = ["cell", "ring", "salt"]
+    found = dealt.groupBy(*by).cogroup(points.groupBy(*by)).applyInPandas(
+        _nearest_in_ring(vector, k, exclude_self), "_q long, near array<struct<d:double,weight:bigint>>"
     )
+    merged = found.groupBy("_q").agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("near"))
+
+    def step(acc: Column, n: Column) -> Column:
+        take = F.least(n["weight"], F.lit(k) - acc["n"])
+        return F.struct((acc["n"] + take).alias("n"), (acc["sum"] + n["d"] * take).alias("sum"))
+
+    none = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("sum"))
+    mean = F.aggregate("near", none, step, lambda acc: F.try_divide(acc["sum"], acc["n"]))
+    return asked.join(merged.select("_q", mean.alias("mean_distance")), "_q").drop("_q")
+
+
+def _nearest_in_ring(vector: str, k: int, exclude_self: bool):
+    """The points of a ring that each query needs for k rows, nearest first; the query's own point counts one row less."""
+
+    def run(queries: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
+        if not len(queries) or not len(points):
+            return pd.DataFrame({"_q": pd.Series(dtype="int64"), "near": pd.Series(dtype=object)})
+        p, weight = np.stack(points["_p"].to_numpy()), points["weight"].to_numpy()
+        q, out = np.stack(queries[vector].to_numpy()), []
+        most = min(len(p), k + 1)
+        step = max(1, 2_000_000 // p.size)
+        for i in range(0, len(q), step):
+            part = q[i : i + step, None, :] - p[None, :, :]
+            d = np.sqrt((part * part).sum(axis=2))
+            near = np.argpartition(d, most - 1, axis=1)[:, :most]
+            for row, own, at in zip(d, near, range(i, i + len(d))):
+                own = own[np.argsort(row[own], kind="stable")]
+                left = weight[own].astype(int)
+                if exclude_self:
+                    left = left - (p[own] == q[at]).all(axis=1)
+                out.append([(float(row[j]), int(w)) for j, w in zip(own, left) if w > 0])
+        return pd.DataFrame({"_q": queries["_q"], "near": out})
+
+    return run
 
 
 def fit_domain(
