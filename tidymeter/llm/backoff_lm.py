@@ -50,9 +50,9 @@ from tidymeter.session import discard, materialize
 
 ORDER = 3
 MASS = 2.0
-BLOCK_BYTES = 12 << 20
-RANGE_KEYS = 8_000_000
-FAN = 1024
+BLOCK_BYTES = 8 << 20
+RANGE_KEYS = 2_000_000
+FAN = 8192
 SPARE_BITS = 20
 STRETCH = 256
 END = np.uint64(0x5E0D_0000_0000_0001)  # stands for the end; no word's text can name it
@@ -69,37 +69,39 @@ def coded(texts: list) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(parts) if parts else np.empty(0, np.uint64)), np.array(sizes, np.int64)
 
 
+def distinct_grams(tokens: np.ndarray, sizes: np.ndarray, order: int, bits: int):
+    """For each order k in turn: (k, keys, first, at).
+
+    ``keys`` are the distinct hashes, sorted, and ``first`` has a token where each ends.
+    ``at[i]`` says which of them ends at token i, or -1 where a text has fewer tokens
+    before; its start counts as one.
+    """
+    place = np.arange(len(tokens), dtype=np.int32) - np.repeat(np.cumsum(sizes) - sizes, sizes).astype(np.int32)
+    code = tokens
+    for k in range(1, order + 1):
+        if k > 1:
+            # Hash of the last k tokens from that of the last k - 1, ending one token earlier.
+            code = np.concatenate(([START], code[:-1])) if len(code) else code
+            code[place == 0] = START
+            code = mix(mix(code, 7 + k) + tokens, 8)
+        values = code if k == 1 else code >> np.uint64(64 - bits)
+        turn = np.argsort(values)
+        turn = turn[(place >= k - 2)[turn]].astype(np.int32)
+        values = values[turn]
+        new = np.concatenate((np.ones(min(1, len(values)), bool), values[1:] != values[:-1]))
+        at = np.full(len(tokens), -1, np.int32)
+        at[turn] = np.cumsum(new, dtype=np.int32) - 1
+        yield k, values[new], turn[new], at
+
+
 class Grams:
-    """The n-grams of a block: for order k, ``keys[k]`` are the distinct hashes, sorted, and ``at[k][i]`` says which
-    of them ends at token i, or -1 where a text has fewer tokens before (its start counts as one)."""
+    """``first`` and ``at`` of ``distinct_grams`` by order, and the number ``n`` of distinct n-grams."""
 
     def __init__(self, tokens: np.ndarray, sizes: np.ndarray, order: int, bits: int):
-        self.tokens, self.sizes = tokens, sizes
-        ends = np.cumsum(sizes)
-        self.begins = ends - sizes
-        place = np.arange(len(tokens)) - np.repeat(self.begins, sizes)  # 0 for the first token of a text
-        self.keys, self.at, self.first = {}, {}, {}
-        code = tokens
-        for k in range(1, order + 1):
-            if k > 1:
-                # Hash of the last k tokens from that of the last k - 1, ending one token earlier.
-                before = np.concatenate(([START], code[:-1])) if len(code) else code
-                before = np.where(place == 0, START, before)
-                code = mix(mix(before, 7 + k) + tokens, 8)
-            own = np.flatnonzero(place >= k - 2) if k > 2 else np.arange(len(tokens))
-            values = code[own] if k == 1 else code[own] >> np.uint64(64 - bits)
-            self.keys[k], first, back = np.unique(values, return_index=True, return_inverse=True)
-            self.first[k] = own[first]
-            self.at[k] = np.full(len(tokens), -1, np.int32)
-            self.at[k][own] = back
-
-    def counts(self, train: np.ndarray) -> dict[int, np.ndarray]:
-        """How often each distinct n-gram ends in a training text."""
-        out = {}
-        for k, at in self.at.items():
-            there = at >= 0
-            out[k] = np.bincount(at[there], weights=train[there], minlength=len(self.keys[k])).astype(np.int64)
-        return out
+        self.sizes, self.begins, self.is_end, self.order = sizes, np.cumsum(sizes) - sizes, tokens == END, order
+        self.at, self.first, self.n = {}, {}, {}
+        for k, keys, first, at in distinct_grams(tokens, sizes, order, bits):
+            self.first[k], self.at[k], self.n[k] = first, at, len(keys)
 
 
 class Automaton:
@@ -111,61 +113,50 @@ class Automaton:
     """
 
     def __init__(self, grams: Grams, counts: dict[int, np.ndarray], starts: int, total: int, types: int, mass: float):
-        order = len(grams.keys)
-        sizes = [len(grams.keys[k]) for k in range(1, order + 1)]
-        offset = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
-        n = len(grams.tokens)
+        order, n = grams.order, len(grams.is_end)
+        offset = np.concatenate(([0], np.cumsum([grams.n[k] for k in range(1, order + 1)]))).astype(np.int64)
+        last = offset[-1]  # stands for an n-gram that is none
+        self.order = order
         self.arc = np.empty((order, n), np.int32)
         for k in range(1, order + 1):
-            self.arc[k - 1] = np.where(grams.at[k] >= 0, grams.at[k] + offset[k - 1], offset[-1])
-        seen = np.concatenate([counts[k] > 0 for k in range(1, order + 1)] + [[False]])
-        # States: histories seen, but for those that end a text.
-        is_end = grams.tokens == END
-        state = np.zeros(offset[-1] + 1, np.int64)
-        length, history = [0, 1], [0, starts]
-        fail = [0, 0]
-        weight = np.zeros(offset[-1] + 1)
-        p = None
+            self.arc[k - 1] = np.where(grams.at[k] >= 0, grams.at[k] + offset[k - 1], last)
+        self.seen = np.concatenate([*(counts[k] > 0 for k in range(1, order + 1)), [False]])
+        self.seen[: offset[1]] = True  # the empty history has an arc for every token
+        self.weight = np.zeros(last + 1)
+        # ``target`` of an arc is the state of its n-gram, where that is one: seen, and not the end of a text.
+        self.target = np.zeros(last + 1, np.int32)
+        length, history, fail = [np.array([0, 1], np.int8)], [np.array([0, starts])], [np.zeros(2, np.int32)]
         made = 2
         for k in range(1, order + 1):
             first, own = grams.first[k], slice(offset[k - 1], offset[k])
-            shorter = None if k == 1 else self.arc[k - 2, first]
-            prefix = self._prefix(grams, k, state, made)
             if k == 1:
-                p = (counts[1] + 1) / (total + types + 1)
+                self.weight[own] = np.log10((counts[1] + 1) / (total + types + 1))
             else:
-                p = (counts[k] + mass * 10.0 ** weight[shorter]) / (np.array(history)[prefix] + mass)
-            weight[own] = np.log10(p)
+                # Every history of k - 1 tokens is among the states made so far.
+                seen_before = np.concatenate(history)[self._prefix(grams, k)]
+                lower = 10.0 ** self.weight[self.arc[k - 2, first]]
+                self.weight[own] = np.log10((counts[k] + mass * lower) / (seen_before + mass))
             if k < order:
-                known = np.flatnonzero((counts[k] > 0) & ~is_end[first])
-                state[offset[k - 1] + known] = made + np.arange(len(known))
+                known = np.flatnonzero((counts[k] > 0) & ~grams.is_end[first])
+                self.target[offset[k - 1] + known] = made + np.arange(len(known))
                 made += len(known)
-                length += [k] * len(known)
-                history += counts[k][known].tolist()
-                fail += (np.zeros(len(known), np.int64) if k == 1 else state[shorter[known]]).tolist()
-        self.weight = weight
-        self.seen = seen
-        self.seen[offset[0] : offset[1]] = True  # the empty history has an arc for every token
+                length.append(np.full(len(known), k, np.int8))
+                history.append(counts[k][known])
+                fail.append(np.zeros(len(known), np.int32) if k == 1 else self.target[self.arc[k - 2, first[known]]])
         # An arc of the highest order leads to the state of its last order - 1 tokens.
-        if order > 1:
-            state[offset[order - 1] : offset[order]] = state[self.arc[order - 2, grams.first[order]]]
-        self.target = state
-        self.fail = np.array(fail, np.int64)
-        self.length = np.array(length, np.int64)
-        self.cost = np.log10(mass / (np.array(history, float) + mass))
+        self.target[offset[order - 1] : last] = self.target[self.arc[order - 2, grams.first[order]]]
+        self.length, self.fail = np.concatenate(length), np.concatenate(fail)
+        self.cost = np.log10(mass / (np.concatenate(history) + mass))
         self.cost[0] = 0.0
-        self.n, self.order = n, order
 
-    def _prefix(self, grams: Grams, k: int, state: np.ndarray, made: int) -> np.ndarray:
+    def _prefix(self, grams: Grams, k: int) -> np.ndarray:
         """State of the first k - 1 tokens of every distinct k-gram (0 where it was not seen)."""
         first = grams.first[k]
-        if k == 1:
-            return np.zeros(len(first), np.int64)
-        if k == 2:
-            begins = np.zeros(len(grams.tokens), bool)
-            begins[grams.begins] = True
-            return np.where(begins[first], 1, state[self.arc[0, first - 1]])
-        return state[self.arc[k - 2, first - 1]]
+        if k > 2:
+            return self.target[self.arc[k - 2, first - 1]]
+        begins = np.zeros(len(grams.is_end), bool)
+        begins[grams.begins] = True
+        return np.where(begins[first], 1, self.target[self.arc[0, first - 1]])
 
     def begin(self, at: np.ndarray, text_begin: np.ndarray) -> np.ndarray:
         """The state before the token ``at`` of a text that begins at ``text_begin``."""
@@ -250,12 +241,11 @@ def _requests(order: int, bits: int, ranges: int):
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         tokens, sizes = coded(pdf["text"].tolist())
-        grams = Grams(tokens, sizes, order, bits)
-        counts = grams.counts(np.repeat(pdf["train"].to_numpy(bool), sizes))
-        out = [
-            (key[0], k, r, _pack(grams.keys[k][a:b]), _pack_counts(counts[k][a:b]))
-            for k in grams.keys for r, a, b in _cut(grams.keys[k], _edges(ranges, 64 if k == 1 else bits))
-        ]
+        train, out = np.repeat(pdf["train"].to_numpy(bool), sizes), []
+        for k, keys, _, at in distinct_grams(tokens, sizes, order, bits):
+            counts = np.bincount(at[(at >= 0) & train], minlength=len(keys))
+            for r, a, b in _cut(keys, _edges(ranges, 64 if k == 1 else bits)):
+                out.append((key[0], k, r, _pack(keys[a:b]), _pack_counts(counts[a:b])))
         return pd.DataFrame(out, columns=["block", "kind", "range", "keys", "counts"])
 
     return run
@@ -313,7 +303,7 @@ def _scored(order: int, bits: int, starts: int, total: int, types: int, mass: fl
         tokens, sizes = coded(docs["text"].tolist())
         grams = Grams(tokens, sizes, order, bits)
         counts = {}
-        for k in grams.keys:
+        for k in grams.n:
             own = answers[answers["kind"] == k].sort_values("range")
             counts[k] = np.concatenate([np.empty(0, np.int64), *(_unpack_counts(x) for x in own["counts"])])
         known = counts[1][grams.at[1]]
