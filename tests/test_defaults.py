@@ -25,6 +25,7 @@ def test_defaults_and_all_tables(spark, sf, monkeypatch, module, name, queries):
         return {v: spark.range(1).selectExpr(f"'{v}' AS place") for v in queries.values()}
 
     monkeypatch.setattr(module, name, stand_in)
+    monkeypatch.setattr(modeling, "_DONE", {})
     for query, place in queries.items():
         assert load()[query].run(spark, sf).first()["place"] == str(place)
     for args, named in seen:

@@ -24,6 +24,7 @@ from tidymeter.functions import numeric as N
 from tidymeter.modeling import folds as K, scores as S, selection as Sel, targets as T
 from tidymeter.modeling.boosting import Fit, QuantisedTrees, TreeParams, quantised, run_fits
 from tidymeter.operators.combine import attach_structures
+from tidymeter.operators.similarity import leader_clusters
 from tidymeter.session import materialize
 
 
@@ -40,6 +41,7 @@ class TrainingParams:
     cv_repeats: int = 1
     log_dynamic_range: float = 1000.0
     cv_strategy: str = "both"
+    cluster_cutoff: float = 0.4
     min_reliable_samples: int = 50
     conformal: bool = False
     conformal_alpha: float = 0.2
@@ -223,6 +225,12 @@ def _kept(rows: DataFrame, keep: list[str]) -> list[str]:
     return [*keep, "y", *[c for c in FOLDS if c in rows.columns]]
 
 
+def cluster_folds(df: DataFrame, key: str, tokens: str, cutoff: float = 0.4, max_folds: int = 5) -> DataFrame:
+    """(key, cluster, fold): rows with near token sets share a cluster, and clusters are held out whole."""
+    labels = materialize(leader_clusters(df, key, tokens, cutoff), "clusters")
+    return K.group_folds(labels, "cluster", max_folds)
+
+
 def train_target(
     df: DataFrame,
     target: str,
@@ -232,10 +240,21 @@ def train_target(
     tp: TrainingParams | None = None,
     selection: Sel.SelectionParams | None = None,
     factory: ModelFactory | None = None,
+    tokens: str | None = None,
 ) -> tuple[object, DataFrame, DataFrame] | None:
-    """(model, one-row report, importances) of one target, or None with too few samples."""
+    """(model, one-row report, importances) of one target, or None with too few samples.
+
+    The strategy ``cluster`` holds out clusters of near ``tokens`` (a column of token
+    sets) among the target's rows instead of ``group``, beside the random folds.
+    """
     tp = tp or TrainingParams()
     factory = factory or boosted_trees(tp)
+    if tp.cv_strategy == "cluster":
+        if tokens is None:
+            raise ValueError("the cluster strategy needs a column of tokens")
+        own = df.where(F.col(f"`{target}`").isNotNull())
+        labels = materialize(leader_clusters(own, key, tokens, tp.cluster_cutoff), "clusters")
+        df, group = own.join(labels.withColumnRenamed("cluster", "_cluster"), key), "_cluster"
     keep = [key] + ([group] if group and group != key else [])
     prepared = _prepared(df, target, features, keep, tp)
     if prepared is None:
@@ -255,6 +274,7 @@ def train_target(
         F.lit(target).alias("target"), F.lit(kind).alias("transform"),
         F.lit(selection.method if selection else "none").alias("fs_method"),
         F.lit(len(names)).alias("n_features"), F.lit(tp.cv_strategy).alias("cv_strategy"),
+        F.lit("cluster" if tp.cv_strategy == "cluster" else "group").alias("cv_grouping"),
         F.lit(tp.cv_repeats).alias("cv_repeats"), *cv.columns,
         *[fit[c].alias(c) for c in ("train_r2", "train_rmse", "train_mae")],
     )
@@ -290,9 +310,10 @@ def train_targets(
     tp: TrainingParams | None = None,
     selection: Sel.SelectionParams | None = None,
     factory: ModelFactory | None = None,
+    tokens: str | None = None,
 ) -> tuple[DataFrame | None, DataFrame | None, dict]:
     """(report, importances, models) over all targets with enough samples, best first."""
-    results = side_by_side(lambda t: train_target(df, t, features, key, group, tp, selection, factory), targets)
+    results = side_by_side(lambda t: train_target(df, t, features, key, group, tp, selection, factory, tokens), targets)
     done = [(t, r) for t, r in zip(targets, results) if r is not None]
     if not done:
         return None, None, {}
