@@ -8,7 +8,7 @@ from tidymeter.catalog import inputs  # noqa: F401
 from tidymeter.catalog.base import duck, register, view
 from tidymeter.catalog.measurements import _RAW_WIDE, raw_long
 from tidymeter.operators import activity as A
-from tidymeter.plans.rebuild import activity_columns, rebuild_wide
+from tidymeter.plans.rebuild import activity_columns, merged_wide, rebuild_wide
 from tidymeter.session import materialize
 
 THRESHOLD = 0.8
@@ -112,6 +112,13 @@ def b05(spark, sf):
     return unpivot(A.activity_wide(targets(spark, sf)), ["CID"])
 
 
+@register("b05_open_wide", f"WITH {_chain()} SELECT * FROM ({_EIGHT}) WHERE value IS NOT NULL", "value")
+def b05_open(spark, sf):
+    rows = A.activity_open(targets(spark, sf)).select("CID", F.explode("values").alias("FeatureName", "v"))
+    stats = F.array(*[F.struct(F.lit(s).alias("stat"), F.col(f"v.{s}").cast("double").alias("value")) for s in A.STATISTICS])
+    return rows.select("CID", "FeatureName", F.inline(stats)).where("value IS NOT NULL")
+
+
 @register(
     "b06_qc_review",
     f"""WITH {_chain()} SELECT QCLevel, CID, FeatureName, FeatureName || '_Median' AS WideColumn, AssayID,
@@ -158,6 +165,20 @@ def j07(spark, sf):
     return unpivot(A.merge_activity(wide, activity), ["CID", "c_name"])
 
 
+@register(
+    "j07_merged_wide",
+    f"""WITH {_RAW_WIDE}, {_chain(threshold=2.0)}
+    SELECT i.CID, InChIKey, PubChemName, PubChem_URL, name, stat, value FROM ident i SEMI JOIN stats USING (CID)
+    JOIN (SELECT CID, base AS name, unnest(['Median', 'Count', 'IQR']) AS stat, unnest([med, n::DOUBLE, iqr]) AS value FROM stats
+      UNION ALL SELECT CID, FeatureName, stat, value FROM ({_EIGHT})) v USING (CID) WHERE value IS NOT NULL""",
+    "value",
+)
+def j07_merged(spark, sf):
+    ids = ["CID", "InChIKey", "PubChemName", "PubChem_URL"]
+    wide = merged_wide(raw_long(spark, sf), view(spark, sf, "activities"))
+    return unpivot(wide, ids).withColumnRenamed("FeatureName", "name")
+
+
 @register(
     "w05_rebuild_wide",
     f"""WITH {_RAW_WIDE}, {_chain(legacy=True, threshold=2.0)}

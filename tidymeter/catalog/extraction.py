@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidymeter import dictionaries as D
-from tidymeter.catalog.base import VIEWS, duck, literal, register, table, view
+from tidymeter.catalog.base import REGISTRY, VIEWS, duck, literal, register, table, view
+from tidymeter.catalog.measurements import CLEAN
 from tidymeter.operators import literature, logs as L, pages as P, payloads, sequences as S
+from tidymeter.plans.clean import clean
+from tidymeter.plans.payloads import measurements
 
 _DEC = "CAST(CAST({x} AS DECIMAL(18,{d})) AS STRING)"
 
@@ -395,6 +398,54 @@ def e13(spark, sf):
     return payloads.extract_json_sections(view(spark, sf, "section_payloads")).drop("section_no")
 
 
+_PAYLOAD_ROWS = f"""
+  (SELECT CAST(p_partkey AS VARCHAR) AS CID, 'K' || p_partkey AS InChIKey, p_name AS PubChemName, '' AS PubChem_URL, 'PubChem' AS Source,
+    '' AS Section, '' AS Subsection, "PropertyName", CASE WHEN "PropertyUnit" <> '' AND ends_with("PropertyValue", ' ' || "PropertyUnit")
+      THEN trim(left("PropertyValue", length("PropertyValue") - length("PropertyUnit") - 1)) ELSE "PropertyValue" END AS "PropertyValue",
+    "PropertyUnit", "Reference", '' AS Method, '' AS Comment, '' AS Condition, '' AS ReactionEquation, '' AS SourceURL
+  FROM (SELECT p_partkey AS k, * EXCLUDE (p_partkey) FROM ({REGISTRY["e13_extract_json_sections"].sql})) JOIN part ON p_partkey = k
+  UNION ALL SELECT CAST(page_id % 300 AS VARCHAR), coalesce('K' || p_partkey, ''), coalesce(p_name, ''), '', 'NIST', 'Phase', 'Phase data',
+    "PropertyName", "PropertyValue", "PropertyUnit", "Reference", "Method", '', "Condition", "ReactionEquation", 'http://p/' || r.page_id
+  FROM ({REGISTRY["e10_extract_html_tables"].sql}) r LEFT JOIN part ON p_partkey = r.page_id % 300)"""
+
+
+def payload_rows(spark, sf):
+    entities = table(spark, sf, "part").select(
+        F.col("p_partkey").cast("string").alias("CID"), F.concat(F.lit("K"), F.col("p_partkey").cast("string")).alias("InChIKey"),
+        F.col("p_name").alias("PubChemName"), F.lit("").alias("PubChem_URL"),
+    )
+    sections = view(spark, sf, "section_payloads").withColumn("CID", F.col("p_partkey").cast("string")).drop("p_partkey")
+    pages = view(spark, sf, "table_pages").select(
+        (F.col("page_id") % 300).cast("string").alias("CID"), F.concat(F.lit("http://p/"), F.col("page_id").cast("string")).alias("url"),
+        F.lit("Phase data").alias("title"), "html",
+    )
+    return measurements(entities, sections, pages)
+
+
+@register("e10_payload_measurements", f"SELECT * FROM {_PAYLOAD_ROWS}")
+def e10_measurements(spark, sf):
+    return payload_rows(spark, sf).drop("ordinal")
+
+
+@register(
+    "w06_payloads_to_wide",
+    f"""WITH {CLEAN.replace(duck('measurements'), '(SELECT 0 AS ordinal, * FROM ' + _PAYLOAD_ROWS + ')')}
+    SELECT CID, name, unnest(['Median', 'Count', 'IQR']) AS stat, unnest([median, n::DOUBLE, iqr]) AS value FROM (
+      SELECT CID, StandardPropertyName AS name, median(NumericValue) AS median, count(*) AS n,
+        quantile_cont(NumericValue, 0.75) - quantile_cont(NumericValue, 0.25) AS iqr FROM rows_ GROUP BY ALL)""",
+    "value",
+)
+def w06(spark, sf):
+    """Landed pages and payloads, through the cleaning job, to the wide table."""
+    wide = clean(payload_rows(spark, sf), min_coverage=0.0)["ml"]
+    columns = [F.col(f"`{c}`").cast("double").alias(c) for c in wide.columns if c != "CID"]
+    long = wide.select("CID", *columns).unpivot("CID", [f"`{c}`" for c in wide.columns if c != "CID"], "column", "value")
+    name = r"^(.*)_(Median|Count|IQR)$"
+    return long.where("value IS NOT NULL").select(
+        "CID", F.regexp_extract("column", name, 1).alias("name"), F.regexp_extract("column", name, 2).alias("stat"), "value"
+    )
+
+
 _DIV_SQL = """SELECT o_orderkey AS page_id, 'Priority' AS "PropertyName", o_orderpriority || ' & more' AS "PropertyValue",
   '' AS "PropertyUnit", 'r' || CAST(o_custkey AS VARCHAR) AS "Reference" FROM orders
   UNION ALL SELECT o_orderkey, 'Key', CAST(o_orderkey AS VARCHAR), '', '' FROM orders WHERE o_orderkey % 2 = 0"""

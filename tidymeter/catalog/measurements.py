@@ -656,6 +656,22 @@ def w01(spark, sf):
     return W.pivot_ml(clean_rows(raw), hot_rows=size_guard(raw, ["CID"]))
 
 
+def _listed(rows, keys):
+    """A map column as rows."""
+    return rows.select(*keys, F.explode("values").alias("name", "v")).select(*keys, "name", "v.*")
+
+
+@register(
+    "w01_open_ml",
+    f"""WITH {CLEAN} SELECT CID, StandardPropertyName AS name, median(NumericValue) AS "Median", count(*) AS "Count",
+      quantile_cont(NumericValue, 0.75) - quantile_cont(NumericValue, 0.25) AS "IQR" FROM rows_ GROUP BY ALL""",
+    "Median,IQR",
+)
+def w01_open(spark, sf):
+    raw = view(spark, sf, "measurements")
+    return _listed(W.open_ml(clean_rows(raw), hot_rows=size_guard(raw, ["CID"])), ["CID"])
+
+
 _RAW_WIDE = f"""
   src AS (SELECT *, PropertyName || CASE WHEN coalesce(PropertyUnit, '') <> '' THEN ' (' || PropertyUnit || ')' ELSE '' END AS base,
     TRY_CAST(nullif(regexp_extract(CASE WHEN coalesce(PropertyValue, '') <> '' AND coalesce(PropertyUnit, '') <> ''
@@ -711,6 +727,17 @@ def w02(spark, sf):
     )
 
 
+@register(
+    "w02_open_raw",
+    f"""WITH {_RAW_WIDE} SELECT CID, InChIKey, PubChemName, PubChem_URL, base AS name, med AS "Median", n AS "Count", iqr AS "IQR"
+      FROM stats JOIN ident i USING (CID)""",
+    "Median,IQR",
+)
+def w02_open(spark, sf):
+    long = raw_long(spark, sf)
+    return _listed(W.open_raw(long, hot_rows=size_guard(long, ["CID"])), D.IDENTITY_COLUMNS)
+
+
 @register(
     "w03_iqr_halves",
     """SELECT l_suppkey, l_returnflag, len(l) AS n, list_aggregate(l, 'median') AS median,

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from tidymeter.functions import numeric as N, text as X
 from tidymeter.operators import ranks
 from tidymeter.operators.cleaning import drop_censored
-from tidymeter.operators.wide import column_names, halves_stats, spread
+from tidymeter.operators.wide import column_names, halves_stats, open_rows, spread
 from tidymeter.session import materialize
 
 STATISTICS = ["Median", "Count", "IQR", "RelativeIQR", "Min", "Max", "FoldRange", "AssayCount"]
@@ -109,6 +109,11 @@ def activity_wide(targets: DataFrame) -> DataFrame:
     return spread(rows, ["CID"], "FeatureName", names, STATISTICS)
 
 
+def activity_open(targets: DataFrame) -> DataFrame:
+    """``activity_wide`` with one map per entity, for any number of features: feature -> the eight statistics."""
+    return open_rows(activity_long(targets), ["CID"], "FeatureName", STATISTICS)
+
+
 def _review(rejected: DataFrame, level: str) -> DataFrame:
     assay = F.col("AssayID") if "AssayID" in rejected.columns else F.lit("")
     return rejected.select(

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidymeter import dictionaries as D
 from tidymeter.functions import text as X, units as U
 from tidymeter.operators import ranks
+from tidymeter.session import materialize
 
 CONTENT_COLUMNS = [
     "PropertyName", "PropertyValue", "Reference", "Method", "Comment", "Condition",
@@ -245,12 +246,17 @@ def cleaning_report(
     top: int = 50,
     rare_sample: int = 20,
 ) -> DataFrame:
-    """Before/after funnel as a tidy (section, metric, value) table."""
+    """Before/after funnel as a tidy (section, metric, value) table.
+
+    ``clean`` is read once: its rows are counted per entity and property, and all
+    figures come from that table.
+    """
     before = raw.agg(
         F.count(F.lit(1)).alias("rows"), F.countDistinct(raw_prop).alias("properties")
     )
-    after = clean.agg(
-        F.count(F.lit(1)).alias("rows"),
+    counted = materialize(clean.groupBy(entity, prop).agg(F.count(F.lit(1)).alias("_n")), "report-counts")
+    after = counted.agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"),
         F.countDistinct(entity).alias("entities"),
         F.countDistinct(prop).alias("properties"),
     )
@@ -287,16 +293,16 @@ def cleaning_report(
         .select(F.lit("funnel").alias("section"), "metric", "value")
     )
     frequent = (
-        clean.where(F.col(prop).isNotNull())
+        counted.where(F.col(prop).isNotNull())
         .groupBy(F.col(prop).alias("metric"))
-        .agg(F.count(F.lit(1)).cast("double").alias("value"))
+        .agg(F.sum("_n").cast("double").alias("value"))
         .orderBy(F.desc("value"), "metric")
         .limit(top)
         .select(F.lit("top_properties").alias("section"), "metric", "value")
     )
-    rare = rare_properties(clean, max_rare_fraction, entity, prop)
+    rare = materialize(rare_properties(counted, max_rare_fraction, entity, prop), "report-rare")
     rare_count = rows_of(rare.agg(F.count(F.lit(1)).alias("n")), {"rare_properties": F.col("n")})
-    sample = rare.limit(rare_sample).select(
+    sample = rare.orderBy("FractionOfCompounds", prop).limit(rare_sample).select(
         F.lit("rare_sample").alias("section"),
         F.col(prop).alias("metric"),
         F.col("CompoundCount").cast("double").alias("value"),

@@ -125,25 +125,26 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
 def histogram(df: DataFrame, col: str, bins: int = 24) -> DataFrame:
     """Equal-width bins over [min, max] with their counts; empty bins are listed."""
     values = df.select(_number(col).alias("v")).where("v is not null")
+    flat = F.col("lo") == F.col("hi")
     ends = values.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).select(
-        F.when(F.col("lo") == F.col("hi"), F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
-        F.when(F.col("lo") == F.col("hi"), F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"),
-    )
-    lo, hi = ends.select("lo").scalar(), ends.select("hi").scalar()
-    place = F.floor((F.col("v") - lo) * F.lit(float(bins)) / (hi - lo))
+        F.struct(
+            F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
+            F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"),
+        )
+    ).scalar()
+    place = F.floor((F.col("v") - ends["lo"]) * F.lit(float(bins)) / (ends["hi"] - ends["lo"]))
     counts = (
         values.select(F.least(place, F.lit(bins - 1)).cast("int").alias("bin"))
         .groupBy("bin")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    width = (F.col("hi") - F.col("lo")) / bins
-    frame = ends.where("lo is not null").select(
-        F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"), "lo", width.alias("width")
-    )
-    return frame.join(counts, "bin", "left").select(
+    # The frame takes its ends from the same scalar, so the column is read for the ends and for the counts only.
+    frame = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"), ends.alias("e"))
+    width = (F.col("e.hi") - F.col("e.lo")) / bins
+    return frame.where("e.lo is not null").join(counts, "bin", "left").select(
         "bin",
-        (F.col("lo") + F.col("bin") * F.col("width")).alias("low"),
-        (F.col("lo") + (F.col("bin") + 1) * F.col("width")).alias("high"),
+        (F.col("e.lo") + F.col("bin") * width).alias("low"),
+        (F.col("e.lo") + (F.col("bin") + 1) * width).alias("high"),
         F.coalesce("n", F.lit(0)).alias("count"),
     )
 

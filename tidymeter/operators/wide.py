@@ -45,6 +45,40 @@ def _select(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in names])
 
 
+def open_rows(df: DataFrame, keys: list[str], label: str, stats: list[str], out: str = "values") -> DataFrame:
+    """One row per ``keys`` with a map from label to its statistics, for label sets of any size.
+
+    The form beside the pivots: nothing is counted, collected or refused, and a
+    reader or a later write picks the columns it wants from the map.
+    """
+    entry = F.struct(F.col(label), F.struct(*stats))
+    return df.where(F.col(label).isNotNull()).groupBy(*keys).agg(F.map_from_entries(F.collect_list(entry)).alias(out))
+
+
+def settled(df: DataFrame, names: list[str], stats: list[str], values: str = "values") -> DataFrame:
+    """The columns ``name_stat`` of some labels out of ``open_rows``, in the order given."""
+    picked = [F.col(values)[n][s].alias(f"{n}_{s}") for n in names for s in stats]
+    return df.select(*[c for c in df.columns if c != values], *picked)
+
+
+ML_STATS = ["Median", "Count", "IQR"]
+
+
+def _ml_stats(df: DataFrame, entity: str, prop: str, value: str, hot_rows: int | None) -> DataFrame:
+    """Median, Count and interpolated IQR per entity and property."""
+    ranked = {"Median": ranks.median_rank, "_q1": ranks.quantile_rank(0.25), "_q3": ranks.quantile_rank(0.75)}
+    stats = ranks.order_stats(df, [entity, prop], value, ranked, hot_rows=hot_rows)
+    return stats.select(entity, prop, "Median", F.col("n").alias("Count"), (F.col("_q3") - F.col("_q1")).alias("IQR"))
+
+
+def open_ml(
+    df: DataFrame, entity: str = "CID", prop: str = "StandardPropertyName", value: str = "NumericValue",
+    hot_rows: int | None = ranks.HOT_ROWS,
+) -> DataFrame:
+    """``pivot_ml`` as one map per entity: property -> Median, Count, IQR."""
+    return open_rows(_ml_stats(df, entity, prop, value, hot_rows), [entity], prop, ML_STATS)
+
+
 def pivot_ml(
     df: DataFrame,
     include: list[str] | None = None,
@@ -59,26 +93,13 @@ def pivot_ml(
     pivot both read them.
     """
     work = df if include is None else df.where(F.col(prop).isin(include))
-    stats = ranks.order_stats(
-        work,
-        [entity, prop],
-        value,
-        {
-            "Median": ranks.median_rank,
-            "_q1": ranks.quantile_rank(0.25),
-            "_q3": ranks.quantile_rank(0.75),
-        },
-        hot_rows=hot_rows,
-    ).select(
-        entity, prop, "Median", F.col("n").alias("Count"),
-        (F.col("_q3") - F.col("_q1")).alias("IQR"),
-    )
+    stats = _ml_stats(work, entity, prop, value, hot_rows)
     stats = materialize(stats, "property-stats")
     names = preferred_order(column_names(stats, prop))
     if not names:
         return stats.select(entity).where(F.lit(False))
-    wide = spread(stats, [entity], prop, names, ["Median", "Count", "IQR"])
-    return _select(wide, [entity] + [f"{p}_{s}" for p in names for s in ("Median", "Count", "IQR")])
+    wide = spread(stats, [entity], prop, names, ML_STATS)
+    return _select(wide, [entity] + [f"{p}_{s}" for p in names for s in ML_STATS])
 
 
 def iqr_of_halves(lower: Column, upper: Column) -> Column:
@@ -126,18 +147,10 @@ def raw_values(df: DataFrame) -> DataFrame:
     return df.withColumns({"column_base": base, "number": X.extract_numeric(value, coerce=True)})
 
 
-def pivot_raw(
-    df: DataFrame, ordinal: str = "ordinal", hot_rows: int | None = ranks.HOT_ROWS
-) -> DataFrame:
-    """Wide table straight from raw long rows.
-
-    Identity fields take the first non-empty text of an entity, also from rows
-    without a number; entities without any number are absent.
-    """
-    rows = raw_values(df)
-    numeric = rows.where(F.col("number").isNotNull())
+def _identity(rows: DataFrame, ordinal: str) -> DataFrame:
+    """First non-empty text of every identity field, also from rows without a number."""
     fields = [c for c in D.IDENTITY_COLUMNS if c != "CID"]
-    identity = rows.groupBy("CID").agg(
+    return rows.groupBy("CID").agg(
         *[
             F.coalesce(
                 F.min_by(c, F.when(F.col(c) != "", F.col(ordinal))), F.lit("")
@@ -145,19 +158,44 @@ def pivot_raw(
             for c in fields
         ]
     )
-    stats = halves_stats(
+
+
+def _raw_stats(rows: DataFrame, ordinal: str, hot_rows: int | None) -> DataFrame:
+    numeric = rows.where(F.col("number").isNotNull())
+    return halves_stats(
         numeric, ["CID", "column_base"], "number", hot_rows, extra={"first": F.min(ordinal)}
     ).select(
         "CID", "column_base", F.col("median").alias("Median"), F.col("n").alias("Count"),
         F.col("iqr").alias("IQR"), "first",
     )
-    stats = materialize(stats, "raw-stats")
+
+
+def open_raw(
+    df: DataFrame, ordinal: str = "ordinal", hot_rows: int | None = ranks.HOT_ROWS
+) -> DataFrame:
+    """``pivot_raw`` with one map per entity: column base -> Median, Count, IQR."""
+    rows = raw_values(df)
+    values = open_rows(_raw_stats(rows, ordinal, hot_rows), ["CID"], "column_base", ML_STATS)
+    return _identity(rows, ordinal).join(values, "CID").select(*D.IDENTITY_COLUMNS, "values")
+
+
+def pivot_raw(
+    df: DataFrame, ordinal: str = "ordinal", hot_rows: int | None = ranks.HOT_ROWS
+) -> DataFrame:
+    """Wide table straight from raw long rows.
+
+    Identity fields take the first non-empty text of an entity, also from rows
+    without a number; entities without any number are absent.
+    """
+    rows = raw_values(df)
+    identity = _identity(rows, ordinal)
+    stats = materialize(_raw_stats(rows, ordinal, hot_rows), "raw-stats")
     names = column_names(stats, "column_base", "first")
     if not names:
         return identity.where(F.lit(False))
-    wide = spread(stats, ["CID"], "column_base", names, ["Median", "Count", "IQR"])
+    wide = spread(stats, ["CID"], "column_base", names, ML_STATS)
     joined = identity.join(wide, "CID", "inner")
-    tail = [f"{p}_{s}" for p in names for s in ("Median", "Count", "IQR")]
+    tail = [f"{p}_{s}" for p in names for s in ML_STATS]
     return _select(joined, D.IDENTITY_COLUMNS + tail)
 
 
