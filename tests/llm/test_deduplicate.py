@@ -26,3 +26,11 @@ def test_ids_do_not_decide_alone(spark, rows, kept):
     got = [(r["doc_id"], r["text"]) for r in ngram_join.deduplicate(df).collect()]
     assert set(got) == kept
     assert len(got) == len(kept) + sum(r == (4, None) for r in rows) // 2
+
+
+def test_columns_with_the_names_of_the_joins(spark):
+    rows = [(i, t, "d", 2 * i, "k", "x", i) for i, t in enumerate((A, A + " more", B, B))]
+    df = spark.createDataFrame(rows + rows[:1], "doc_id long, text string, _digest string, _key_id long, key string, row string, id long")
+    got = ngram_join.deduplicate(df)
+    assert got.columns == df.columns
+    assert sorted(map(tuple, got.collect())) == [rows[0], rows[2]]

@@ -250,16 +250,105 @@ def test_toxicity_accuracy(spark):
     assert sum(a == b for a, b in got) >= 0.97 * len(got)
 
 
+def four_grams(text):
+    w = WORD.findall(lower(text or ""))
+    return {tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} if w else set()
+
+
+def one_of_each(kept):
+    """The documents that stay: the least id of every component of texts with 85 percent of their 4-grams in common."""
+    sets = {i: four_grams(t) for i, t in kept.items()}
+    parent = {i: i for i in sets}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if i < j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    return {i: t for i, t in kept.items() if find(i) == i}
+
+
+BENCH_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def uncontaminated(kept, items):
+    """Texts below the coverage limit, without the stretches of their hit words."""
+    windows = set()
+    for text in items:
+        w = BENCH_WORD.findall(lower(text or ""))
+        windows |= {tuple(w[i : i + 13]) for i in range(max(1, len(w) - 12))} if w else set()
+    out = {}
+    for i, text in kept.items():
+        found = list(BENCH_WORD.finditer(lower(text or "")))
+        words = [m[0] for m in found]
+        hit = set()
+        for n in {len(x) for x in windows}:
+            for k in range(len(words) - n + 1):
+                if tuple(words[k : k + n]) in windows:
+                    hit |= set(range(k, k + n))
+        if hit and 20 * len(hit) >= len(words):
+            continue
+        parts, last = [], 0
+        for k in sorted(hit):
+            if k - 1 not in hit:
+                parts.append(text[last : found[k].start()])
+            if k + 1 not in hit:
+                last = found[k].end()
+        out[i] = "".join(parts) + (text or "")[last:] if text is not None else None
+    return out
+
+
 def test_pipeline_by_brute_force(spark, sf, docs):
-    """Kept documents of the first stages, and no secret or long benchmark passage in the packed ones."""
+    """Each stage on all its predecessor kept: near copies and contamination by brute force, secrets gone, pieces whole."""
     stage = spark.read.parquet(f"{sf}/documents.parquet")
-    columns = stage.columns
+    columns, kept, before = stage.columns, dict(docs), None
+    items = [t for t, in duckdb.sql(f"SELECT text FROM '{sf}/benchmark.parquet'").fetchall()]
+    judged = {r["doc_id"]: r["kept"] for r in rows(spark, sf, "op2_line_rules")}
     for name, fn in corpus_pipeline.STAGES[:-1]:
         stage = fn(spark, stage, sf)
         assert stage.columns == columns, name
         stage = spark.createDataFrame(stage.collect(), stage.schema)
-    kept = {r["doc_id"]: r["text"] for r in stage.collect()}
-    assert kept and set(kept) <= set(docs)
-    assert not any(base_spans(t) for t in kept.values())
-    packed = corpus_pipeline.STAGES[-1][1](spark, stage, sf)
-    assert {r["doc_id"] for r in packed.select("doc_id").collect()} == set(kept)
+        before, kept = kept, {r["doc_id"]: r["text"] for r in stage.collect()}
+        assert stage.count() == len(kept)
+        if name == "quality_rules":
+            assert set(kept) == {i for i, good in judged.items() if good}
+        elif name == "near_duplicates":
+            assert kept == one_of_each(before)
+        elif name == "benchmark_decontamination":
+            assert kept == uncontaminated(before, items)
+        else:
+            assert set(kept) == set(before) and not any(base_spans(t) for t in kept.values())
+    packed = corpus_pipeline.STAGES[-1][1](spark, stage, sf).collect()
+    assert {r["doc_id"] for r in packed} == set(kept)
+    places = collections.defaultdict(list)
+    for r in packed:
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+    for own in places.values():
+        assert [a for a, _ in sorted(own)] == np.cumsum([0, *(n for _, n in sorted(own))])[:-1].tolist()
+        assert sum(n for _, n in own) <= 1024
+
+
+def test_encoder_equals_the_tokenizer_widely():
+    """All white space and control characters between letters and digits, every block of Unicode, and random mixtures."""
+    import unicodedata
+
+    from tokenizers import Tokenizer
+
+    from tidymeter.llm.packing import Encoder, public_vocabulary
+
+    v = public_vocabulary()
+    coder, own = Encoder(v.vocabulary, v.ranks, v.pattern), Tokenizer.from_file(v.vocabulary)
+    odd = [chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) in ("Zs", "Zl", "Zp", "Cc", "Cf")]
+    rng = np.random.default_rng(11)
+    texts = [f"a{c}b {c}{c} 1{c}\n{c} x{c}" for c in odd]
+    texts += ["".join(map(chr, range(c, c + 64))) for c in range(0, 0x30000, 64) if not 0xD800 <= c < 0xE000]
+    pool = [*odd[:90], *"abcXYZ019'’.,;!?-_/\\\"(){}<|>", "'s", "'ll", "don't", "é", "ß", "字", "ключ", "\U0001f600", "́", " ", "\n", "\t"]
+    texts += ["".join(rng.choice(pool, rng.integers(1, 60))) for _ in range(4000)]
+    for text in texts:
+        want = own.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(coder.encode(text), "<u4").tolist() == want, repr(text)
