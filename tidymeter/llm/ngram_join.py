@@ -450,19 +450,25 @@ def deduplicate(
     keyed = df.select(key, F.col(f"`{text_col}`").alias("text"))
     linked = materialize(link(keyed, "key", "text", words, percent), "linked")
     first = F.col("key").eqNullSafe(F.col("component_id"))
-    kept = df.join(_keys(linked.filter(~first)), _same(own_id, digest), "left_anti")
+    # The input row rides in a struct, so that its columns cannot clash with those of the joins.
+    whole = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), own_id.alias("id"), digest.alias("digest"))
+    kept = _lacking(whole, linked.filter(~first))
     repeated = linked.filter("n_shingles > 0").filter(first).groupBy("key").count().filter("count > 1")
-    if repeated.isEmpty():
-        return kept
-    single = kept.join(_keys(repeated), _same(own_id, digest), "left_anti")
-    several = df.join(_keys(repeated), _same(own_id, digest), "left_semi")
-    once = several.withColumn("_digest", digest).dropDuplicates([id_col, "_digest"]).drop("_digest")
-    return single.unionByName(once)
+    if not repeated.isEmpty():
+        keys = _keys(repeated)
+        once = whole.join(keys, _same(whole, keys), "left_semi").dropDuplicates(["id", "digest"])
+        kept = _lacking(kept, repeated).unionByName(once)
+    return kept.select(*[F.col("row")[c].alias(c) for c in df.columns])
 
 
 def _keys(linked: DataFrame) -> DataFrame:
-    return linked.select(F.col("key.id").alias("_key_id"), F.col("key.digest").alias("_key_digest")).distinct()
+    return linked.select(F.col("key.id").alias("key_id"), F.col("key.digest").alias("key_digest")).distinct()
 
 
-def _same(own_id, digest):
-    return own_id.eqNullSafe(F.col("_key_id")) & (digest == F.col("_key_digest"))
+def _same(whole: DataFrame, keys: DataFrame):
+    return whole["id"].eqNullSafe(keys["key_id"]) & (whole["digest"] == keys["key_digest"])
+
+
+def _lacking(whole: DataFrame, linked: DataFrame) -> DataFrame:
+    keys = _keys(linked)
+    return whole.join(keys, _same(whole, keys), "left_anti")
