@@ -279,3 +279,29 @@ def test_div_rows(spark, page, expected):
     assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
     rows = sorted(tuple(r) for r in got.select("PropertyName", "PropertyValue", "Reference").collect())
     assert rows == sorted(expected * 2)
+
+
+BASES = ["http://h.org/a/b/c.cgi?x=1", "https://h.org", "http://h.org/d/"]
+ADDRESSES = ["", "x", "x/y?q=1#f", "./x", "../x", "../../../x", "a/../b/./c", "/r", "/r/../s", "//o.org/p", "?q=2", "#top", "http://z.org/a/../b", "mailto:a@b.c", "..", ".", "x/.."]
+
+
+def test_addresses_as_seen_from_a_page(spark):
+    from urllib.parse import urljoin
+
+    df = spark.createDataFrame([(a,) for a in ADDRESSES], "a string")
+    for base in BASES:
+        got = {r["a"]: r["u"] for r in df.select("a", X.join_url(base, "a").alias("u")).collect()}
+        assert got == {a: urljoin(base, a) for a in ADDRESSES}
+
+
+def test_links_of_odd_markup(spark):
+    page = (
+        "<!-- <a href='/th-comment'>th</a> --><a name=x>th</a><A class=b HREF = '/th/1?a=1&amp;b=2'> <b>Thermo</b> &lt;data&gt;"
+        "</a><script>'<a href=\"/th/s\">th</a>'</script><a href=/th/2>th<a href=\"/th/3\"></a><a href='/th/1?a=1&amp;b=2'>again th</a>"
+    )
+    df = spark.createDataFrame([(1, page), (2, None), (3, "<a href='/th/4'>open th")], "page_id int, html string")
+    found = P.extract_links(df, "http://h.org/x", mask="/th", topics=["th"])
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [
+        (1, "Thermo <data>", "http://h.org/th/1?a=1&b=2"), (1, "th", "http://h.org/th/2"), (3, "open th", "http://h.org/th/4"),
+    ]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 from html.entities import name2codepoint
+from urllib.parse import urlsplit
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -20,6 +21,9 @@ SPACES = (
 )
 
 
+DICTIONARY_ROWS = 10_000
+
+
 def as_col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -31,10 +35,7 @@ def lookup(mapping: dict, key: Column) -> Column:
 
 
 def dictionary(spark, rows: dict, columns: str) -> DataFrame:
-    """A constant dictionary as an inline table, marked for broadcast.
-
-    Only for fixed vocabularies: their size does not depend on any data.
-    """
+    """A constant dictionary as an inline table, marked for broadcast up to ``DICTIONARY_ROWS`` rows."""
     def literal(x) -> str:
         if isinstance(x, str):
             return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
@@ -44,7 +45,8 @@ def dictionary(spark, rows: dict, columns: str) -> DataFrame:
     for pair in rows.items():
         flat = [y for x in pair for y in (x if isinstance(x, tuple) else (x,))]
         lines.append("(" + ", ".join(literal(x) for x in flat) + ")")
-    return F.broadcast(spark.sql(f"SELECT * FROM VALUES {', '.join(lines)} AS t({columns})"))
+    table = spark.sql(f"SELECT * FROM VALUES {', '.join(lines)} AS t({columns})")
+    return F.broadcast(table) if len(lines) <= DICTIONARY_ROWS else table
 
 
 def strip(c) -> Column:
@@ -81,6 +83,38 @@ def unescape(c) -> Column:
     return F.when(F.contains(text, F.lit("&")), joined).otherwise(text)
 
 
+def without_dots(path: Column) -> Column:
+    """A path with its '.' and '..' segments resolved."""
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+
+    def step(out: Column, part: Column) -> Column:
+        up = F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(1)))
+        return F.when(part == "..", up).when(part == ".", out).otherwise(F.concat(out, F.array(part)))
+
+    joined = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+    closed = F.when(last.isin(".", "..") & ~F.endswith(joined, F.lit("/")), F.concat(joined, F.lit("/"))).otherwise(joined)
+    return F.when(path.rlike(r"(?:^|/)\.{1,2}(?:/|$)"), closed).otherwise(path)
+
+
+def join_url(base: str, href) -> Column:
+    """An address as seen from a page at ``base``."""
+    to, own = as_col(href), urlsplit(base)
+    origin, folder = f"{own.scheme}://{own.netloc}", own.path.rsplit("/", 1)[0] + "/" if "/" in own.path else "/"
+    here = origin + own.path
+    path = F.regexp_extract(to, r"^([^?#]*)", 1)
+    rest = F.substring(to, F.length(path) + 1, F.length(to))
+    return (
+        F.when(to == "", F.lit(base))
+        .when(to.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), to)
+        .when(F.startswith(to, F.lit("//")), F.concat(F.lit(f"{own.scheme}:"), to))
+        .when(F.startswith(to, F.lit("/")), F.concat(F.lit(origin), without_dots(path), rest))
+        .when(F.startswith(to, F.lit("?")), F.concat(F.lit(here), to))
+        .when(F.startswith(to, F.lit("#")), F.concat(F.lit(base.split("#")[0]), to))
+        .otherwise(F.concat(F.lit(origin), without_dots(F.concat(F.lit(folder), path)), rest))
+    )
+
+
 def slugify(c) -> Column:
     """File-safe label: '/', ':' and blanks become '_', square brackets go."""
     return F.translate(as_col(c), "/: []", "___")

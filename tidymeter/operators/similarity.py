@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidymeter.functions.text import as_col
-from tidymeter.session import cut_lineage, materialize
+from tidymeter.session import discard, materialize
 
 # Rows of one inverted list that are paired inside one task.
 BLOCK_ROWS = 2_000
@@ -229,7 +229,7 @@ def leader_sets(sets: DataFrame, edges: DataFrame) -> DataFrame:
 
     The greedy order has a parallel form: in every round each undecided set that
     precedes all its undecided neighbours leads, and its neighbours are taken.
-    Every round is checkpointed. A taken set joins its first leader.
+    Every round is written, and what it supersedes is deleted. A taken set joins its first leader.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     weights = sets.select("set_id", "members")
@@ -239,30 +239,34 @@ def leader_sets(sets: DataFrame, edges: DataFrame) -> DataFrame:
         .agg(F.sum("members").alias("near"))
     )
     rank = F.struct((-(F.col("members") - 1 + F.coalesce("near", F.lit(0)))).alias("size"), F.col("set_id"))
-    nodes = cut_lineage(
-        weights.join(counted, F.col("set_id") == F.col("a"), "left").select("set_id", rank.alias("rank"))
+    nodes = materialize(
+        weights.join(counted, F.col("set_id") == F.col("a"), "left").select("set_id", rank.alias("rank")), "leader-nodes"
     )
-    graph = cut_lineage(
+    graph = materialize(
         both.join(nodes.select(F.col("set_id").alias("a"), F.col("rank").alias("rank_a")), "a")
-        .join(nodes.select(F.col("set_id").alias("b"), F.col("rank").alias("rank_b")), "b")
+        .join(nodes.select(F.col("set_id").alias("b"), F.col("rank").alias("rank_b")), "b"),
+        "leader-graph",
     )
     leads: list[DataFrame] = []
     open_nodes, open_graph = nodes, graph
     while not open_nodes.isEmpty():
         preceded = open_graph.where(F.col("rank_b") < F.col("rank_a")).select(F.col("a").alias("set_id"))
-        leaders = cut_lineage(open_nodes.join(preceded.distinct(), "set_id", "left_anti"))
+        leaders = materialize(open_nodes.join(preceded.distinct(), "set_id", "left_anti"), "leaders")
         leads.append(leaders)
         taken = open_graph.join(leaders.select(F.col("set_id").alias("b")), "b", "left_semi").select(
             F.col("a").alias("set_id")
         )
         closed = taken.union(leaders.select("set_id")).distinct()
-        open_nodes = cut_lineage(open_nodes.join(closed, "set_id", "left_anti"))
+        before, open_nodes = (open_nodes, open_graph), materialize(open_nodes.join(closed, "set_id", "left_anti"), "leader-nodes")
         still = open_nodes.select("set_id")
-        open_graph = cut_lineage(
+        open_graph = materialize(
             open_graph.join(still.withColumnRenamed("set_id", "a"), "a", "left_semi").join(
                 still.withColumnRenamed("set_id", "b"), "b", "left_semi"
-            )
+            ),
+            "leader-graph",
         )
+        if before[0] is not nodes:
+            discard(*before)
     if not leads:
         return nodes.select("set_id", F.col("set_id").alias("leader"))
     chosen = reduce(lambda x, y: x.union(y), leads).select("set_id")
