@@ -35,8 +35,8 @@ their own; other columns are not read. Rows of one id and one text are dealt to
 block.
 
 Tokens are told apart by 64-bit hashes, longer n-grams by hashes of ``SPARE_BITS``
-more bits than the number of tokens has, so that a chance of about one in a million
-remains that an n-gram passes for another one.
+more bits than the number of tokens has (``LEAST_BITS`` at least), so that a chance of
+about one in 65 000 remains that an n-gram passes for another one.
 """
 
 from __future__ import annotations
@@ -50,10 +50,10 @@ from tidymeter.session import discard, materialize
 
 ORDER = 3
 MASS = 2.0
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 RANGE_KEYS = 2_000_000
 FAN = 8192
-SPARE_BITS = 20
+LEAST_BITS, SPARE_BITS = 44, 16
 STRETCH = 256
 END = np.uint64(0x5E0D_0000_0000_0001)  # stands for the end; no word's text can name it
 START = np.uint64(0x5E0D_0000_0000_0002)
@@ -341,8 +341,8 @@ def score(
     ).first()
     size, starts = size or 0, starts or 0
     blocks = max(1, size // block_bytes)
-    # A token takes two bytes or more, and most take some six.
-    bits = min(64, max(1, size // 2).bit_length() + SPARE_BITS)
+    # A token with its blank takes some six bytes.
+    bits = min(64, max(LEAST_BITS, (size // 6).bit_length() + SPARE_BITS))
     ranges = max(1, order * size // 6 // range_keys)
     dealt = slim.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
     coarse = ranges if ranges <= fan else max(1, round(ranges**0.5))
