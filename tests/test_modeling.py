@@ -134,3 +134,66 @@ def test_many_correlations_go_through_the_matrix(spark, monkeypatch):
     assert got["a", "b"] == pytest.approx(np.corrcoef(x[:, 0], x[:, 1])[0, 1])
     assert got["a", "const"] is None and got["const", "gappy"] is None and len(got) == 10
     assert Sel.correlation_filter(df, ["a", "b", "c", "const"], 0.95) == ["a", "b", "const"]
+
+
+def test_quantised_trees_learn_and_predict(spark):
+    """One tree against splits found by trying all thresholds; many trees against unseen rows; equal runs."""
+    from tidymeter.modeling import boosting as B
+
+    rng = np.random.default_rng(9)
+    x = rng.integers(0, 12, (300, 3)).astype(float)
+    y = np.where(x[:, 1] > 4, 3.0, 0.0) + np.where(x[:, 0] > 7, 1.0, 0.0) + rng.normal(scale=0.01, size=300)
+    table = B.Quantised(x, y, {"f": np.arange(300) % 3})
+    one = B.TreeParams(n_estimators=1, max_depth=1, learning_rate=1.0, subsample=1.0, colsample_bytree=1.0)
+    _, predicted, model = table.boost(B.Fit("one", one))
+    rest = y - y.mean()
+
+    def gain(j, c):
+        left, right = rest[x[:, j] <= c], rest[x[:, j] > c]
+        if not len(left) or not len(right):
+            return -1.0
+        return sum(p.sum() ** 2 / (len(p) + B.RIDGE) for p in (left, right)) - rest.sum() ** 2 / (len(rest) + B.RIDGE)
+
+    best = max(((j, c) for j in range(3) for c in range(12)), key=lambda s: gain(*s))
+    assert (model.feature[0, 0], model.cut[0, 0]) == best
+    for side in (x[:, best[0]] <= best[1], x[:, best[0]] > best[1]):
+        want = y.mean() + rest[side].sum() / (side.sum() + B.RIDGE)
+        assert np.allclose(predicted[side], want) and np.allclose(model.predict(x[side]), want)
+    many = B.TreeParams(n_estimators=80, max_depth=3, learning_rate=0.2)
+    at, unseen, _ = table.boost(B.Fit("cv", many, "f", 1))
+    assert list(at) == [i for i in range(300) if i % 3 == 1] and np.corrcoef(unseen, y[at])[0, 1] > 0.98
+    assert np.array_equal(unseen, table.boost(B.Fit("cv", many, "f", 1))[1])
+    whole = table.boost(B.Fit("w", many))
+    assert np.allclose(B.Trees.load(whole[2].dump()).predict(x), whole[1])
+    assert np.allclose(B.Quantised(x[:0], y[:0], {}).boost(B.Fit("none", many))[1], [])
+
+
+def test_large_targets_are_trained_by_rows(spark, monkeypatch):
+    """Beyond the bound every fit is MLlib's, over all rows, with the same folds."""
+    from tidymeter.modeling import boosting as B
+
+    df = data(spark, 60, 6)
+    factory = M.boosted_trees(M.TrainingParams(n_estimators=3, max_depth=2))
+    near = M.evaluate(df, factory, "id", "g", max_folds=2).first()
+    monkeypatch.setattr(B, "MAX_CELLS", 10)
+    far = M.evaluate(df, factory, "id", "g", max_folds=2).first()
+    assert type(factory().fit(df)).__name__ == "GBTRegressionModel"
+    assert all(near[c] == far[c] for c in ("n_samples", "n_groups", "cv_folds", "cv_method", "reliable"))
+    assert near["cv_r2_grouped"] is not None and far["cv_r2_grouped"] is not None
+
+
+def test_cluster_strategy(spark):
+    from tidymeter.modeling.training import cluster_folds
+
+    rows = [(str(i), [f"t{i % 5}_{k}" for k in range(9)] + [f"own{i}"], float(i % 5), float(i % 5) * 2 + i / 100) for i in range(60)]
+    df = spark.createDataFrame(rows, "id string, tokens array<string>, f double, `IC50 x` double")
+    folds = cluster_folds(df, "id", "tokens", max_folds=3).collect()
+    by_cluster = {}
+    for r in folds:
+        by_cluster.setdefault(r["cluster"], set()).add(r["fold"])
+    assert len(by_cluster) == 5 and all(len(f) == 1 for f in by_cluster.values()) and len({r["fold"] for r in folds}) == 3
+    tp = M.TrainingParams(n_estimators=3, max_depth=2, cv_max_folds=3, cv_strategy="cluster")
+    row = M.train_target(df, "IC50 x", ["f"], "id", None, tp, tokens="tokens")[1].first()
+    assert (row["cv_grouping"], row["n_groups"], row["cv_method"]) == ("cluster", 5, "grouped") and row["cv_r2_random"] is not None
+    with pytest.raises(ValueError):
+        M.train_target(df, "IC50 x", ["f"], "id", None, tp)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 from tidymeter.session import materialize
 
 MAX_CELLS = 5_000_000
-MAX_BINS = 64
+MAX_BINS = 32
 RIDGE = 1.0
 SEED = 42
 _KEYS_AT_ONCE = 1 << 21
@@ -93,10 +93,14 @@ class Quantised:
 
     def __init__(self, x: np.ndarray, y: np.ndarray, folds: dict[str, np.ndarray]):
         self.y, self.folds = y, folds
-        self.edges = [np.unique(np.quantile(c, np.linspace(0, 1, MAX_BINS + 1)[1:-1], method="lower")) for c in x.T]
+        edges = [np.unique(np.quantile(c, np.linspace(0, 1, MAX_BINS + 1)[1:-1], method="lower")) if len(c) else c for c in x.T]
+        self.width = max(map(len, edges), default=0) + 1  # bins in use
+        # Threshold of every bin; behind the last, none.
+        self.edges = np.full((len(edges), self.width + 1), np.inf)
         self.bins = np.empty(x.shape, np.uint8)
-        for j, edges in enumerate(self.edges):
-            self.bins[:, j] = np.searchsorted(edges, x[:, j], side="left")
+        for j, own in enumerate(edges):
+            self.edges[j, : len(own)] = own
+            self.bins[:, j] = np.searchsorted(own, x[:, j], side="left")
 
     def boost(self, fit: Fit) -> tuple[np.ndarray, np.ndarray, Trees]:
         """(predicted rows, predictions, model)."""
@@ -104,59 +108,80 @@ class Quantised:
         train = np.arange(len(self.y)) if fold is None else np.flatnonzero((fold >= 0) & (fold != fit.held_out))
         test = train if fold is None else np.flatnonzero(fold == fit.held_out)
         rows = train if fold is None else np.concatenate((train, test))
-        bins, y, m = self.bins[rows], self.y[rows], len(train)
+        bins, y, m = self.bins[rows].astype(np.intp), self.y[rows], len(train)
         rng = np.random.default_rng([SEED, zlib.crc32(fit.run.encode()), fit.held_out + 1])
         base = float(y[:m].mean()) if m else 0.0
         score = np.full(len(rows), base)
-        d, inner = bins.shape[1], 2**p.max_depth - 1
-        feature = np.zeros((p.n_estimators, inner), np.int32)
-        cut = np.full((p.n_estimators, inner), np.inf)
-        value = np.zeros((p.n_estimators, inner + 1))
+        d, leaves = bins.shape[1], 2**p.max_depth
+        feature = np.zeros((p.n_estimators, leaves - 1), np.int32)
+        cut = np.full((p.n_estimators, leaves - 1), self.width, np.int32)
+        value = np.zeros((p.n_estimators, leaves))
         gains = np.zeros(d)
-        every = np.arange(len(rows))
+        every, chosen = np.arange(len(rows)), max(1, round(d * p.colsample_bytree))
         for t in range(p.n_estimators if m and d else 0):
             bag = np.flatnonzero(rng.random(m) < p.subsample) if p.subsample < 1 else every[:m]
-            columns = np.sort(rng.permutation(d)[: max(1, round(d * p.colsample_bytree))])
-            rest, own = y[bag] - score[bag], bins[bag]
-            place = np.zeros(len(rows), np.int64)
+            columns = np.sort(rng.permutation(d)[:chosen]) if chosen < d else np.arange(d)
+            tree = _Level(bins[bag][:, columns], y[bag] - score[bag], self.width, p.min_child_weight)
+            place = np.zeros(len(rows), np.intp)
             for level in range(p.max_depth):
                 node = place[bag]
-                name, at, gain = self._split(own, node, rest, columns, 1 << level, p.min_child_weight)
-                np.add.at(gains, name, gain)
+                name, at, gain = tree.split(node, 1 << level)
+                if not gain.any():
+                    place <<= p.max_depth - level
+                    break
+                name = columns[name]
+                gains += np.bincount(name, weights=gain, minlength=d)
                 first = (1 << level) - 1
-                feature[t, first : first + len(name)] = name
-                for k in np.flatnonzero(gain > 0):
-                    cut[t, first + k] = self.edges[name[k]][at[k]]
+                feature[t, first : first + len(name)], cut[t, first : first + len(name)] = name, at
                 place = 2 * place + (bins[every, name[place]] > at[place])
             node = place[bag]
-            count = np.bincount(node, minlength=inner + 1)
-            value[t] = p.learning_rate * np.bincount(node, weights=rest, minlength=inner + 1) / (count + RIDGE)
+            count = np.bincount(node, minlength=leaves)
+            value[t] = p.learning_rate * np.bincount(node, weights=tree.rest, minlength=leaves) / (count + RIDGE)
             score += value[t][place]
-        out = score if fold is None else score[m:]
-        return test, out, Trees(base, feature, cut, value, gains)
+        return test, score if fold is None else score[m:], Trees(base, feature, self.edges[feature, cut] if d else cut, value, gains)
 
-    def _split(self, bins, node, rest, columns, nodes, least):
-        """Best (feature, bin, gain) of every node; without a gain all rows go left."""
-        name, at, best = np.zeros(nodes, np.int64), np.full(nodes, MAX_BINS), np.zeros(nodes)
-        width = max(1, _KEYS_AT_ONCE // (nodes * MAX_BINS))
+
+class _Level:
+    """Best splits of the nodes of one level of a tree, by histograms of the residuals over the bins."""
+
+    def __init__(self, bins: np.ndarray, rest: np.ndarray, width: int, least: float):
+        self.bins, self.rest, self.width, self.least = bins, rest, width, least
+        self.keys: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def split(self, node: np.ndarray, nodes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(column, bin, gain) of every node; without a gain the bin is one that keeps all rows left."""
+        name, at, best = np.zeros(nodes, np.intp), np.full(nodes, self.width), np.zeros(nodes)
+        columns = self.bins.shape[1]
+        step = max(1, _KEYS_AT_ONCE // (nodes * self.width))
         count = np.bincount(node, minlength=nodes)[:, None, None]
-        total = np.bincount(node, weights=rest, minlength=nodes)[:, None, None]
-        for start in range(0, len(columns), width):
-            some = columns[start : start + width]
-            shape = (nodes, len(some), MAX_BINS)
-            keys = (node[:, None] * (len(some) * MAX_BINS) + np.arange(len(some)) * MAX_BINS + bins[:, some]).ravel()
-            size = nodes * len(some) * MAX_BINS
-            n = np.bincount(keys, minlength=size).reshape(shape).cumsum(axis=2)
-            g = np.bincount(keys, weights=np.repeat(rest, len(some)), minlength=size).reshape(shape).cumsum(axis=2)
-            gain = g * g / (n + RIDGE) + (total - g) ** 2 / (count - n + RIDGE) - total * total / (count + RIDGE)
-            gain[(n < least) | (count - n < least)] = 0
+        total = np.bincount(node, weights=self.rest, minlength=nodes)[:, None, None]
+        whole = total * total / (count + RIDGE)
+        for start in range(0, columns, step):
+            some = min(step, columns - start)
+            own, weights = self._flat(start, some)
+            shape = (nodes, some, self.width)
+            keys = (node * (some * self.width))[:, None] + own
+            n = np.bincount(keys.ravel(), minlength=nodes * some * self.width).reshape(shape).cumsum(axis=2)
+            g = np.bincount(keys.ravel(), weights=weights, minlength=nodes * some * self.width).reshape(shape).cumsum(axis=2)
+            gain = g * g / (n + RIDGE) + (total - g) ** 2 / (count - n + RIDGE) - whole
+            gain[(n < self.least) | (count - n < self.least)] = 0
             flat = gain.reshape(nodes, -1)
             top = flat.argmax(axis=1)
             found = flat[np.arange(nodes), top]
             better = found > np.maximum(best, 1e-12)
-            best[better], name[better], at[better] = found[better], some[top // MAX_BINS][better], (top % MAX_BINS)[better]
+            best[better], name[better], at[better] = found[better], start + top[better] // self.width, top[better] % self.width
         return name, at, best
 
+    def _flat(self, start: int, some: int) -> tuple[np.ndarray, np.ndarray]:
+        """Histogram places of the rows in some columns of node 0, and their residuals; kept where one pass holds all columns."""
+        if some in self.keys:
+            return self.keys[some]
+        own = self.bins[:, start : start + some] + np.arange(some) * self.width
+        found = own, np.repeat(self.rest, some)
+        if some == self.bins.shape[1]:
+            self.keys[some] = found
+        return found
+
 
 def quantised(rows: DataFrame, folds: list[str] = (), label: str = "y") -> Quantised | None:
     """The table of ``rows`` (vector ``x``, label, fold columns), or None above ``MAX_CELLS`` values."""
