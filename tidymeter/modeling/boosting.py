@@ -118,14 +118,14 @@ class Quantised:
         value = np.zeros((p.n_estimators, leaves))
         gains = np.zeros(d)
         every, chosen = np.arange(len(rows)), max(1, round(d * p.colsample_bytree))
+        flat, begin = bins.ravel(), every * d
         for t in range(p.n_estimators if m and d else 0):
             bag = np.flatnonzero(rng.random(m) < p.subsample) if p.subsample < 1 else every[:m]
             columns = np.sort(rng.permutation(d)[:chosen]) if chosen < d else np.arange(d)
-            tree = _Level(bins[bag][:, columns], y[bag] - score[bag], self.width, p.min_child_weight)
+            tree = _Level(np.ascontiguousarray(bins[bag][:, columns]), y[bag] - score[bag], self.width, p.min_child_weight)
             place = np.zeros(len(rows), np.intp)
             for level in range(p.max_depth):
-                node = place[bag]
-                name, at, gain = tree.split(node, 1 << level)
+                name, at, gain = tree.split(place.take(bag), 1 << level)
                 if not gain.any():
                     place <<= p.max_depth - level
                     break
@@ -133,11 +133,11 @@ class Quantised:
                 gains += np.bincount(name, weights=gain, minlength=d)
                 first = (1 << level) - 1
                 feature[t, first : first + len(name)], cut[t, first : first + len(name)] = name, at
-                place = 2 * place + (bins[every, name[place]] > at[place])
-            node = place[bag]
+                place = 2 * place + (flat.take(begin + name.take(place)) > at.take(place))
+            node = place.take(bag)
             count = np.bincount(node, minlength=leaves)
             value[t] = p.learning_rate * np.bincount(node, weights=tree.rest, minlength=leaves) / (count + RIDGE)
-            score += value[t][place]
+            score += value[t].take(place)
         return test, score if fold is None else score[m:], Trees(base, feature, self.edges[feature, cut] if d else cut, value, gains)
 
 
@@ -176,7 +176,7 @@ class _Level:
         """Histogram places of the rows in some columns of node 0, and their residuals; kept where one pass holds all columns."""
         if some in self.keys:
             return self.keys[some]
-        own = self.bins[:, start : start + some] + np.arange(some) * self.width
+        own = np.ascontiguousarray(self.bins[:, start : start + some] + np.arange(some) * self.width)
         found = own, np.repeat(self.rest, some)
         if some == self.bins.shape[1]:
             self.keys[some] = found
