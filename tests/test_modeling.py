@@ -176,12 +176,57 @@ def test_large_targets_are_trained_by_rows(spark, monkeypatch):
     factory = M.boosted_trees(M.TrainingParams(n_estimators=3, max_depth=2))
     near = M.evaluate(df, factory, "id", "g", max_folds=2).first()
     monkeypatch.setattr(B, "MAX_CELLS", 10)
+    monkeypatch.setattr(B, "MAX_FOLDED", 10)
     far = M.evaluate(df, factory, "id", "g", max_folds=2).first()
     assert type(factory().fit(df)).__name__ == "GBTRegressionModel"
     assert all(near[c] == far[c] for c in ("n_samples", "n_groups", "cv_folds", "cv_method", "reliable"))
     assert near["cv_r2_grouped"] is not None and far["cv_r2_grouped"] is not None
 
 
+def test_rows_alike_are_folded(monkeypatch):
+    """Trees on cells are those on rows; no draw, sums by block give them too."""
+    from tidymeter.modeling import boosting as B
+
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 6, (4000, 2)).astype(float)
+    y = x[:, 0] * 3 + x[:, 1] ** 2 + rng.normal(size=4000)
+    fold = {"f": np.arange(4000) % 3}
+    rows = B.Quantised(x, y, fold)
+    monkeypatch.setattr(B, "FOLD_ROWS", 1)
+    cells = B.Quantised(x, y, fold)
+    assert len(rows.cells) == 4000 and len(cells.cells) == 36
+    for fit in (B.Fit("cv", B.TreeParams(20, 3, 0.2), "f", 1), B.Fit("all", B.TreeParams(20, 3, 0.2))):
+        assert np.allclose(rows.boost(fit)[1], cells.boost(fit)[1])
+    whole = B.TreeParams(20, 3, 0.2, subsample=1.0, colsample_bytree=1.0)
+    sums = B.Folded(cells.cells, [np.unique(c)[:-1] for c in x.T], cells.cell, fold["f"], np.zeros(4000, int), np.ones(4000), y)
+    held = B.Fit("cv", whole, "f", 2)
+    assert np.allclose(sums.boost(held).predict(x[fold["f"] == 2]), rows.boost(held)[1])
+
+
+def test_large_targets_are_folded(spark, monkeypatch):
+    """Beyond the bound of rows Spark adds up the cells; without draws the trees are the same."""
+    from tidymeter.modeling import boosting as B
+
+    rng = np.random.default_rng(3)
+    rows = [(str(i), str(i % 6), float(a), float(b), float(a * 3 + b * b + i % 2)) for i, (a, b) in enumerate(rng.integers(0, 9, (300, 2)))]
+    df = M.with_vectors(spark.createDataFrame(rows, "id string, g string, a double, b double, y double"), ["a", "b"], ["id", "g", "y"])
+    params = B.TreeParams(15, 3, 0.2, subsample=1.0, colsample_bytree=1.0)
+
+    def run(own):
+        rows = M.assign_folds(df, "id", "g", 3)
+        cv = M.oof_predictions(rows, lambda: B.QuantisedTrees(own), 3, "fold_random")
+        fit = B.QuantisedTrees(own).fit(rows)
+        return sorted(map(tuple, cv.collect())), [r["prediction"] for r in fit.transform(rows).orderBy("id").collect()]
+
+    near = run(params)
+    monkeypatch.setattr(B, "MAX_CELLS", 10)
+    monkeypatch.setattr(B.QuantisedTrees, "by_rows", None)
+    far = run(params)
+    assert np.allclose(near[0], far[0]) and np.allclose(near[1], far[1])
+    drawn = run(B.TreeParams(60, 3, 0.2))
+    assert len(drawn[0]) == 300 and np.corrcoef([(r[1], r[2]) for r in drawn[0]], rowvar=False)[0, 1] > 0.97
+
+
 def test_cluster_strategy(spark):
     from tidymeter.modeling.training import cluster_folds
 
