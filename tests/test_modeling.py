@@ -227,6 +227,53 @@ def test_large_targets_are_folded(spark, monkeypatch):
     assert len(drawn[0]) == 300 and np.corrcoef([(r[1], r[2]) for r in drawn[0]], rowvar=False)[0, 1] > 0.97
 
 
+def test_large_targets_are_scored_by_sums(spark, monkeypatch):
+    """Beyond the bound of rows scores and the search come from the sums: without draws the same, and no fit goes row by row."""
+    from tidymeter.modeling import boosting as B
+
+    rng = np.random.default_rng(5)
+    rows = [(str(i), str(i % 6), float(a), float(b), float(a * 3 + b * b + i % 2)) for i, (a, b) in enumerate(rng.integers(0, 9, (300, 2)))]
+    wide = spark.createDataFrame(rows, "id string, g string, a double, b double, `IC50 y` double")
+    tp = M.TrainingParams(12, 3, 0.2, subsample=1.0, colsample_bytree=1.0, cv_max_folds=3)
+    space = {"max_depth": [1, 2, 3], "learning_rate": ("float", 0.1, 0.3)}
+
+    def run():
+        x = M.with_vectors(wide.withColumnRenamed("IC50 y", "y"), ["a", "b"], ["id", "g", "y"])
+        one = M.evaluate(x, M.boosted_trees(tp), "id", "g", max_folds=3).first()
+        control = M.y_scramble(x, M.boosted_trees(tp), "id", 2, 3).first()
+        found = M.search(wide, "IC50 y", ["a", "b"], "id", "g", tp, space, n_trials=4, outer_folds=2)
+        folds = [tuple(r) for r in found["folds"].orderBy("fold").collect()]
+        return one, control, found["tuned"], folds, [tuple(r) for r in found["history"].orderBy("trial").collect()]
+
+    near = run()
+    monkeypatch.setattr(B, "MAX_CELLS", 10)
+    monkeypatch.setattr(B.QuantisedTrees, "by_rows", None)
+    monkeypatch.setattr(B.QuantisedTrees, "_held_out", None)
+    far = run()
+    assert near[2] == far[2] and near[0].asDict().keys() == far[0].asDict().keys()
+    for a, b in [(near[0].asDict().values(), far[0].asDict().values()), (near[1], far[1]), *zip(near[3], far[3]), *zip(near[4], far[4])]:
+        assert all(abs(p - q) < 1e-9 if isinstance(p, float) else p == q for p, q in zip(a, b))
+    flat = B.Folded(np.zeros((1, 1), np.uint8), [np.zeros(1)], np.zeros(2, int), np.arange(2), np.zeros(2, int), np.full(2, 3.0), np.full(2, 0.3))
+    assert flat.score(B.Fit("flat", B.TreeParams(2, 1), "f", 1)) == (None, 3)
+
+
+def test_relevance_reads_its_rows_once(spark, tmp_path):
+    """The table is evaluated once, however many passes the gaps, medians and sums take."""
+    from tidymeter.modeling.selection import model_scores
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = [(float(i % 7), None if i % 5 == 0 else float(i % 3), float(i % 7 + i % 3)) for i in range(200)]
+    df = spark.createDataFrame(rows, "a double, b double, y double").mapInArrow(count, "a double, b double, y double")
+    scores = {r["feature"]: r["score"] for r in model_scores(df, ["a", "b"], "y", trees=5).collect()}
+    assert seen.value == 200 and scores["a"] > scores["b"] > 0
+
+
 def test_cluster_strategy(spark):
     from tidymeter.modeling.training import cluster_folds
 
