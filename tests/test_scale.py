@@ -124,6 +124,39 @@ def test_neighbors_against_all_pairs(token_rows, monkeypatch, block):
     assert got == want and want
 
 
+@pytest.mark.parametrize("cutoff", [0.0, 0.2, 0.55, 0.8])
+@pytest.mark.parametrize("shared", [1, 3, 50])
+def test_neighbors_by_several_shared_tokens(spark, monkeypatch, cutoff, shared):
+    monkeypatch.setattr(G, "SHARED", shared)
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(45)]
+    sets = [rng.sample(words, rng.randint(1, 25)) for _ in range(40)]
+    sets += [s[: max(1, len(s) - rng.randint(0, 4))] + rng.sample(words, 2) for s in sets]
+    ids = {}
+    for i, s in enumerate(sets):
+        ids.setdefault(frozenset(s), i)
+    ids = {i: s for s, i in ids.items()}
+    want = {(a, b) for a in ids for b in ids if a < b and _jaccard(ids[a], ids[b]) >= 1 - cutoff - 1e-9}
+    df = spark.createDataFrame(list(enumerate(sets)), "id long, tokens array<string>")
+    assert {(r["a"], r["b"]) for r in G.neighbors(df, "id", "tokens", cutoff).collect()} == want
+
+
+def test_items_are_joined_to_few_pairs(spark, monkeypatch):
+    """Sets that share a few rare tokens are told apart by ids; only near ones get their items."""
+    sets = [["rare1", "rare2"] + [f"own{i // 2}_{k}" for k in range(28)] + [f"late{i}"] for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(sets)), "id long, tokens array<string>")
+    written = {}
+
+    def spy(table, name, plain=G.materialize):
+        out = plain(table, name)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(G, "materialize", spy)
+    assert {(r["a"], r["b"]) for r in G.neighbors(df, "id", "tokens", 0.4).collect()} == {(i, i + 1) for i in range(0, 60, 2)}
+    assert written["near-candidates"] == 30
+
+
 def test_leader_clusters_against_the_sequential_form(token_rows):
     rows, df = token_rows
     valid = [(i, s) for i, s in rows if s]
