@@ -157,6 +157,55 @@ def test_items_are_joined_to_few_pairs(spark, monkeypatch):
     assert written["near-candidates"] == 30
 
 
+@pytest.mark.parametrize("rows,tokens,chunk", [(7, 10**9, 1), (100, 60, 40), (20_000, 10**9, 5)])
+def test_pairs_stay_in_the_task_of_their_blocks(spark, monkeypatch, rows, tokens, chunk):
+    """Sets that share many rare tokens and are not near are told apart where their blocks meet; only near pairs are written."""
+    for name, value in (("BLOCK_ROWS", rows), ("BLOCK_TOKENS", tokens), ("CHUNK_PAIRS", chunk), ("CHUNK_CELLS", chunk)):
+        monkeypatch.setattr(G, name, value)
+    rng = random.Random(4)
+    pool = [f"p{i}" for i in range(30)]
+    sets = [[f"c{i}" for i in range(10)] + rng.sample(pool, 15) for _ in range(40)]
+    sets += [rng.sample(pool, 28) for _ in range(45)]
+    ids = {}
+    for i, s in enumerate(sets):
+        ids.setdefault(frozenset(s), i)
+    want = {(a, b): _jaccard(s, t) for s, a in ids.items() for t, b in ids.items() if a < b and _jaccard(s, t) >= 0.6 - 1e-9}
+    written = {}
+
+    def spy(table, name, plain=G.materialize):
+        out = plain(table, name)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(G, "materialize", spy)
+    df = spark.createDataFrame(list(enumerate(sets)), "id long, tokens array<string>").repartition(3)
+    got = {(r["a"], r["b"]): r["similarity"] for r in G.neighbors(df, "id", "tokens", 0.4).collect()}
+    assert got == want and written["near-candidates"] == len(want)
+
+
+def test_neighbors_of_text_keys(spark):
+    """Keys of any kind travel with the blocks; a missing key pairs with nothing."""
+    sets = [("b", ["x", "y", "z"]), ("a", ["x", "y", "z", "v"]), (None, ["x", "y", "z", "u"]), ("é", ["x", "y", None, "z"])]
+    df = spark.createDataFrame(sets, "id string, tokens array<string>")
+    got = {(r["a"], r["b"], r["similarity"]) for r in G.neighbors(df, "id", "tokens", 0.4).collect()}
+    assert got == {("a", "b", 0.75), ("b", "é", 0.75), ("a", "é", 0.6)}
+
+
+def test_members_read_the_rows_once(spark):
+    """The rows are cut into tokens once for both sides of the join with their sets."""
+    df = spark.createDataFrame([(i, [f"w{i // 2}"]) for i in range(8)], "id long, tokens array<string>")
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def cut(tokens):
+        seen.add(1)
+        return tokens
+
+    rows = df.select("id", cut.asNondeterministic()("tokens").alias("tokens"))
+    members = {r["id"]: r["set_id"] for r in G.set_members(rows, "id", "tokens").collect()}
+    assert members == {i: i // 2 * 2 for i in range(8)} and seen.value == 8
+
+
 def test_leader_clusters_against_the_sequential_form(token_rows):
     rows, df = token_rows
     valid = [(i, s) for i, s in rows if s]
