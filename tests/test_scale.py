@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidymeter.modeling import domain, folds
-from tidymeter.operators import ranks, sequences, similarity as G, wide
+from tidymeter.operators import pages, payloads, ranks, sequences, similarity as G, wide
 
 
 @pytest.fixture(scope="module")
@@ -283,3 +283,21 @@ def test_empty_splits_do_not_count(spark, monkeypatch):
     df = reduce(lambda a, b: a.union(b), empty, spark.range(0, 400, 1, 1))
     sizes = [r["count"] for r in session.spread_rows(df).groupBy(F.spark_partition_id()).count().collect()]
     assert sum(sizes) == 400 and max(sizes) <= 20
+
+
+def test_repeated_texts_are_worked_out_once(spark):
+    """A header or a JSON value is read once, however many cases look at it."""
+    df = spark.createDataFrame([([" Value  (K) ", "Method x", "Boiling  T"], '{"Number":[1,"a"],"Unit":"K"}')], "h array<string>, j string")
+    out = df.select(F.transform("h", pages.header_role).alias("roles"), payloads._value_and_unit(F.col("j")).alias("v"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 1 and plan.count("from_json(") == 1
+    row = out.first()
+    assert row["roles"] == ["PropertyValue", "Method", "Boiling T"] and tuple(row["v"]) == ("1, a K", "K")
+
+
+def test_nested_and_unclosed_elements_keep_their_texts():
+    page = ("<h2>A <b>head</b></h2><div><p>x = <i>1 &amp; 2<p>y = 2</div><table class='wide data'><tr><th>Q<td/>"
+            "<td>a<b> b</b> < c</td><TD title='>'>d</TD></tr></table><table class=data><tr><td>open")
+    (found,) = pages._data_tables(page)
+    assert (found["heading"], found["equation"]) == ("A head", "y = 2")
+    assert found["rows"] == [["", "a b < c", "d"]] and found["headers"] == []
