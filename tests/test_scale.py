@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidymeter.modeling import domain, folds
 from tidymeter.operators import pages, payloads, ranks, sequences, similarity as G, wide
+from tidymeter.session import materialize
 
 
 @pytest.fixture(scope="module")
@@ -301,3 +302,15 @@ def test_nested_and_unclosed_elements_keep_their_texts():
     (found,) = pages._data_tables(page)
     assert (found["heading"], found["equation"]) == ("A head", "y = 2")
     assert found["rows"] == [["", "a b < c", "d"]] and found["headers"] == []
+
+
+def test_materialized_tables_are_not_looked_into(spark):
+    """The schema is known when a table is written, so that reading it back starts no job."""
+    df = spark.createDataFrame([(1, "a")], "id long, `odd.name` string")
+    spark.sparkContext.setJobGroup("looking", "")
+    try:
+        out = materialize(df, "known")
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("looking")
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert len(jobs) == 1 and out.schema == df.schema and [tuple(r) for r in out.collect()] == [(1, "a")]
