@@ -4,11 +4,14 @@ import collections
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from compare import compare, connect
@@ -230,6 +233,49 @@ def test_automaton_over_many_blocks(spark, order, limits):
         same_scores(tuple(r[f] for f in FIELDS), want[r["doc_id"]])
 
 
+def test_packed_values():
+    """What travels between blocks and ranges comes back as it was, without bytes that are all zero."""
+    rng = np.random.default_rng(5)
+    for v in ([], [0], [0, 0, 0], [2**63 - 1, 0, 5], [1] * 1000, range(300), rng.geometric(0.01, 5000)):
+        v = np.array(v, np.int64)
+        assert backoff_lm._unpack_counts(backoff_lm._pack(v)).tolist() == v.tolist()
+    for v in ([], [0], [2**64 - 1], [5, 2**64 - 1], [0, 1, 2**63], np.unique(rng.integers(0, 2**44, 5000))):
+        v = np.array(v, np.uint64)
+        assert backoff_lm._unpack_keys(backoff_lm._pack_keys(v)).tolist() == v.tolist()
+    keys = np.unique(rng.integers(0, 2**44, 2**19).astype(np.uint64))
+    assert len(backoff_lm._pack_keys(keys)) < 4 * len(keys) and len(backoff_lm._pack(np.ones(len(keys), np.int64))) < len(keys) // 100
+
+
+def test_language_model_memory_of_a_block():
+    """A task takes less than 100 MB for the asks and for the scores of a block."""
+    rng = np.random.default_rng(7)
+    texts = [" ".join(f"w{x}" for x in rng.geometric(0.0005, 500)) for _ in range(backoff_lm.BLOCK_BYTES // 2700)]
+    docs = pd.DataFrame({"id": range(len(texts)), "text": texts, "train": True})
+    tracemalloc.start()
+    try:
+        asks = backoff_lm._requests(3, 44, 200)((0,), docs)
+        peaks = [tracemalloc.get_traced_memory()[1]]
+        answers = asks[["block", "kind", "range", "counts"]].assign(tokens=1, types=1)
+        asked = asks["keys"].map(len).sum() + asks["counts"].map(len).sum()
+        del asks
+        tracemalloc.reset_peak()
+        backoff_lm._scored(3, 44, len(texts), 2.0, ["id", "train"])((0,), docs, answers)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+    finally:
+        tracemalloc.stop()
+    assert max(peaks) < 100e6 and asked < 2 * backoff_lm.BLOCK_BYTES, (peaks, asked)
+
+
+@pytest.mark.parametrize("limits", [{}, {"range_keys": 50, "fan": 4}])
+def test_language_model_shuffles_texts_once(spark, limits):
+    """Counting and scoring read one shuffle of the texts; nothing is written in between."""
+    df = spark.createDataFrame([(i, f"a b{i % 7} c{i}") for i in range(300)], "doc_id long, text string").withColumn("train", F.col("doc_id") % 3 > 0)
+    done = backoff_lm.score(df, block_bytes=500, **limits)
+    assert len(done.collect()) == 300
+    plan = done._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "ReusedExchange" in plan and "Scan parquet" not in plan and plan.count("Scan ExistingRDD") == 1, plan
+
+
 def test_language_model_without_training_rows(spark):
     df = spark.createDataFrame([(1, "a b", None), (2, None, False)], "doc_id long, text string, train boolean")
     got = {r["doc_id"]: r for r in backoff_lm.score(df).collect()}

@@ -29,6 +29,10 @@ and small; then blocks first merge in bundles, by coarse ranges, and bundles ask
 ranges, so that rows grow as the corpus, not as its square. A range gets at most one
 entry per block and n-gram, so frequent words are no hot keys.
 
+All of it is one query: both uses of the dealt texts read the same shuffle, and the
+corpus totals come to each block with its answers, since it asks every range of single
+tokens, if need be for nothing.
+
 Defined cases: a null or empty text is the end token alone; an empty table gives no
 rows; without training rows every token is unknown; rows with equal ids are rows of
 their own; other columns are not read. Rows of one id and one text are dealt to one
@@ -41,22 +45,26 @@ about one in 65 000 remains that an n-gram passes for another one.
 
 from __future__ import annotations
 
+import struct
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tidymeter.llm.text import hashes, mix, words_of
-from tidymeter.session import discard, materialize
 
 ORDER = 3
 MASS = 2.0
-BLOCK_BYTES = 6 << 20
-RANGE_KEYS = 2_000_000
+BLOCK_BYTES = 3 << 20
+RANGE_KEYS = 4_000_000
 FAN = 8192
 LEAST_BITS, SPARE_BITS = 44, 16
 STRETCH = 256
 END = np.uint64(0x5E0D_0000_0000_0001)  # stands for the end; no word's text can name it
 START = np.uint64(0x5E0D_0000_0000_0002)
+CODEC = pa.Codec("zstd", compression_level=1)
+HEAD = struct.Struct("<IBB")  # of packed values: how many, byte planes, those of them that are not compressed
 
 
 def coded(texts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -201,28 +209,48 @@ class Automaton:
         return np.bincount(text, weights=total, minlength=len(pieces))
 
 
-def _pack(keys: np.ndarray) -> bytes:
-    """Sorted 64-bit values as byte planes of their differences, which compress well."""
-    gaps = np.diff(keys, prepend=np.uint64(0))
-    return gaps.view(np.uint8).reshape(-1, 8).T.tobytes()
+def _pack(values: np.ndarray) -> bytes:
+    """64-bit values (no negative ones) as byte planes, lowest first, without those that are all zero.
+
+    The lower planes of what is close to random are left as they are, those above are compressed.
+    """
+    n, width = len(values), -(-int(values.max()).bit_length() // 8) if len(values) else 0
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    plain = 0
+    while plain < width and len(CODEC.compress(planes[plain], asbytes=True)) >= n:
+        plain += 1
+    rest = CODEC.compress(planes[plain:].ravel(), asbytes=True) if plain < width else b""
+    return HEAD.pack(n, width, plain) + planes[:plain].tobytes() + rest
 
 
 def _unpack(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(raw, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+    n, width, plain = HEAD.unpack_from(raw)
+    planes, at = np.zeros((8, n), np.uint8), HEAD.size + plain * n
+    planes[:plain] = np.frombuffer(raw, np.uint8, plain * n, HEAD.size).reshape(plain, n)
+    if plain < width:
+        rest = CODEC.decompress(memoryview(raw)[at:], (width - plain) * n, asbytes=True)
+        planes[plain:width] = np.frombuffer(rest, np.uint8).reshape(-1, n)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel()
 
 
-def _pack_counts(counts: np.ndarray) -> bytes:
-    return counts.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted distinct keys: the first, and the differences."""
+    first = keys[:1] if len(keys) else np.zeros(1, np.uint64)
+    return first.astype("<u8").tobytes() + _pack(np.diff(keys, prepend=first) if len(keys) else keys)
+
+
+def _unpack_keys(raw: bytes) -> np.ndarray:
+    out = _unpack(memoryview(raw)[8:])
+    out[:1] = np.frombuffer(raw, "<u8", 1)[: len(out)]
+    return np.cumsum(out, dtype=np.uint64)
 
 
 def _unpack_counts(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(raw, np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view("<u8").ravel().astype(np.int64)
+    return _unpack(raw).astype(np.int64)
 
 
 ASK = "{0} int, kind int, range int, keys binary, counts binary"
-REPLY = "{0} int, kind int, range int, counts binary"
+REPLY = "{0} int, kind int, range int, counts binary, tokens long, types long"
 
 
 def _edges(ranges: int, bits: int) -> np.ndarray:
@@ -230,10 +258,10 @@ def _edges(ranges: int, bits: int) -> np.ndarray:
     return np.array([(i << bits) // ranges for i in range(ranges)], np.uint64)
 
 
-def _cut(keys: np.ndarray, edges: np.ndarray):
-    """(range, from, to) of the ranges that sorted keys fall into."""
+def _cut(keys: np.ndarray, edges: np.ndarray, kind: int):
+    """(range, from, to) of the ranges that sorted keys fall into; of single tokens all, since their answers tell the totals."""
     ends = [*np.searchsorted(keys, edges).tolist(), len(keys)]
-    return [(r, a, b) for r, (a, b) in enumerate(zip(ends, ends[1:])) if b > a]
+    return [(r, a, b) for r, (a, b) in enumerate(zip(ends, ends[1:])) if b > a or kind == 1]
 
 
 def _requests(order: int, bits: int, ranges: int):
@@ -244,8 +272,8 @@ def _requests(order: int, bits: int, ranges: int):
         train, out = np.repeat(pdf["train"].to_numpy(bool), sizes), []
         for k, keys, _, at in distinct_grams(tokens, sizes, order, bits):
             counts = np.bincount(at[(at >= 0) & train], minlength=len(keys))
-            for r, a, b in _cut(keys, _edges(ranges, 64 if k == 1 else bits)):
-                out.append((key[0], k, r, _pack(keys[a:b]), _pack_counts(counts[a:b])))
+            for r, a, b in _cut(keys, _edges(ranges, 64 if k == 1 else bits), k):
+                out.append((key[0], k, r, _pack_keys(keys[a:b]), _pack(counts[a:b])))
         return pd.DataFrame(out, columns=["block", "kind", "range", "keys", "counts"])
 
     return run
@@ -253,36 +281,41 @@ def _requests(order: int, bits: int, ranges: int):
 
 def _merged(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Distinct keys of some asks, their summed counts, and the place of each ask's keys among them."""
-    keys = [_unpack(x) for x in pdf["keys"]]
-    every, at = np.unique(np.concatenate(keys), return_inverse=True)
-    sums = np.bincount(at, weights=np.concatenate([_unpack_counts(x) for x in pdf["counts"]]), minlength=len(every)).astype(np.int64)
+    keys = [_unpack_keys(x) for x in pdf["keys"]]
     ends = np.cumsum([len(k) for k in keys])
-    return every, sums, [at[e - len(k) : e] for e, k in zip(ends, keys)]
+    keys = np.concatenate(keys)
+    turn = np.argsort(keys).astype(np.int32)
+    keys = keys[turn]
+    new = np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]))
+    at = np.empty(len(keys), np.int32)
+    at[turn] = np.cumsum(new, dtype=np.int32) - 1
+    keys = keys[new]
+    counts = np.concatenate([_unpack_counts(x) for x in pdf["counts"]])[turn]
+    return keys, np.add.reduceat(counts, np.flatnonzero(new)), np.split(at, ends[:-1])
 
 
-def _bundled(bits: int, fine: int):
-    """The asks of a bundle of blocks in a coarse range, merged and cut into fine ranges; ``block`` is the bundle."""
+def _bundled(bits: int, ranges: int):
+    """The asks of a bundle of blocks in one of so many coarse ranges, merged and cut into as many fine ones; ``block`` is the bundle."""
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         bundle, kind, coarse = key
         every, sums, _ = _merged(pdf)
-        own = _edges(fine, 64 if kind == 1 else bits)
-        out = [(bundle, kind, r, _pack(every[a:b]), _pack_counts(sums[a:b])) for r, a, b in _cut(every, own)]
+        begin = int(coarse) * ranges
+        own = _edges(ranges * ranges, 64 if kind == 1 else bits)[begin : begin + ranges]
+        out = [(bundle, kind, begin + r, _pack_keys(every[a:b]), _pack(sums[a:b])) for r, a, b in _cut(every, own, kind)]
         return pd.DataFrame(out, columns=["block", "kind", "range", "keys", "counts"])
 
     return run
 
 
 def _answers(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Corpus counts of every asker's n-grams of one range, and the range's totals."""
+    """Corpus counts of every asker's n-grams of one range, and the range's totals, which every asker gets."""
     pdf = pdf.sort_values("block", kind="stable").reset_index(drop=True)
     _, sums, at = _merged(pdf)
     out = pdf[["block", "kind", "range"]].copy()
-    out["counts"] = [_pack_counts(sums[a]) for a in at]
-    out["tokens"] = 0
-    out["types"] = 0
-    out.loc[0, "tokens"] = int(sums.sum())
-    out.loc[0, "types"] = int((sums > 0).sum())
+    out["counts"] = [_pack(sums[a]) for a in at]
+    out["tokens"] = int(sums.sum())
+    out["types"] = int((sums > 0).sum())
     return out
 
 
@@ -292,11 +325,13 @@ def _passed_on(key, asks: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
     _, _, at = _merged(asks)
     counts = np.concatenate([_unpack_counts(x) for x in replies.sort_values("range")["counts"]])
     out = asks[["block", "kind", "range"]].copy()
-    out["counts"] = [_pack_counts(counts[a]) for a in at]
+    out["counts"] = [_pack(counts[a]) for a in at]
+    out["tokens"] = int(replies["tokens"].sum())
+    out["types"] = int(replies["types"].sum())
     return out
 
 
-def _scored(order: int, bits: int, starts: int, total: int, types: int, mass: float, columns: list[str]):
+def _scored(order: int, bits: int, starts: int, mass: float, columns: list[str]):
     """Scores of a block's texts on the part of the automaton that its answers describe."""
 
     def run(key, docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
@@ -306,6 +341,8 @@ def _scored(order: int, bits: int, starts: int, total: int, types: int, mass: fl
         for k in grams.n:
             own = answers[answers["kind"] == k].sort_values("range")
             counts[k] = np.concatenate([np.empty(0, np.int64), *(_unpack_counts(x) for x in own["counts"])])
+        # The totals of all ranges of single tokens are those of the corpus.
+        total, types = (int(answers.loc[answers["kind"] == 1, c].sum()) for c in ("tokens", "types"))
         known = counts[1][grams.at[1]]
         begins = grams.begins
         add = lambda x: np.add.reduceat(x, begins) if len(begins) else np.empty(0)
@@ -347,31 +384,22 @@ def score(
     dealt = slim.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
     coarse = ranges if ranges <= fan else max(1, round(ranges**0.5))
     asked = dealt.groupBy("block").applyInPandas(_requests(order, bits, coarse), ASK.format("block"))
-    by_range = "block int, kind int, range int, counts binary, tokens long, types long"
     if ranges <= fan:
-        answers = materialize(asked.groupBy("kind", "range").applyInPandas(_answers, by_range), "answers")
-        replies = answers
+        replies = asked.groupBy("kind", "range").applyInPandas(_answers, REPLY.format("block"))
     else:
-        fine = coarse * coarse
-        asked = materialize(asked.withColumn("bundle", F.floor(F.col("block") / max(1, blocks // coarse)).cast("int")), "asked")
-        own = asked.groupBy("bundle", "kind", "range")
-        answers = materialize(
-            own.applyInPandas(_bundled(bits, fine), ASK.format("block")).groupBy("kind", "range").applyInPandas(_answers, by_range), "answers"
-        )
+        own = asked.withColumn("bundle", F.floor(F.col("block") / max(1, blocks // coarse)).cast("int")).groupBy("bundle", "kind", "range")
+        bundled = own.applyInPandas(_bundled(bits, coarse), ASK.format("block"))
+        answers = bundled.groupBy("kind", "range").applyInPandas(_answers, REPLY.format("block"))
         back = answers.select(
-            F.col("block").alias("bundle"), "kind", F.floor(F.col("range") / coarse).cast("int").alias("coarse"), "range", "counts"
-        )
-        replies = materialize(
-            own.cogroup(back.groupBy("bundle", "kind", "coarse")).applyInPandas(_passed_on, REPLY.format("block")), "replies"
+            F.col("block").alias("bundle"), "kind", F.floor(F.col("range") / coarse).cast("int").alias("coarse"), "range", "counts",
+            "tokens", "types",
         )
-        discard(asked)
-    total, types = answers.filter("kind = 1").agg(F.sum("tokens"), F.sum("types")).first()
+        replies = own.cogroup(back.groupBy("bundle", "kind", "coarse")).applyInPandas(_passed_on, REPLY.format("block"))
     schema = T.StructType(
         [slim.schema["id"], slim.schema["train"], *(T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")),
          *(T.StructField(c, T.DoubleType()) for c in ("base_score", "score"))]
     )
-    told = replies.select("block", "kind", "range", "counts")
-    done = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(
-        _scored(order, bits, starts, total or 0, types or 0, mass, ["id", "train"]), schema
+    done = dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(
+        _scored(order, bits, starts, mass, ["id", "train"]), schema
     )
     return done.withColumnRenamed("id", id_col).withColumnRenamed("train", train_col)
