@@ -304,6 +304,28 @@ def test_nested_and_unclosed_elements_keep_their_texts():
     assert found["rows"] == [["", "a b < c", "d"]] and found["headers"] == []
 
 
+def test_pages_may_have_several_key_columns_and_read_headers_per_table(spark):
+    """Keys travel as they are, also null ones, and headers are read before the rows of their table are spread."""
+    cell = "<tr><td>a</td><td>1 K</td></tr>"
+    page = f"<table class='data'><tr><th>Quantity</th><th>Value</th></tr>{cell * 3}<tr><td> </td><td></td></tr></table>"
+    df = spark.createDataFrame([("1", "u", page), (None, None, page), ("2", "v", None)], "CID string, url string, html string")
+    tables = pages.data_tables(df, ["CID", "url"])
+    assert [(r["CID"], r["url"], r["places"], len(r["body"])) for r in tables.orderBy("CID").collect()] == [(None, None, [1, 2, 3], 3), ("1", "u", [1, 2, 3], 3)]
+    rows = pages.extract_html_tables(df, ["CID", "url"]).orderBy("CID", "row_no").collect()
+    assert [(r["CID"], r["row_no"], r["PropertyName"], r["PropertyUnit"]) for r in rows] == [(k, n, "a", "K") for k in (None, "1") for n in (1, 2, 3)]
+
+
+def test_plain_cells_are_one_event_and_read_as_others():
+    """A cell with nothing but text is one match; markup inside, slashes and other ends are walked."""
+    assert sum(1 for _ in pages._EVENT.finditer("<tr><td>1</td><td a='>'>2 </td ></tr>")) == 4
+    page = ("<table class=data><tr><th>Q</th><TH>V = x</TH></tr><tr><td a='/'> 1 </td><td>&lt;</td></tr>"
+            "<tr><td/><td><b>2</b> k</td></tr><tr><td>3<td>4</td></tr></table><p>e</p><table class=data><tr><th>H</th></tr></table>")
+    first, second = pages._data_tables(page)
+    assert first["headers"] == ["Q", "V = x"]
+    assert first["rows"] == [["Q", "V = x"], ["1", "<"], ["", "2 k"], ["4"]]
+    assert second["equation"] == "V = x"
+
+
 def test_materialized_tables_are_not_looked_into(spark):
     """The schema is known when a table is written, so that reading it back starts no job."""
     df = spark.createDataFrame([(1, "a")], "id long, `odd.name` string")
