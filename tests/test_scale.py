@@ -1,16 +1,18 @@
 """Hot groups, copies and blocks: the spread-out routes must equal plain brute force."""
 
+import glob
 import random
 import statistics
 from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from tidymeter.modeling import domain, folds
 from tidymeter.operators import pages, payloads, ranks, sequences, similarity as G, wide
-from tidymeter.session import materialize
+from tidymeter.session import LARGE_ROWS, materialize
 
 
 @pytest.fixture(scope="module")
@@ -336,3 +338,15 @@ def test_materialized_tables_are_not_looked_into(spark):
     finally:
         spark.sparkContext._jsc.clearJobGroup()
     assert len(jobs) == 1 and out.schema == df.schema and [tuple(r) for r in out.collect()] == [(1, "a")]
+
+
+def test_blocks_of_sets_are_written_one_by_one(spark, monkeypatch):
+    """A task that writes many blocks holds one of them, and so does a task that reads them."""
+    monkeypatch.setattr(G, "BLOCK_ROWS", 1)
+    tokens = F.transform(F.sequence(F.lit(0), F.lit(200_000)), lambda i: F.xxhash64("id", i))
+    sets = spark.range(0, 4, 1, 1).select(F.col("id").alias("set_id"), tokens.alias("tokens"))
+    shared = spark.sparkContext.broadcast(np.zeros(1 << G.COUNTER_BITS, np.uint64))
+    path = materialize(G._blocks(sets, shared), "blocks", **LARGE_ROWS).scratch
+    (file,) = glob.glob(f"{path}/*.parquet")
+    meta = pq.ParquetFile(file).metadata
+    assert [meta.row_group(i).num_rows for i in range(meta.num_row_groups)] == [1] * 4
